@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .mixing import OP3_SQL, op3_mixing
+from .packing import op2_packing
 from .token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
+    "op4_exact_dedup": op4_exact_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
+    "op4_exact_dedup": OP4_SQL,
+}

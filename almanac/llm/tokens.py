@@ -16,7 +16,7 @@ import numpy as np
 
 #: ASCII punctuation without the apostrophe, which begins contractions.
 _TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs of characters other than white space with one space before them, or white space, as byte-level BPE cuts them.
 _BYTE_LEVEL = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
