@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .chat import OP8_SQL, op8_chat_format
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .packing import op2_packing
+from .secrets_scan import op9_secrets
 from .token_output import op1_token_output
 
 QUERIES = {
@@ -12,9 +14,12 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_chat_format": op8_chat_format,
+    "op9_secrets": op9_secrets,
 }
 
 SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op8_chat_format": OP8_SQL,
 }
