@@ -7,6 +7,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .outliers import op6_quality_rules
 from .packing import op2_packing
+from .quality_lm import op5_quality_classifier
 from .secrets_scan import op9_secrets
 from .token_output import op1_token_output
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op8_chat_format": op8_chat_format,
     "op9_secrets": op9_secrets,
