@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bagminhash import op7_near_dedup
 from .chat import OP8_SQL, op8_chat_format
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_near_dedup": op7_near_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_secrets": op9_secrets,
 }
