@@ -7,7 +7,8 @@ exact budget, after whole epochs where the budget exceeds the source.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +29,23 @@ def running_total(df: DataFrame, group: str, order: list[Column], value: str, na
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _part int, _within long"
 
-    def run(frames):
+    def run(batches):
         part, last, carry = TaskContext.get().partitionId(), None, 0
-        for frame in frames:
-            if frame.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            within = frame.groupby(group, sort=False)[value].cumsum() - frame[value]
-            if frame[group].iloc[0] == last:
-                within = within + carry * (frame[group] == last)
-            last, carry = frame[group].iloc[-1], int(within.iloc[-1] + frame[value].iloc[-1])
-            yield pd.concat([frame, within.rename("_within").astype("int64")], axis=1).assign(_part=part)[[*frame.columns, "_part", "_within"]]
-
-    local = stage(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInPandas(run, schema), "ranges")
+            groups = np.array(batch[group].to_pylist(), dtype=object)
+            size = np.array(batch[value].to_pylist(), dtype=np.int64)
+            before = np.cumsum(size) - size
+            new = np.concatenate([[groups[0] != last], groups[1:] != groups[:-1]])
+            # Each group starts again at 0, the first of a batch where the last batch left it.
+            start = np.where(new, before, 0)
+            begun = np.maximum.accumulate(np.where(new, np.arange(len(size)), -1))
+            within = before - np.where(begun >= 0, start[begun], -carry)
+            last, carry = groups[-1], int(within[-1] + size[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(size), pa.int32()), pa.array(within)], names=[*batch.schema.names, "_part", "_within"])
+
+    local = stage(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(run, schema), "ranges")
     sums = local.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select(group, "_part", F.coalesce(before, F.lit(0)).alias("_base"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bagminhash import op7_near_dedup
 from .chat import OP8_SQL, op8_chat_format
+from .chunk_dedup import op10_substring_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .outliers import op6_quality_rules
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_secrets": op9_secrets,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {

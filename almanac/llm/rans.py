@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 
-BITS, LANES, EVERY, LOW = 18, 32, 512, np.uint64(1 << 31)
+BITS, LANES, EVERY, LOW = 18, 64, 256, np.uint64(1 << 31)
 MAGIC = b"ALRB"
 #: magic, version, lanes, bits, documents, tokens, steps between checkpoints, checkpoints, words, crc32 of the body, crc32 of the ids
 HEAD = struct.Struct("<4sHHIQQIIQII")
