@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, stage, text_of
+from .common import read_table, text_slices, stage, text_of
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability 6e-5.
@@ -154,9 +154,8 @@ def band_keys(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in slices(texts, 600_000):
-                raw = [x.encode() for x in texts[a:b]]
+            for a, b, texts in text_slices(batch, 600_000):
+                raw = [x.encode() for x in texts]
                 doc, key, times = shingles(raw)
                 has = np.bincount(doc, minlength=len(raw)) > 0
                 got = bands(signatures(key, times, doc, len(raw)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import read_table, slices, stage, text_of
+from .common import read_table, text_slices, stage, text_of
 
 #: A chunk has 2**CHUNK_BITS words on average; a passage loses its part before the first and after the last boundary inside it.
 CHUNK_BITS, MIN_WORDS = 2, 22
@@ -98,9 +98,8 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in slices(texts):
-                got = chunks(texts[a:b])
+            for a, b, texts in text_slices(batch):
+                got = chunks(texts)
                 of = got["text"]
                 seq = np.arange(len(of)) - np.searchsorted(of, of, side="left")
                 yield pa.RecordBatch.from_arrays(

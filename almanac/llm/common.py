@@ -59,13 +59,18 @@ def public_tokenizer(name: str) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
-def slices(texts: list[str], chars: int = 1_500_000):
-    """Runs of texts of about so many characters, as (from, to)."""
-    first, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= chars:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def text_slices(batch, chars: int = 1_500_000):
+    """Runs of rows of about so many bytes of text: first row, end, texts. Only one run's texts are held as objects."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    text = batch["text"]
+    total = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        end = int(np.searchsorted(total, (total[first - 1] if first else 0) + chars, side="left")) + 1
+        end = min(max(end, first + 1), batch.num_rows)
+        yield first, end, text.slice(first, end - first).to_pylist()
+        first = end

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, stage, text_of
+from .common import read_table, text_slices, stage, text_of
 
 #: Windows of words that count as repeated when they occur twice in a text.
 WINDOW = 8
@@ -98,9 +98,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in slices(texts):
-                got = base_counts(texts[a:b])
+            for a, b, texts in text_slices(batch):
+                got = base_counts(texts)
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in ("doc_id", "lang", "source")), *(pa.array(got[c]) for c in names)], names=["doc_id", "lang", "source", *names])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), text_of(docs).alias("text"))

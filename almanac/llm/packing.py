@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import public_tokenizer, read_table, slices, text_of
+from .common import public_tokenizer, read_table, text_slices, text_of
 from .tokens import encoder
 
 #: Items of a shard at most, on average; a shard is packed in one task.
@@ -36,10 +36,9 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, *
     def run(batches):
         enc, end = encoder(tokenizer_file), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in slices(texts):
+            for a, b, texts in text_slices(batch):
                 row, piece, start, length, ids = [], [], [], [], []
-                for k, x in enumerate(enc.encode(texts[a:b])):
+                for k, x in enumerate(enc.encode(texts)):
                     x += end
                     n = len(x) // 4
                     first = (n - 1) % size + 1

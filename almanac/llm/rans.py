@@ -111,11 +111,13 @@ def decode(parts: list[tuple[np.ndarray, np.ndarray, int]], table: Table, lanes:
         ids = table.slots[slot]
         out[s, :k] = ids
         xs = table.freq[ids] * (xs >> bits) + slot - table.cum[ids]
-        need = xs < LOW
-        seen = np.cumsum(need, axis=1)
-        word = pool[np.minimum(at[:k, None] + seen - 1, len(pool) - 1)].astype(np.uint64)
-        x[:k] = np.where(need, (xs << half) | word, xs)
-        at[:k] += seen[:, -1]
+        need = np.flatnonzero(xs < LOW)  # in order of the parts, and of the lanes in each
+        some = np.bincount(need // lanes, minlength=k)
+        word = pool[np.repeat(at[:k] - np.cumsum(some) + some, some) + np.arange(len(need))]
+        flat = xs.reshape(-1)
+        flat[need] = (flat[need] << half) | word
+        x[:k] = xs
+        at[:k] += some
     back: list[np.ndarray] = [np.empty(0, np.uint32)] * len(parts)
     for k, p in enumerate(order):
         back[p] = out[: steps[p], k].reshape(-1)

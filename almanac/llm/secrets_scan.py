@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of
+from .common import read_table, text_of, text_slices
 
 _ANY = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 ASSIGN = re.compile("(" + "|".join(map(_ANY, ("password", "passwd", "secret", "token"))) + "|" + _ANY("api") + "_?" + _ANY("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -158,8 +158,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             spans = []
-            for text in batch["text"].to_pylist():
-                spans.append(sorted(base_spans(text) + confirmed_spans(text)))
+            for _, _, texts in text_slices(batch):
+                spans += [sorted(base_spans(x) + confirmed_spans(x)) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([[k < 3 for _, k, _ in x] for x in spans], pa.list_(pa.bool_())), pa.array([[KINDS[k] for _, k, _ in x] for x in spans], pa.list_(pa.string())), pa.array([[a for a, _, _ in x] for x in spans], pa.list_(pa.int64())), pa.array([[b for _, _, b in x] for x in spans], pa.list_(pa.int64()))],
                 names=["doc_id", "base", "kinds", "starts", "ends"],

@@ -15,39 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import new_path, public_tokenizer, read_table, slices, stage, text_of
+from .common import new_path, public_tokenizer, read_table, text_slices, stage, text_of
 from .tokens import encoder
 
 BLOCK_TOKENS, BLOCKS_AT_ONCE = 65_536, 32
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """(doc_id, tie, n_tokens, ids): ids of each whole text and end_id, as compressed 16- or 32-bit integers.
+    """(doc_id, tie, n_tokens, ids, counts): ids of each whole text and end_id, as compressed 16- or 32-bit integers.
 
-    tie orders rows that share a doc_id. A null text is empty: its only id is end_id.
+    tie orders rows that share a doc_id. A null text is empty: its only id is
+    end_id. Each task adds a row with n_tokens -1 that holds only counts, its
+    number of each id.
     """
     from tokenizers import Tokenizer
 
-    wide = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1) > 65_536
+    vocab = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1)
+    wide = vocab > 65_536
     dtype = "<u4" if wide else "<u2"
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         import zstandard
 
+        total = np.zeros(vocab, dtype="<i8")
         enc, end, press = encoder(tokenizer_file, dtype), np.array([end_id], dtype=dtype).tobytes(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in slices(texts):
-                ids = [x + end for x in enc.encode(texts[a:b])]
+            for a, b, texts in text_slices(batch):
+                ids = [x + end for x in enc.encode(texts)]
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype=dtype), minlength=vocab)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), batch["tie"].slice(a, b - a), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int32()), pa.array([press.compress(x) for x in ids], pa.binary())],
+                    [batch["doc_id"].slice(a, b - a), batch["tie"].slice(a, b - a), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int32()), pa.array([press.compress(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())],
                     schema=schema,
                 )
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, -1, None, press.compress(total.tobytes())), schema.types)], schema=schema)
 
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, n_tokens int, ids binary")
+    return rows.mapInArrow(run, "doc_id long, tie long, n_tokens int, ids binary, counts binary")
 
 
 def _ids_of(batch, wide: bool) -> list[np.ndarray]:
@@ -72,16 +77,18 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
     tokens = stage(tokenize(docs, tokenizer_file, end_id), "tokens")
 
     def count(batches):
+        import zstandard
+
         total = np.zeros(vocab, dtype=np.int64)
         for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(np.concatenate(_ids_of(batch, wide)), minlength=vocab)
+            for x in batch["counts"]:
+                total += np.frombuffer(zstandard.decompress(x.as_py()), dtype="<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["token", "n"])
 
     # At most one row for each id of the vocabulary comes to the driver.
     counts = np.zeros(vocab, dtype=np.int64)
-    for row in tokens.select("ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for row in tokens.where("n_tokens < 0").select("counts").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[row["token"]] = row["n"]
     table = rans.Table.fit(counts)
     freq = table.freq.astype(np.int64)
@@ -116,7 +123,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
         if held:
             yield flush()
 
-    ordered = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    ordered = tokens.where("n_tokens >= 0").select("doc_id", "tie", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     ordered.mapInArrow(blocks, "part int, block int, first long, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(t), int(freq[t])) for t in np.flatnonzero(freq)], "token int, freq long").coalesce(1).write.parquet(f"{path}/table")
     # One row for each part, of which there are as many as shuffle partitions.

@@ -69,7 +69,7 @@ class Encoder:
     one is full it becomes the old one, and what is used again moves back.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 300_000):
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
