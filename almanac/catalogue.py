@@ -2,5 +2,562 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import dims
+from .functions import present, text
+from .operators import ingest, serve, upsert
+from .plans import briefing, documents, freshness as fresh
+from .sources.listing import VENUES, listing
+from .sources.pages import html_text, pages
+
+AS_OF = dt.date(2024, 1, 15)
+ORGS = ["org-3", "org-6"]
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+# --- SQL building blocks (DuckDB) -------------------------------------------------------------------------------------
+
+WS = r"\s\x0B\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_list = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+LISTING_SQL = f"""
+e AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type || ' ' || user_id AS series FROM events),
+n AS (SELECT *, series || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' - Day ' || (event_id % 3 + 1) WHEN 2 THEN ' (through day ' || k || ')' ELSE ' (Opening Day)' END AS name FROM e),
+L AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS date,
+  CASE WHEN event_id % 7 <> 0 THEN strftime(ts, '%H:%M') END AS start_time,
+  CASE WHEN event_id % 3 <> 0 THEN strftime(ts + INTERVAL 2 HOURS, '%H:%M') END AS end_time,
+  series, name, CASE WHEN event_id % 11 <> 0 THEN 'About ' || name END AS description,
+  {_list(dims.FILTER_TOWNS)}[user_id % 8 + 1] AS town, {_list(VENUES)}[user_id % 9 + 1] AS venue_name,
+  CASE WHEN k % 2 <> 0 THEN k || ' Main St' END AS address,
+  CASE event_type WHEN 'click' THEN 'live_music' WHEN 'view' THEN 'festival' WHEN 'signup' THEN 'civic' WHEN 'purchase' THEN 'resort'
+    ELSE CASE WHEN user_id % 2 = 0 THEN 'lodge' ELSE 'other' END END AS category,
+  CASE k % 3 WHEN 1 THEN []::VARCHAR[] WHEN 2 THEN ['Artist ' || k, 'Artist ' || (k % 10)] END AS artists,
+  CASE WHEN k <> 99 THEN CASE k % 10 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'tentative' ELSE 'confirmed' END END AS status,
+  CASE WHEN k <> 97 THEN k % 20 = 5 END AS is_past,
+  CASE WHEN k % 4 <> 0 THEN CASE WHEN k % 4 = 1 THEN 'Free' ELSE '$' || k END END AS price,
+  CASE WHEN k <> 98 THEN CASE WHEN user_id % 6 = 0 THEN 'private' ELSE 'public' END END AS visibility,
+  CASE WHEN user_id % 5 <> 0 THEN 'org-' || (user_id % 9) END AS org_slug,
+  k = 42 AS editor_pick, ts AS last_scraped_at, 'https://tickets.example/' || event_id AS event_url, event_id, k FROM n)
+"""
+UP_SQL = LISTING_SQL + ", U AS (SELECT * FROM L WHERE date >= DATE '2024-01-15' AND is_past = false AND status <> 'cancelled')"
+VISIBLE_SQL = UP_SQL + ", V AS (SELECT * FROM U WHERE visibility IS DISTINCT FROM 'private' OR org_slug IN ('org-3', 'org-6'))"
+ORDER_SQL = "date, start_time NULLS LAST, id"
+_day = lambda c: f"strftime({c}, '%Y-%m-%d')"
+_trim = lambda c: f"regexp_replace(regexp_replace({c}, '^[{WS}]+', ''), '[{WS}]+$', '')"
+
+
+def _series_sql(c: str) -> str:
+    for p in (rf"[{WS}]*-[{WS}]*Day[{WS}]*\d+", rf"[{WS}]*\(through[^)]*\)", rf"[{WS}]*\(Opening Day\)"):
+        c = f"regexp_replace({c}, '{p}$', '', 'i')"
+    return _trim(c)
+
+
+def _slug_sql(name: str = "name", date: str = "date", town: str = "town") -> str:
+    c = rf"regexp_replace(lower({name} || ' ' || {_day(date)} || ' ' || {town}), '[^\w{WS}-]', '', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[{WS}]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+def _key_sql() -> str:
+    return f"substr(sha256(lower({_trim('name')}) || '|' || {_day('date')} || '|' || lower({_trim('town')})), 1, 32)"
+
+
+def _time_sql(c: str) -> str:
+    h = rf"TRY_CAST(regexp_extract({c}, '^\s*(\d+)', 1) AS INTEGER)"
+    return f"(CASE WHEN {c} <> '' THEN (CASE WHEN {h} > 12 THEN {h} - 12 WHEN {h} = 0 THEN 12 ELSE {h} END) || ':' || string_split({c}, ':')[2] || CASE WHEN {h} >= 12 THEN ' PM' ELSE ' AM' END END)"
+
+
+def _label_sql(d: str) -> str:
+    return (
+        f"CASE WHEN {d} = DATE '2024-01-15' THEN 'Today — ' || strftime({d}, '%B %-d') WHEN {d} = DATE '2024-01-16' THEN 'Tomorrow — ' || strftime({d}, '%B %-d') "
+        f"WHEN {d} - CAST(dayofweek({d}) AS INTEGER) = DATE '2024-01-15' - CAST(dayofweek(DATE '2024-01-15') AS INTEGER) THEN 'This ' || strftime({d}, '%A') || ' — ' || strftime({d}, '%B %-d') "
+        f"ELSE strftime({d}, '%A, %B %-d, %Y') END"
+    )
+
+
+COLLAPSE_SQL = (
+    VISIBLE_SQL
+    + f""",
+s AS (SELECT *, {_series_sql("name")} AS base, count(*) OVER (PARTITION BY {_series_sql("name")}) AS n,
+        row_number() OVER (PARTITION BY {_series_sql("name")} ORDER BY {ORDER_SQL}) AS rn FROM V),
+a AS (SELECT base, string_agg(x, ', ' ORDER BY f) AS all_artists FROM (
+        SELECT base, x, min((rn, i)) AS f FROM (SELECT base, rn, unnest(artists) AS x, unnest(range(len(artists))) AS i FROM s) GROUP BY base, x) GROUP BY base),
+C AS (SELECT s.id, CASE WHEN n > 1 THEN s.base ELSE name END AS name, date, start_time, end_time, town, venue_name, category, description, price, visibility, org_slug,
+        CASE WHEN n > 1 AND all_artists IS NOT NULL THEN all_artists ELSE array_to_string(artists, ', ') END AS artists, artists IS NULL AS no_artists,
+        CASE WHEN n > 1 THEN (SELECT max(date) FROM s z WHERE z.base = s.base) END AS end_date,
+        CASE WHEN n > 1 THEN n END AS day_count, CASE WHEN n > 1 THEN true END AS is_collapsed
+      FROM s LEFT JOIN a ON s.base = a.base WHERE rn = 1)
+"""
+)
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _visible(spark: SparkSession, d: str) -> DataFrame:
+    return serve.visible(serve.upcoming(listing(spark, d), AS_OF), ORGS)
+
+
+# --- Listing ----------------------------------------------------------------------------------------------------------
+
+_SHOWN = ["id", "name", "description", "start_time", "end_time", "venue_name", "town", "address", "category", "price", "visibility", "org_slug", "editor_pick"]
+_shown_sql = ", ".join(_SHOWN)
+
+
+@_query("upcoming_listing", f"WITH {UP_SQL} SELECT row_number() OVER (ORDER BY {ORDER_SQL}) AS ord, {_shown_sql}, {_day('date')} AS date, array_to_string(artists, ', ') AS artists FROM U")
+def upcoming_listing(spark, d):
+    rows = serve.with_ordinal(serve.upcoming(listing(spark, d), AS_OF))
+    return rows.select("ord", *_SHOWN, text.iso(F.col("date")).alias("date"), F.array_join("artists", ", ").alias("artists"))
+
+
+@_query("detail_scan", f"WITH {UP_SQL} SELECT row_number() OVER (PARTITION BY date ORDER BY id) AS nth, id, {_day('date')} AS date, name FROM U")
+def detail_scan(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = serve.upcoming(listing(spark, d), AS_OF)
+    return rows.select(F.row_number().over(W.partitionBy("date").orderBy("id")).cast("long").alias("nth"), "id", text.iso(F.col("date")).alias("date"), "name")
+
+
+@_query("visible_default", f"WITH {UP_SQL} SELECT id, visibility, org_slug FROM U WHERE visibility IS DISTINCT FROM 'private'")
+def visible_default(spark, d):
+    return serve.visible(serve.upcoming(listing(spark, d), AS_OF)).select("id", "visibility", "org_slug")
+
+
+@_query("visible_with_orgs", f"WITH {VISIBLE_SQL} SELECT id, visibility, org_slug FROM V")
+def visible_with_orgs(spark, d):
+    return _visible(spark, d).select("id", "visibility", "org_slug")
+
+
+@_query(
+    "filter_category_town",
+    f"WITH {VISIBLE_SQL} SELECT category, town, count(*) AS n, count(*) || CASE WHEN count(*) = 1 THEN ' event' ELSE ' events' END AS said FROM V WHERE category = 'festival' AND town = 'Arnold' GROUP BY ALL",
+)
+def filter_category_town(spark, d):
+    rows = serve.visible(serve.upcoming(listing(spark, d), AS_OF), ORGS, "festival", "Arnold")
+    return rows.groupBy("category", "town").agg(F.count(F.lit(1)).alias("n")).withColumn("said", present.events_word(F.col("n")))
+
+
+@_query("series_key", f"WITH {LISTING_SQL} SELECT id, name, {_series_sql('name')} AS series_key FROM L")
+def series_key(spark, d):
+    return listing(spark, d).select("id", "name", text.series_key(F.col("name")).alias("series_key"))
+
+
+_CARD = ["id", "name", "start_time", "end_time", "town", "venue_name", "category", "description", "price", "visibility", "org_slug"]
+_FLAT_ARTISTS = "coalesce(CASE WHEN no_artists AND artists IS NULL THEN '(none)' ELSE artists END, '')"
+
+
+@_query(
+    "collapsed_listing",
+    f"WITH {COLLAPSE_SQL} SELECT row_number() OVER (ORDER BY {ORDER_SQL}) AS ord, {', '.join(_CARD)}, {_day('date')} AS date, {_day('end_date')} AS end_date, day_count, is_collapsed, coalesce(artists, '') AS artists FROM C",
+)
+def collapsed_listing(spark, d):
+    rows = serve.with_ordinal(serve.collapse(_visible(spark, d)))
+    return rows.select("ord", *_CARD, text.iso(F.col("date")).alias("date"), text.iso(F.col("end_date")).alias("end_date"), "day_count", "is_collapsed", F.coalesce(F.array_join("artists", ", "), F.lit("")).alias("artists"))
+
+
+@_query(
+    "date_groups",
+    f"WITH {COLLAPSE_SQL} SELECT dense_rank() OVER (ORDER BY date) AS group_index, {_day('date')} AS date, {_label_sql('date')} AS label, count(*) AS n, arg_min(id, (start_time IS NULL, coalesce(start_time, ''), id)) AS first_id FROM C GROUP BY date",
+)
+def date_groups(spark, d):
+    rows = serve.date_groups(serve.collapse(_visible(spark, d)))
+    return rows.select("group_index", text.iso(F.col("date")).alias("date"), present.group_label(F.col("date"), F.lit(AS_OF)).alias("label"), "n", "first_id")
+
+
+@_query("up_next", f"WITH {COLLAPSE_SQL} SELECT {_day('date')} AS date, id AS first_id FROM C ORDER BY {ORDER_SQL} LIMIT 1")
+def up_next(spark, d):
+    return documents.up_next(serve.date_groups(serve.collapse(_visible(spark, d)))).select(text.iso(F.col("date")).alias("date"), "first_id")
+
+
+_IMAGE_SQL = "CASE " + " ".join(
+    "WHEN (" + " OR ".join(f"contains(lower({c}), '{w}')" for w in words) + ")" + (f" AND category = '{only}'" if only else "") + f" THEN '{path}'" for c, words, only, path in dims.IMAGE_RULES
+) + " ELSE '/images/' || category || '.jpg' END"
+_map_sql = lambda c, m: f"CASE {c} " + " ".join("WHEN '" + k + "' THEN '" + v.replace("'", "''") + "'" for k, v in m.items()) + " END"
+
+
+@_query(
+    "event_cards",
+    f"""WITH {COLLAPSE_SQL} SELECT id, {_slug_sql()} AS slug, strftime(date, '%a') AS weekday,
+  strftime(date, '%b %-d') || coalesce('–' || CASE WHEN strftime(date, '%b') = strftime(end_date, '%b') THEN strftime(end_date, '%-d') ELSE strftime(end_date, '%b %-d') END, '') AS dates,
+  day_count || 'd' AS badge, {_time_sql('start_time')} || coalesce(' - ' || {_time_sql('end_time')}, '') AS times,
+  {_map_sql('category', dims.CATEGORY_LABELS)} AS label, {_map_sql('category', dims.CATEGORY_COLORS)} AS color, {_IMAGE_SQL} AS image,
+  coalesce({_map_sql('org_slug', dims.ORG_LABELS)}, org_slug) AS org FROM C""",
+)
+def event_cards(spark, d):
+    rows = serve.with_slug(serve.collapse(_visible(spark, d)))
+    c = F.col
+    return rows.select(
+        "id", "slug", F.date_format("date", "EEE").alias("weekday"), present.date_badge(c("date"), c("end_date")).alias("dates"), F.concat(c("day_count").cast("string"), F.lit("d")).alias("badge"),
+        text.time_range(c("start_time"), c("end_time"), " - ").alias("times"), present.category_label(c("category")).alias("label"), present.category_color(c("category")).alias("color"),
+        present.image(c("name"), c("venue_name"), c("category")).alias("image"), present.org_label(c("org_slug")).alias("org"),
+    )
+
+
+@_query("event_slugs", f"WITH {UP_SQL} SELECT id, {_slug_sql()} AS slug FROM U")
+def event_slugs(spark, d):
+    return serve.with_slug(serve.upcoming(listing(spark, d), AS_OF)).select("id", "slug")
+
+
+@_query(
+    "slug_lookup",
+    f"WITH {UP_SQL}, s AS (SELECT *, {_slug_sql()} AS slug FROM U) SELECT slug, arg_min(id, (date, id)) AS id, {_day('min(date)')} AS date, count(*) AS n_events FROM s GROUP BY slug",
+)
+def slug_lookup(spark, d):
+    return serve.first_by_slug(serve.upcoming(listing(spark, d), AS_OF)).select("slug", "id", text.iso(F.col("date")).alias("date"), "n_events")
+
+
+@_query("slug_collisions", f"WITH {UP_SQL}, s AS (SELECT *, {_slug_sql()} AS slug FROM U) SELECT slug, arg_min(id, (date, id)) AS id, count(*) AS n_events FROM s GROUP BY slug HAVING count(*) > 1")
+def slug_collisions(spark, d):
+    return serve.first_by_slug(serve.upcoming(listing(spark, d), AS_OF)).where("n_events > 1").select("slug", "id", "n_events")
+
+
+@_query("dangling_card_slugs", f"WITH {COLLAPSE_SQL} SELECT id, {_slug_sql()} AS slug FROM C WHERE {_slug_sql()} NOT IN (SELECT {_slug_sql()} FROM U)")
+def dangling_card_slugs(spark, d):
+    return serve.dangling_slugs(serve.collapse(_visible(spark, d)), serve.upcoming(listing(spark, d), AS_OF)).select("id", "slug")
+
+
+_TOWN_SQL = ", ".join("('" + t[0] + f"', {t[1]}, '" + t[3].replace("'", "''") + f"', {t[4]}, {t[5]})" for t in dims.TOWNS)
+
+
+@_query(
+    "town_context",
+    f"WITH {UP_SQL}, t(name, elevation, drive_text, lat, lng) AS (VALUES {_TOWN_SQL}) SELECT id, town, format('{{:,}}', elevation) || ' ft' AS elevation, drive_text, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM U LEFT JOIN t ON t.name = U.town",
+)
+def town_context(spark, d):
+    t = F.broadcast(dims.towns(spark).withColumnRenamed("name", "town"))  # eight rows
+    rows = serve.upcoming(listing(spark, d), AS_OF).select("id", "town").join(t, "town", "left")
+    placed = (F.col("lat") != 0) & (F.col("lng") != 0)
+    return rows.select("id", "town", present.feet(F.col("elevation")).alias("elevation"), "drive_text", F.when(placed, F.col("lat")).alias("lat"), F.when(placed, F.col("lng")).alias("lng"))
+
+
+@_query("directions", f"WITH {UP_SQL} SELECT id, replace(replace(coalesce(address, venue_name) || ', ' || town || ', CA', ' ', '%20'), ',', '%2C') AS place FROM U")
+def directions(spark, d):
+    return serve.upcoming(listing(spark, d), AS_OF).select("id", present.directions(F.col("address"), F.col("venue_name"), F.col("town")).alias("place"))
+
+
+@_query("dedup_keys", f"WITH {LISTING_SQL} SELECT id, {_key_sql()} AS dedup_key FROM L")
+def dedup_keys(spark, d):
+    return upsert.with_key(listing(spark, d)).select("id", "dedup_key")
+
+
+# --- Upsert -----------------------------------------------------------------------------------------------------------
+
+_M = upsert.MUTABLE
+KEYED_SQL = LISTING_SQL + f""",
+  K AS (SELECT *, {_key_sql()} AS dedup_key FROM L),
+  S AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY event_id) AS rn FROM K WHERE event_id % 2 = 0) WHERE rn = 1),
+  B AS (SELECT 1 AS source_ord, event_id AS row_ord, id, name, date, town, dedup_key, description, start_time, end_time, CASE WHEN k % 5 = 0 THEN '$' || (k + 1) ELSE price END AS price, event_url FROM S
+        UNION ALL SELECT 2, event_id, id, name, date, town, dedup_key, description, start_time, end_time, price, event_url FROM K WHERE event_id % 2 = 1
+        UNION ALL SELECT 3, event_id, id, name, date, town, dedup_key, description, start_time, end_time, price, event_url FROM K WHERE event_id % 2 = 1 AND event_id % 10 = 1),
+  O AS (SELECT B.*, row_number() OVER w AS nth, {", ".join(f"lag(B.{c}) OVER w AS p_{c}" for c in _M)}, {", ".join(f"S.{c} AS h_{c}" for c in _M)}, S.dedup_key IS NOT NULL AS hit
+        FROM B LEFT JOIN S ON B.dedup_key = S.dedup_key WINDOW w AS (PARTITION BY B.dedup_key ORDER BY B.source_ord, B.row_ord)),
+  R AS (SELECT *, CASE WHEN nth = 1 AND NOT hit THEN 'insert' WHEN {" AND ".join(f"(CASE WHEN nth > 1 THEN p_{c} ELSE h_{c} END) IS NOT DISTINCT FROM {c}" for c in _M)} THEN 'unchanged' ELSE 'update' END AS outcome FROM O)
+"""
+_STORE = ["id", "name", "date", "town", "venue_name", "category", *_M, "dedup_key", "last_scraped_at"]
+
+
+def _batches(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A store of the even events' keys, and batches with changes, new keys and repeats."""
+    rows = upsert.with_key(listing(spark, d))
+    names = [c for c in rows.columns if c != "dedup_key"]
+    even = rows.where("event_id % 2 = 0").groupBy("dedup_key").agg(F.min_by(F.struct(*names), "event_id").alias("e")).select("dedup_key", "e.*")
+    odd = rows.where("event_id % 2 = 1")
+    changed = even.withColumn("price", F.when(F.col("k") % 5 == 0, F.concat(F.lit("$"), (F.col("k") + 1).cast("string"))).otherwise(F.col("price")))
+    parts = [changed.withColumn("source_ord", F.lit(1)), odd.withColumn("source_ord", F.lit(2)), odd.where("event_id % 10 = 1").withColumn("source_ord", F.lit(3))]
+    batch = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("row_ord", F.col("event_id"))
+    return even, batch
+
+
+_ORDER = ["source_ord", "row_ord"]
+
+
+@_query("upsert_outcomes", f"WITH {KEYED_SQL} SELECT source_ord, row_ord, dedup_key, price, outcome FROM R")
+def upsert_outcomes(spark, d):
+    return upsert.outcomes(*_batches(spark, d), _ORDER).select("source_ord", "row_ord", "dedup_key", "price", "outcome")
+
+
+@_query("upsert_counters", f"WITH {KEYED_SQL} SELECT source_ord, count(*) FILTER (outcome = 'insert') AS inserted, count(*) FILTER (outcome = 'update') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged FROM R GROUP BY source_ord")
+def upsert_counters(spark, d):
+    return upsert.counters(upsert.outcomes(*_batches(spark, d), _ORDER), "source_ord")
+
+
+@_query(
+    "upsert_final_state",
+    f"""WITH {KEYED_SQL}, ends AS (SELECT dedup_key, arg_min(id, (source_ord, row_ord)) AS id, arg_min(name, (source_ord, row_ord)) AS name, {", ".join(f"arg_max(CASE WHEN {c} IS NULL THEN {{'v': NULL::VARCHAR}} ELSE {{'v': {c}}} END, (source_ord, row_ord)).v AS {c}" for c in _M)} FROM B GROUP BY dedup_key)
+SELECT coalesce(S.id, e.id) AS id, coalesce(S.name, e.name) AS name, coalesce(S.dedup_key, e.dedup_key) AS dedup_key, {", ".join(f"CASE WHEN e.dedup_key IS NOT NULL THEN e.{c} ELSE S.{c} END AS {c}" for c in _M)},
+  e.dedup_key IS NOT NULL AS touched FROM S FULL OUTER JOIN ends e ON S.dedup_key = e.dedup_key""",
+)
+def upsert_final_state(spark, d):
+    store, batch = _batches(spark, d)
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    done = upsert.merge(store.select(*_STORE), batch, _ORDER, now)
+    return done.select("id", "name", "dedup_key", *_M, (F.col("last_scraped_at") == now).alias("touched"))
+
+
+@_query("upsert_idempotent", f"WITH {KEYED_SQL} SELECT CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS updated, count(*) AS unchanged FROM S")
+def upsert_idempotent(spark, d):
+    store, _ = _batches(spark, d)
+    again = store.withColumns({"source_ord": F.lit(1), "row_ord": F.col("event_id")})
+    return upsert.counters(upsert.outcomes(upsert.merge(store.select(*_STORE), again, _ORDER, F.col("last_scraped_at")), again, _ORDER))
+
+
+_ORG_SQL = ", ".join("(" + str(k) + ", '" + s + "', '" + n.replace("'", "''") + "')" for k, (s, n) in enumerate(dims.ORGS))
+
+
+@_query("seed_orgs", f"WITH o(k, slug, display_name) AS (VALUES {_ORG_SQL}) SELECT slug, CASE WHEN slug IN ('bear-valley', 'lube-room') THEN 'kept' ELSE display_name END AS display_name FROM o")
+def seed_orgs(spark, d):
+    held = spark.createDataFrame([("bear-valley", "kept"), ("lube-room", "kept")], "slug string, display_name string")
+    return upsert.insert_missing(held, dims.orgs(spark).select("slug", "display_name"), "slug")
+
+
+@_query("org_list", f"WITH o(k, slug, display_name) AS (VALUES {_ORG_SQL}) SELECT row_number() OVER (ORDER BY display_name) AS ord, slug, display_name FROM o")
+def org_list(spark, d):
+    from pyspark.sql import Window as W
+
+    return dims.orgs(spark).select(F.row_number().over(W.orderBy("display_name")).cast("long").alias("ord"), "slug", "display_name")  # nine rows
+
+
+def _config(spark):
+    return spark.createDataFrame([("greeting", "Welcome"), ("weekly_briefing", "old"), ("empty", "")], "key string, value string")
+
+
+@_query("config_upsert", "SELECT * FROM (VALUES ('greeting', 'Welcome'), ('empty', ''), ('weekly_briefing', 'new'), ('weekly_briefing_date', '2024-01-15T14:00:00Z')) AS t(key, value)")
+def config_upsert(spark, d):
+    new = spark.createDataFrame([("weekly_briefing", "new"), ("weekly_briefing_date", "2024-01-15T14:00:00Z")], "key string, value string")
+    return upsert.upsert_by_key(_config(spark), new, "key")
+
+
+@_query("config_lookup", "SELECT 'Welcome' AS greeting, 'old' AS weekly_briefing, CAST(NULL AS VARCHAR) AS weekly_briefing_date, CAST(NULL AS VARCHAR) AS empty")
+def config_lookup(spark, d):
+    return upsert.config_values(_config(spark), "greeting", "weekly_briefing", "weekly_briefing_date", "empty")
+
+
+# --- Ingest -----------------------------------------------------------------------------------------------------------
+
+_GATE_SQL = "CASE WHEN doc_id % 13 = 0 THEN 'fetch_failed' WHEN length(coalesce(text, '')) < 100 THEN 'too_short' WHEN contains(lower(text), '404') OR contains(lower(text), 'page not found') THEN 'not_found' ELSE 'pass' END"
+
+
+def _gated(spark, d) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    return docs.withColumn("gate_reason", ingest.gate_reason(F.col("doc_id") % 13 != 0, F.col("text")))
+
+
+@_query("page_gate", f"SELECT doc_id, {_GATE_SQL} AS gate_reason FROM documents")
+def page_gate(spark, d):
+    return _gated(spark, d).select("doc_id", "gate_reason")
+
+
+@_query("page_gate_counts", f"SELECT source, {_GATE_SQL} AS gate_reason, count(*) AS n FROM documents GROUP BY ALL")
+def page_gate_counts(spark, d):
+    return _gated(spark, d).groupBy("source", "gate_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _html_sql() -> str:
+    c = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', ' ', 'g')"
+    c = rf"regexp_replace({c}, '(?i)<(br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{a}', '{b}')"
+    c = rf"regexp_replace({c}, '[ \t]+', ' ', 'g')"
+    return rf"trim(regexp_replace({c}, '\s*\n\s*', chr(10), 'g'), ' ')"
+
+
+@_query("page_text", f"SELECT page_id, length({_html_sql()}) AS n_chars, sha256({_html_sql()}) AS text_sha256 FROM pages")
+def page_text(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", html_text(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+
+
+@_query("page_extraction", f"SELECT count(*) FILTER (length({_html_sql()}) >= 100) AS pages, CAST(0 AS BIGINT) AS events FROM pages WHERE NOT contains(lower({_html_sql()}), '404') AND NOT contains(lower({_html_sql()}), 'page not found')")
+def page_extraction(spark, d):
+    replies = ingest.run_extractor(pages(spark, d), ingest.stub_extractor)
+    return replies.agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size(ingest.extracted(F.col("reply")))).cast("long").alias("events"))
+
+
+_REPLIES = [
+    ("lube-room", '```json\n[{"name": "A", "date": "2024-02-01", "town": ""}, {"name": "B", "date": "2024-02-02", "town": "Arnold", "artists": ["x", "y"]}]\n```'),
+    ("gocalaveras", '[{"name": "C", "date": "2024-01-20", "town": "Sonora", "venue_name": "Hall"}]'),
+    ("bear-valley", "[]"), ("branding-iron", '{"name": "D"}'), ("mystic-saloon", '[{"name": "E"'), ("visit-murphys", '[{"name": "F"}] and more'), ("watering-hole", "no events"),
+]
+
+
+@_query(
+    "parse_extraction",
+    "SELECT * FROM (VALUES ('lube-room', 0, 'A', '2024-02-01', 'The Lube Room Saloon', 'Dorrington', '3431 Highway 4, Dorrington, CA 95223', NULL), ('lube-room', 1, 'B', '2024-02-02', 'The Lube Room Saloon', 'Arnold', '3431 Highway 4, Dorrington, CA 95223', 'x, y'), "
+    "('gocalaveras', 0, 'C', '2024-01-20', 'Hall', 'Sonora', NULL, NULL)) AS t(source_slug, row_ord, name, date, venue_name, town, address, artists)",
+)
+def parse_extraction(spark, d):
+    rows = ingest.extract_events(spark.createDataFrame(_REPLIES, "source_slug string, reply string"), dims.sources(spark))
+    return rows.select("source_slug", "row_ord", "name", "date", "venue_name", "town", "address", F.array_join("artists", ", ").alias("artists"))
+
+
+_STATED_SQL = LISTING_SQL + """,
+  I AS (SELECT id, event_id % 9 AS ord, CASE event_id % 6 WHEN 0 THEN ' ' || town || ' ' WHEN 1 THEN town || ', CA' WHEN 2 THEN 'camp' WHEN 3 THEN '' WHEN 4 THEN 'Sonora' END AS stated,
+          CASE WHEN k % 17 = 0 THEN 'TBD' WHEN k % 17 = 1 THEN '2024-02-30' WHEN k % 17 = 2 THEN NULL ELSE strftime(date, '%Y-%m-%d') END AS day FROM L)
+"""
+_ON_SQL = "len(list_filter(" + _list(dims.CORRIDOR) + ", lambda n: contains(lower(" + _trim("stated") + "), n) OR contains(n, lower(" + _trim("stated") + ")))) > 0"
+
+
+def _stated(spark, d) -> DataFrame:
+    """Events as an extractor might give them: odd towns and dates."""
+    e, eid, k = listing(spark, d), F.col("event_id"), F.col("k")
+    town = F.when(eid % 6 == 0, F.concat(F.lit(" "), "town", F.lit(" "))).when(eid % 6 == 1, F.concat("town", F.lit(", CA"))).when(eid % 6 == 2, "camp").when(eid % 6 == 3, "").when(eid % 6 == 4, "Sonora")
+    day = F.when(k % 17 == 0, "TBD").when(k % 17 == 1, "2024-02-30").when(k % 17 != 2, text.iso(F.col("date")))
+    return e.select("id", (eid % 9).cast("int").alias("source_ord"), town.alias("town"), day.alias("date"))
+
+
+@_query("corridor_filter", f"WITH {_STATED_SQL} SELECT id, stated AS town FROM I WHERE {_ON_SQL}")
+def corridor_filter(spark, d):
+    return _stated(spark, d).where(ingest.on_corridor(F.col("town"))).select("id", "town")
+
+
+@_query("ingest_future", f"WITH {_STATED_SQL} SELECT id, day AS stated_date, TRY_CAST(day AS DATE) IS NULL AS date_rejected FROM I WHERE day >= '2024-01-15'")
+def ingest_future(spark, d):
+    rows = _stated(spark, d).where(ingest.is_future(F.col("date"), AS_OF)).withColumn("stated_date", F.col("date"))
+    return ingest.with_date(rows).select("id", "stated_date", "date_rejected")
+
+
+_SRC_SQL = ", ".join(f"({s[0]}, '{s[1]}', {str(s[6]).lower()})" for s in dims.SOURCES)
+
+
+@_query(
+    "ingest_counts",
+    f"WITH {_STATED_SQL}, s(ord, source_slug, filtered) AS (VALUES {_SRC_SQL}) SELECT source_slug, count(*) AS extracted, count(*) FILTER (NOT filtered OR ({_ON_SQL})) AS on_corridor, "
+    f"count(*) FILTER ((NOT filtered OR ({_ON_SQL})) AND day >= '2024-01-15') AS future FROM I JOIN s ON I.ord = s.ord GROUP BY source_slug",
+)
+def ingest_counts(spark, d):
+    own = F.broadcast(dims.sources(spark).select("source_ord", F.col("slug").alias("source_slug"), "corridor_filter"))  # nine rows
+    return ingest.ingest_counts(_stated(spark, d).join(own, "source_ord"), AS_OF)
+
+
+# --- Briefing, documents, freshness -----------------------------------------------------------------------------------
+
+_WINDOW_SQL = UP_SQL + ", W AS (SELECT * FROM U WHERE date <= DATE '2024-01-22' AND visibility = 'public')"
+_LINE_SQL = f"""name || ' at ' || venue_name || ' (' || town || ')' || ' — on ' || {_day('date')} || coalesce(' — at ' || start_time, '') || ' — [' || category || ']' || coalesce(' — ' || price, '')
+  || CASE WHEN editor_pick THEN ' — {briefing.PICK.replace("'", "''")}' ELSE '' END || CASE WHEN artists IS NOT NULL THEN ' — Artists: ' || coalesce(array_to_string(artists, ', '), '') ELSE '' END"""
+
+
+@_query("briefing_window", f"WITH {_WINDOW_SQL} SELECT id, {_day('date')} AS date, CASE WHEN date = DATE '2024-01-15' THEN 'today' ELSE 'upcoming' END AS block FROM W")
+def briefing_window(spark, d):
+    rows = serve.briefing_window(listing(spark, d), AS_OF)
+    return rows.select("id", text.iso(F.col("date")).alias("date"), F.when(F.col("date") == F.lit(AS_OF), "today").otherwise("upcoming").alias("block"))
+
+
+@_query("briefing_lines", f"WITH {_WINDOW_SQL} SELECT id, {_LINE_SQL} AS line FROM W")
+def briefing_lines(spark, d):
+    return serve.briefing_window(listing(spark, d), AS_OF).select("id", briefing.line().alias("line"))
+
+
+@_query("briefing_blocks", f"WITH {_WINDOW_SQL} SELECT CASE WHEN date = DATE '2024-01-15' THEN 'today' ELSE 'upcoming' END AS block, count(*) AS n, string_agg({_LINE_SQL}, chr(10) ORDER BY {ORDER_SQL}) AS lines FROM W GROUP BY 1")
+def briefing_blocks(spark, d):
+    return briefing.blocks(listing(spark, d), AS_OF)
+
+
+@_query(
+    "briefing_result",
+    f"WITH {_WINDOW_SQL}, b AS (SELECT date = DATE '2024-01-15' AS t, {_LINE_SQL} AS line, {ORDER_SQL.replace(' NULLS LAST', '')} FROM W) "
+    f"SELECT true AS ok, count(*) AS event_count, 'Today is Monday, January 15, 2024. Write the daily briefing.' || chr(10) || chr(10) || 'TODAY''S EVENTS:' || chr(10) || string_agg(line, chr(10) ORDER BY {ORDER_SQL}) FILTER (t) || chr(10) || chr(10) || 'NEXT 6 DAYS:' || chr(10) || string_agg(line, chr(10) ORDER BY {ORDER_SQL}) FILTER (NOT t) AS briefing FROM b",
+)
+def briefing_result(spark, d):
+    return briefing.run(listing(spark, d), _config(spark), AS_OF, "2024-01-15T14:00:00Z")[0]
+
+
+@_query("paragraphs", "SELECT doc_id, unnest(range(len(p))) AS ord, unnest(p) AS paragraph FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents)")
+def paragraphs(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("ord", "paragraph")).withColumn("ord", F.col("ord").cast("long"))
+
+
+_SCHEMA = "https://schema.org"
+_PRICE_SQL = "CASE WHEN price <> '' THEN CASE WHEN price = 'Free' THEN '0' ELSE price END END"
+_START_SQL = f"{_day('date')} || coalesce('T' || nullif(start_time, ''), '')"
+_END_SQL = f"CASE WHEN end_time <> '' THEN {_day('date')} || 'T' || end_time END"
+
+
+@_query(
+    "itemlist_doc",
+    f"WITH {UP_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS position, count(*) OVER () AS number_of_items FROM U WHERE visibility = 'public') "
+    f"SELECT position, number_of_items, '{dims.SITE_URL}/events/' || {_slug_sql()} AS url, name, {_START_SQL} AS start_date, {_END_SQL} AS end_date, venue_name, town, nullif(description, '') AS description, {_PRICE_SQL} AS price, '{_SCHEMA}/EventScheduled' AS event_status FROM p WHERE position <= 50",
+)
+def itemlist_doc(spark, d):
+    return documents.list_items(serve.upcoming(listing(spark, d), AS_OF))
+
+
+@_query(
+    "event_doc",
+    f"WITH {UP_SQL}, s AS (SELECT *, {_slug_sql()} AS slug FROM U) SELECT id, slug, name, description, {_START_SQL} AS start_date, {_END_SQL} AS end_date, venue_name, address AS street, town, {_PRICE_SQL} AS price, "
+    f"CASE WHEN price <> '' THEN event_url END AS offer_url, '{_SCHEMA}/' || CASE WHEN status = 'tentative' THEN 'EventPostponed' ELSE 'EventScheduled' END AS event_status, CASE WHEN len(artists) > 0 THEN array_to_string(artists, ', ') END AS performers FROM s",
+)
+def event_doc(spark, d):
+    return documents.event_fields(serve.upcoming(listing(spark, d), AS_OF)).withColumn("performers", F.array_join("performers", ", "))
+
+
+@_query(
+    "page_metadata",
+    f"WITH {UP_SQL}, s AS (SELECT *, {_slug_sql()} AS slug FROM U) SELECT id, name || ' — ' || strftime(date, '%B %-d, %Y') || ' in ' || town AS title, "
+    f"coalesce(substr(description, 1, 155), name || ' at ' || venue_name || ' in ' || town || ', CA on ' || strftime(date, '%B %-d, %Y') || '.') AS description, '/events/' || slug AS canonical, '{dims.SITE_URL}/events/' || slug AS url FROM s",
+)
+def page_metadata(spark, d):
+    return documents.page_metadata(serve.upcoming(listing(spark, d), AS_OF))
+
+
+@_query(
+    "sitemap_rows",
+    f"WITH {UP_SQL} SELECT 3 AS section, '{dims.SITE_URL}/events/' || {_slug_sql()} AS url, 'weekly' AS change_frequency, CAST(0.8 AS DOUBLE) AS priority FROM U "
+    f"UNION ALL SELECT * FROM (VALUES (0, '{dims.SITE_URL}', 'daily', CAST(1.0 AS DOUBLE)), (1, '{dims.SITE_URL}/about', 'monthly', CAST(0.7 AS DOUBLE)), (2, '{dims.SITE_URL}/faq', 'monthly', CAST(0.6 AS DOUBLE)))",
+)
+def sitemap_rows(spark, d):
+    return documents.sitemap(spark, serve.upcoming(listing(spark, d), AS_OF))
+
+
+_NOW = "2024-02-01 12:00:00"
+
+
+@_query(
+    "freshness",
+    f"WITH m AS (SELECT max(ts) AS t FROM events), a AS (SELECT t, epoch(TIMESTAMP '{_NOW}') - floor(epoch(t)) AS s FROM m) SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS last_checked, CAST(floor(s / 3600) AS BIGINT) AS age_hours, s < 172800 AS is_recent, "
+    "'Last checked ' || CASE WHEN s < 172800 THEN CASE WHEN round(s / 60) < 1440 THEN 'about ' || CAST(round(round(s / 60) / 60) AS BIGINT) || ' hours ago' WHEN round(s / 60) < 2520 THEN '1 day ago' ELSE CAST(round(round(s / 60) / 1440) AS BIGINT) || ' days ago' END ELSE 'on ' || strftime(t, '%A') END || '. Not all events may be listed.' AS sentence FROM a",
+)
+def freshness(spark, d):
+    return fresh.freshness(listing(spark, d), F.lit(_NOW).cast("timestamp_ntz"))
+
+
+# --- Operators known from design documents only -----------------------------------------------------------------------
+
+
+@_query("stale_events", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE ts < TIMESTAMP '2024-01-15' - INTERVAL 14 DAYS OR ts < TIMESTAMP '2024-01-01 12:00:00'")
+def stale_events(spark, d):
+    rows = listing(spark, d)
+    late = rows.where(F.col("last_scraped_at") < F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
+    return upsert.possibly_stale(rows, AS_OF).select("id").union(late.select("id")).distinct()
+
+
+@_query(
+    "crawl_recent",
+    f"WITH {LISTING_SQL}, r AS (SELECT id, town, row_number() OVER (PARTITION BY town ORDER BY date DESC, id) AS nth FROM L WHERE date >= DATE '2024-01-15' - 60) SELECT id, town, nth FROM r WHERE nth <= 20",
+)
+def crawl_recent(spark, d):
+    return upsert.crawl_recent(listing(spark, d), AS_OF, by="town").select("id", "town", F.col("nth").cast("long").alias("nth"))
+
+
+@_query("reconcile_visibility", f"WITH {LISTING_SQL} SELECT {_key_sql()} AS dedup_key, CASE WHEN bool_or(visibility = 'public') THEN 'public' ELSE 'private' END AS visibility FROM L GROUP BY 1")
+def reconcile_visibility(spark, d):
+    return upsert.reconcile_visibility(upsert.with_key(listing(spark, d)))
+
+
+@_query("scoring_batches", f"WITH {LISTING_SQL} SELECT id, {_day('date')} AS date, CAST((row_number() OVER (PARTITION BY date ORDER BY id) - 1) // 10 + 1 AS BIGINT) AS batch FROM L WHERE visibility = 'public' AND (k % 7 <> 0 OR k % 14 <> 0)")
+def scoring_batches(spark, d):
+    k = F.col("k")
+    rows = listing(spark, d).withColumns({"importance": F.when(k % 7 == 0, "major"), "importance_override": k % 14 == 0})
+    return upsert.scoring_batches(rows).select("id", text.iso(F.col("date")).alias("date"), "batch")
