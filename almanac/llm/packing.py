@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import public_tokenizer, read_table, text_slices, text_of
+from .common import public_tokenizer, read_table, stage, text_of, text_slices
 from .tokens import encoder
 
 #: Items of a shard at most, on average; a shard is packed in one task.
-SHARD_ITEMS = 20_000
+SHARD_ITEMS = 5_000
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, *keep: str) -> DataFrame:
@@ -99,6 +99,7 @@ def pack(items: DataFrame, capacity: int, max_docs: int, max_attention: int, wei
     """
     limit, w = np.array([capacity, max_docs, max_attention], dtype=float), np.asarray(weights, dtype=float)
     spark, names = items.sparkSession, items.columns
+    items = stage(items, "pieces")  # read twice below, made once
     full = items.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     part = items.where(F.col("length") < capacity)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -124,7 +125,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, size: int)
 
 def shards_for(docs: DataFrame) -> int:
     """As many shards as keep one at SHARD_ITEMS items; a document has at most one piece below the capacity."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_ITEMS))
+    return max(1, -(-docs.count() // SHARD_ITEMS))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
