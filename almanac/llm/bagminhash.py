@@ -31,6 +31,9 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability 6e-5.
 BANDS, ROWS = 32, 6
 M = BANDS * ROWS
+#: A signature's sketch has a bit for each component; of two texts with similarity 0.8, a tenth of the bits differ
+#: (19, standard deviation 4.2), and more than this many with probability 1e-5.
+BITS_APART = 38
 HOT = 1000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,6 +115,12 @@ def _word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[np.concatenate(flat)], np.array(n, dtype=np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """A bit of each component, as 64-bit integers."""
+    bits = (_mix(signature) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+
+
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, run of `size` words): document, key, how often. A shorter text is one run of all its words; one without words has none."""
     word, n = _word_keys(texts)
@@ -150,21 +159,31 @@ def _words_digest(text: Column) -> Column:
 
 
 def band_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, keys): the node is the digest of the text's words, keys are null without words."""
+    """(doc_id, node, size, keys, bits): the node is the digest of the text's words, size its number of word runs; keys and bits are null without words."""
 
     def run(batches):
         for batch in batches:
             for a, b, texts in text_slices(batch, 600_000):
                 raw = [x.encode() for x in texts]
                 doc, key, times = shingles(raw)
-                has = np.bincount(doc, minlength=len(raw)) > 0
-                got = bands(signatures(key, times, doc, len(raw)))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (len(raw) + 1), BANDS), pa.int32()), pa.array(got.reshape(-1)), mask=pa.array(~has))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["node"].slice(a, b - a), flat], names=["doc_id", "node", "keys"])
+                size = np.bincount(doc, times, len(raw)).astype(np.int32)
+                sign = signatures(key, times, doc, len(raw))
+                lists = []
+                for x in (bands(sign), sketch(sign)):
+                    offsets = pa.array(np.arange(0, x.shape[1] * (len(raw) + 1), x.shape[1]), pa.int32())
+                    lists.append(pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)), mask=pa.array(size == 0)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["node"].slice(a, b - a), pa.array(size), *lists], names=["doc_id", "node", "size", "keys", "bits"])
 
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _words_digest(text).alias("node"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, node binary, size int, keys array<long>, bits array<long>")
+
+
+def _maybe(x: str, y: str) -> Column:
+    """Whether two nodes' columns (size, s0, s1, …; with the prefixes x and y) leave room for a similarity of 0.8."""
+    apart = sum((F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}"))) for k in range(M // 64)), F.lit(0))
+    a, b = F.col(f"{x}size"), F.col(f"{y}size")
+    return (apart <= BITS_APART) & (F.least(a, b) >= SIMILAR * F.greatest(a, b))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -172,8 +191,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = [similarity(x, y) >= SIMILAR for x, y in zip(batch["s"].to_pylist(), batch["t"].to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                keep = [similarity(x, y) >= SIMILAR for x, y in zip(part["s"].to_pylist(), part["t"].to_pylist())]
+                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
@@ -210,29 +231,41 @@ def near_classes(docs: DataFrame) -> DataFrame:
     class_id is the doc_id, which may be null. An empty table gives no rows.
     """
     rows = stage(band_keys(docs), "bands")
-    nodes = rows.where("keys IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    nodes = rows.where("keys IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = stage(nodes, "nodes")
-    buckets = stage(nodes.select("node", F.posexplode("keys").alias("band", "key")).drop("band"), "buckets")
-    center = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = stage(buckets.join(center, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "pairs")
-
-    # Texts of the nodes that any pair holds; one row stands for each node.
-    member = buckets.join(center.select("key"), "key", "left_semi").select("node").distinct()
-    holder = nodes.join(member, "node", "left_semi").select("node", F.col("first").alias("_first"))
+    sketches = nodes.select("node", "size", *(F.col("bits")[k].alias(f"s{k}") for k in range(M // 64)))
+    facts = ["size", *(f"s{k}" for k in range(M // 64))]
+    prefixed = lambda df, p: df.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in facts))
+
+    # Buckets with more than one node; most have one and are gone after the first sum.
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    center = buckets.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = stage(buckets.join(center, "key"), "buckets")
+    pairs = shared.select(F.col("node").alias("a"), F.col("center").alias("b")).where("a <> b").distinct()
+    pairs = pairs.join(prefixed(sketches, "b"), "b").join(prefixed(sketches, "a"), "a").where(_maybe("a_", "b_")).select("a", "b")
+    pairs = stage(pairs, "pairs")
+
+    # Texts of the nodes that share a bucket; the row of the smallest doc_id stands for each.
+    holder = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("_first"))
     text = text_of(docs)
-    own = docs.select(_words_digest(text).alias("node"), docs["doc_id"].cast("long").alias("_first"), text.alias("text"))
-    texts = own.join(holder, (own["node"] == holder["node"]) & own["_first"].eqNullSafe(holder["_first"]), "left_semi")
-    texts = stage(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    own = docs.select(_words_digest(text).alias("node"), docs["doc_id"].cast("long").alias("_id"), text.alias("text"))
+    texts = own.join(holder, "node").where(F.col("_id").eqNullSafe(F.col("_first"))).groupBy("node").agg(F.min("text").alias("text"))
+    texts = stage(texts, "texts")
 
     links = stage(_verified(pairs, texts), "similar")
     found = stage(components(links), "roots")
-    # What shares a bucket but no component yet; pairs that were compared aren't compared again.
-    crowded = buckets.join(center.select("key"), "key", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    crowded = stage(crowded.join(split, "key"), "crowded")
-    p, q = crowded.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), crowded.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = p.join(q, "key").where("a > b AND ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stage(_verified(across, texts), "similar")
+    # What shares a bucket but no component yet. All members but those of the bucket's largest component are compared
+    # with the members of other components, by their sketches first; pairs that were compared aren't compared again.
+    crowded = shared.select("key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = crowded.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    crowded = stage(crowded.join(largest, "key").join(sketches, "node"), "crowded")
+    side = lambda p: crowded.select("key", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), F.col("largest").alias(f"{p}_largest"), *(F.col(c).alias(f"{p}_{c}") for c in facts))
+    one, two = side("a").where("a_root <> a_largest"), side("b")
+    near = (one["key"] == two["key"]) & (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_largest")) | (F.col("a") > F.col("b"))) & _maybe("a_", "b_")
+    across = one.join(two, near).select("a", "b").distinct()
+    done = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = stage(_verified(across.join(done, ["a", "b"], "left_anti"), texts), "similar")
     if not more.isEmpty():
         found = stage(components(links.unionByName(more)), "roots")
 

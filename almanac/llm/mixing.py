@@ -85,6 +85,12 @@ def mix(docs: DataFrame, *keep: str, weights: tuple[int, ...] = WEIGHTS, epochs:
     Ties of the hash key (repeated doc_ids) are ordered by doc_id and size. An
     empty table gives no rows; where all sizes are 0, all targets are.
     """
+    found = _mixed(docs, keep, weights, epochs, seed)
+    return found.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target", "taken", "copies")
+
+
+def _mixed(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...], epochs: int, seed: str) -> DataFrame:
+    """mix() with the columns to keep named _keep_0 and so on."""
     source = docs["source"].cast("string")
     rows = docs.select(
         *(docs[c].alias(f"_keep_{i}") for i, c in enumerate(keep)),
@@ -95,7 +101,7 @@ def mix(docs: DataFrame, *keep: str, weights: tuple[int, ...] = WEIGHTS, epochs:
     )
     rows = running_total(rows, "_source", [F.col("_key"), F.col("_id"), F.col("size")], "size", "_before")
     targets = source_targets(rows.select("_source", "size"), weights, epochs)
-    return _cut(rows, targets).select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target", "taken", "copies")
+    return _cut(rows, targets)
 
 
 def _cut(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -107,11 +113,11 @@ def _cut(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return own.withColumns({"taken": F.col("size") * F.col("_epochs") + part, "copies": (F.col("_epochs") + (F.col("_before") + F.col("size") <= rest).cast("long")).cast("int")})
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """Whole rows of docs, each as often as the mix takes it whole."""
-    names = docs.columns
-    found = mix(docs, *names, **settings).where("copies > 0")
-    return found.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*names)
+    names = tuple(docs.columns)
+    found = _mixed(docs, names, weights, epochs, seed).where("copies > 0")
+    return found.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

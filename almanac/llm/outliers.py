@@ -107,9 +107,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     n = F.col("n_words")
     # Logarithms of counts against the logarithm of the length, so that a long clean text is no outlier.
     share = lambda c: F.log(F.col(c) + 1) / F.log(n + 20)
-    values = (F.log(F.col("n_distinct") + 1) / F.log(n + 1), F.log((F.col("word_chars") + 5) / (n + 1)), share("n_symbols"), share("n_dup_lines"), share("n_repeat_words"))
+    values = (F.log(F.col("n_distinct") + 1) / F.log(F.greatest(n, F.lit(1)) + 1), F.log((F.col("word_chars") + 5) / (n + 1)), share("n_symbols"), share("n_dup_lines"), share("n_repeat_words"))
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
-    values = tuple(F.coalesce(v, F.lit(0.0)) for v in values)  # without words
     return rows.withColumns({"base_failed": failed} | dict(zip(VECTOR, values)))
 
 
