@@ -74,18 +74,19 @@ def with_ordinal(rows: DataFrame, name: str = "ord") -> DataFrame:
 def collapse(events: DataFrame) -> DataFrame:
     """Events of one series become one row: the first one's, with end_date, day_count and all artists in order of appearance.
 
-    A series of one row stays as it is, suffix and all. One shuffle by series;
-    the order is a struct, so no global sort is needed.
+    A series of one row stays as it is, suffix and all. The order is a struct, so
+    no global sort is needed. Rows and artists are combined in each task before
+    the shuffles, so a series may hold any share of the table: only its distinct
+    artists meet in one row.
     """
     names = events.columns
-    key, none = order_key(), F.array().cast("array<string>")
-    groups = events.withColumn("_series", series_key(F.col("name"))).groupBy("_series").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct(*names), key).alias("rep"),
-        F.max_by("date", key).alias("last"),
-        F.array_sort(F.collect_list(F.when(F.size(F.coalesce("artists", none)) > 0, F.struct(key.alias("k"), F.col("artists").alias("a"))))).alias("lists"),
-    )
-    artists = F.array_distinct(F.flatten(F.transform("lists", lambda x: x["a"])))
+    key = order_key()
+    rows = events.withColumn("_series", series_key(F.col("name")))
+    groups = rows.groupBy("_series").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*names), key).alias("rep"), F.max_by("date", key).alias("last"))
+    seen = rows.select("_series", key.alias("k"), F.posexplode("artists").alias("i", "artist")).groupBy("_series", "artist").agg(F.min(F.struct("k", "i")).alias("first"))
+    seen = seen.groupBy("_series").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "artist"))), lambda x: x["artist"]).alias("_artists"))
+    groups = groups.join(seen.withColumnRenamed("_series", "_of"), F.col("_series").eqNullSafe(F.col("_of")), "left")
+    artists = F.coalesce("_artists", F.array().cast("array<string>"))
     many = F.col("n") > 1
     changed = {"name": F.when(many, F.col("_series")).otherwise(F.col("rep.name")), "artists": F.when(many & (F.size(artists) > 0), artists).otherwise(F.col("rep.artists"))}
     kept = [changed.get(c, F.col(f"rep.{c}")).alias(c) for c in names]
