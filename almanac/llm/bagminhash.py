@@ -10,16 +10,16 @@ agree in a component with a probability that is their weighted Jaccard
 similarity. Bands of the signature propose pairs; the multiset overlap of the
 texts decides.
 
-Texts with the same words are one node throughout. Linking is done in rounds:
-each bucket compares its members with its smallest one, then what is left in
-more than one component is compared across components, so a group of many near
-copies takes as many comparisons as members.
+Texts with the same words are one node throughout. Linking takes two rounds.
+First each bucket compares its members with its smallest one, so a group of
+many near copies takes as many comparisons as members. Then the members outside
+a bucket's largest component are compared with the bucket's other components,
+in blocks of a bounded number of texts: a block counts the runs that its texts
+share by products of small matrices, and gives only links that join components.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +35,8 @@ M = BANDS * ROWS
 #: (19, standard deviation 4.2), and more than this many with probability 1e-5.
 BITS_APART = 38
 HOT = 1000
+#: Texts and word runs of one side of a block, on average; and columns of its matrices.
+BLOCK_TEXTS, BLOCK_RUNS, COLUMNS = 400, 200_000, 4096
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,13 +145,17 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return doc[starts], key[starts], np.diff(np.append(starts, len(key)))
 
 
-def similarity(a: str, b: str, size: int = SHINGLE) -> float:
-    """Weighted Jaccard similarity of the texts' multisets of word runs."""
-    runs = lambda x: Counter(tuple(x[i : i + size]) for i in range(max(1, len(x) - size + 1))) if x else Counter()
-    p, q = runs(a.encode().split()), runs(b.encode().split())
-    both = sum((p & q).values())
-    union = sum(p.values()) + sum(q.values()) - both
-    return both / union if union else 0.0
+def folded(doc: np.ndarray, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The multisets as sets: each key once for each time it occurs, as different elements. Document, element."""
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    with np.errstate(over="ignore"):
+        return np.repeat(doc, times), _mix(np.repeat(key, times) + _mix(nth.astype(np.uint64) * _STEP))
+
+
+def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether multisets of a and b runs, of which they share `both`, have a similarity of at least 0.8."""
+    union = a + b - both
+    return (union > 0) & (both >= SIMILAR * union)
 
 
 def _words_digest(text: Column) -> Column:
@@ -186,20 +192,115 @@ def _maybe(x: str, y: str) -> Column:
     return (apart <= BITS_APART) & (F.least(a, b) >= SIMILAR * F.greatest(a, b))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough. texts: (node, text), one row for each node."""
+def _runs(rows: DataFrame) -> DataFrame:
+    """(node, runs) from (node, text): the text's multiset of word runs as sorted 64-bit elements."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, texts in text_slices(batch, 600_000):
+                doc, element = folded(*shingles([x.encode() for x in texts]))
+                element = element[np.lexsort((element, doc))]
+                ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
+                own = [x.tobytes() for x in np.split(element, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array(own, pa.binary())], names=["node", "runs"])
+
+    return rows.mapInArrow(run, "node binary, runs binary")
+
+
+def _verified(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough. runs: (node, runs), one row for each node."""
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                keep = [similarity(x, y) >= SIMILAR for x, y in zip(part["s"].to_pylist(), part["t"].to_pylist())]
+                part, keep = batch.slice(k, 500), []
+                for x, y in zip(part["s"], part["t"]):
+                    p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
+                    both = np.sort(np.concatenate([p, q]), kind="stable")
+                    keep.append(bool(similar(np.count_nonzero(both[1:] == both[:-1]), len(p), len(q))))
                 yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+    one, two = runs.select(F.col("node").alias("a"), F.col("runs").alias("s")), runs.select(F.col("node").alias("b"), F.col("runs").alias("t"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
 
 
+def block_links(root: np.ndarray, runs: list[bytes]) -> list[tuple[int, int]]:
+    """Links between similar texts of different roots, as many as join what the block's texts join.
+
+    runs are the texts' sorted elements. Shared elements are counted by matrix
+    products over a bounded number of columns.
+    """
+    n, sets = len(runs), [np.frombuffer(x, dtype=np.uint64) for x in runs]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    element, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    name = np.cumsum(times > 1) - 1
+    seen = times[column] > 1  # an element of one text is shared with none
+    row, column = np.repeat(np.arange(n), size)[seen], name[column[seen]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), dtype=np.float32)  # whole numbers below 2**24
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [begin, begin + COLUMNS])
+        own = np.zeros((n, int(column[y - 1]) + 1 - begin), dtype=np.float32)
+        own[row[x:y], column[x:y] - begin] = 1
+        both += own @ own.T
+    a, b = np.nonzero(similar(both, size[:, None], size[None, :]) & (root[:, None] != root[None, :]))
+    parent, links = {r: r for r in root.tolist()}, []
+    for p, q in zip(a.tolist(), b.tolist()):
+        if p < q:
+            at = []
+            for x in (root[p], root[q]):
+                x = int(x)
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                at.append(x)
+            if at[0] != at[1]:
+                parent[max(at)] = min(at)
+                links.append((p, q))
+    return links
+
+
+def _across(members: DataFrame, runs: DataFrame) -> DataFrame:
+    """Links (a, b) between members (key, node, root, largest, size) of a key with different roots.
+
+    A key's members are dealt to slices: those of its largest root, and the
+    rest. Each slice of the rest meets every slice, in a block of its own, so a
+    block holds two slices, and a member is copied once for each block.
+    """
+    big = F.col("root") == F.col("largest")
+    slices = lambda c: F.ceil(F.greatest(F.sum(F.when(c, 1).otherwise(0)) / BLOCK_TEXTS, F.sum(F.when(c, F.col("size")).otherwise(0)) / BLOCK_RUNS)).cast("int")
+    counts = members.groupBy("key").agg(slices(~big).alias("rest"), slices(big).alias("most"))
+    rows = members.join(counts, "key").withColumn("own", F.when(big, F.col("rest") + F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(big, F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1))
+    rows = rows.select("node", "root", "size", "key", "own", F.explode(others).alias("other"))
+    rows = rows.select("node", "root", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block")).join(runs, "node")
+
+    def run(batches):
+        at, nodes, roots, own = None, [], [], []
+
+        def links():
+            number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+            found = block_links(np.array([number[r] for r in roots]), own) if len(number) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[p] for p, _ in found], pa.binary()), pa.array([nodes[q] for _, q in found], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                for block, node, root, x in zip(*(part[c].to_pylist() for c in ("block", "node", "root", "runs"))):
+                    if block != at:
+                        if nodes:
+                            yield links()
+                        at, nodes, roots, own = block, [], [], []
+                    nodes.append(node)
+                    roots.append(root)
+                    own.append(x)
+        if nodes:
+            yield links()
+
+    dealt = rows.select("block", "node", "root", "runs").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): for each node of links (a, b) the smallest node that it is connected with.
 
@@ -245,27 +346,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(prefixed(sketches, "b"), "b").join(prefixed(sketches, "a"), "a").where(_maybe("a_", "b_")).select("a", "b")
     pairs = stage(pairs, "pairs")
 
-    # Texts of the nodes that share a bucket; the row of the smallest doc_id stands for each.
+    # Word runs of the nodes that share a bucket; the text of the smallest doc_id stands for each.
     holder = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("_first"))
     text = text_of(docs)
     own = docs.select(_words_digest(text).alias("node"), docs["doc_id"].cast("long").alias("_id"), text.alias("text"))
     texts = own.join(holder, "node").where(F.col("_id").eqNullSafe(F.col("_first"))).groupBy("node").agg(F.min("text").alias("text"))
-    texts = stage(texts, "texts")
+    runs = stage(_runs(texts), "runs")
 
-    links = stage(_verified(pairs, texts), "similar")
+    links = stage(_verified(pairs, runs), "similar")
     found = stage(components(links), "roots")
-    # What shares a bucket but no component yet. All members but those of the bucket's largest component are compared
-    # with the members of other components, by their sketches first; pairs that were compared aren't compared again.
+    # What shares a bucket but no component yet.
     crowded = shared.select("key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = crowded.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    crowded = stage(crowded.join(largest, "key").join(sketches, "node"), "crowded")
-    side = lambda p: crowded.select("key", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), F.col("largest").alias(f"{p}_largest"), *(F.col(c).alias(f"{p}_{c}") for c in facts))
-    one, two = side("a").where("a_root <> a_largest"), side("b")
-    near = (one["key"] == two["key"]) & (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_largest")) | (F.col("a") > F.col("b"))) & _maybe("a_", "b_")
-    across = one.join(two, near).select("a", "b").distinct()
-    done = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = stage(_verified(across.join(done, ["a", "b"], "left_anti"), texts), "similar")
+    crowded = stage(crowded.join(largest, "key").join(nodes.select("node", "size"), "node"), "crowded")
+    more = stage(_across(crowded, runs), "similar")
     if not more.isEmpty():
         found = stage(components(links.unionByName(more)), "roots")
 

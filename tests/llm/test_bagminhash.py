@@ -1,5 +1,7 @@
 """Signatures are unbiased; classes agree with brute force over all pairs."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from helpers import LONG, PROSE, documents
@@ -48,6 +50,15 @@ def near_copies():
     return [*rows, (at, rows[0][1]), (at + 1, rows[0][1].replace(" ", "\n")), (at + 2, None), (at + 3, ""), (at + 4, "a b"), (at + 5, "a  b"), (at + 6, LONG), (at + 7, LONG + " end")]
 
 
+def similarity(a, b, size=5):
+    """Weighted Jaccard similarity of the texts' multisets of word runs, by counting them."""
+    runs = lambda x: Counter(tuple(x[i : i + size]) for i in range(max(1, len(x) - size + 1))) if x else Counter()
+    p, q = runs(a.encode().split()), runs(b.encode().split())
+    both = sum((p & q).values())
+    union = sum(p.values()) + sum(q.values()) - both
+    return both / union if union else 0.0
+
+
 def brute(rows):
     parent = {d: d for d, _ in rows}
 
@@ -58,7 +69,7 @@ def brute(rows):
 
     for i, (a, s) in enumerate(rows):
         for b, t in rows[:i]:
-            if bmh.similarity(s or "", t or "") >= 0.8:
+            if similarity(s or "", t or "") >= 0.8:
                 p, q = sorted((find(a), find(b)))
                 parent[q] = p
     return {d: find(d) for d in parent}
@@ -82,6 +93,23 @@ def test_links_across_centers(spark):
     assert {r["class_id"] for r in bmh.near_classes(documents(spark, rows)).collect()} == set(brute(rows).values())
 
 
+def test_many_blocks(spark, monkeypatch):
+    """Small blocks and matrices give the same classes."""
+    monkeypatch.setattr(bmh, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(bmh, "COLUMNS", 7)
+    rng = np.random.default_rng(6)
+    words, rows = [f"w{k}" for k in range(900)], []
+    base = list(rng.choice(words, 120))
+    for k in range(60):  # around 0.8 of one another
+        own = list(base)
+        for at in rng.choice(120, rng.integers(1, 6), replace=False):
+            own[at] = str(rng.choice(words))
+        rows.append((k, " ".join(own)))
+    want = brute(rows)
+    assert 1 < len(set(want.values())) < 50
+    assert {r["doc_id"]: r["class_id"] for r in bmh.near_classes(documents(spark, rows)).collect()} == want
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     got = bmh.near_classes(docs)
