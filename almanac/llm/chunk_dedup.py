@@ -134,7 +134,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         found = rows.join(shared, ["h1", "h2"])
     # Unbroken runs of shared chunks in a document: gaps and islands.
     order = W.partitionBy("doc_id").orderBy("seq", "word")
-    island = found.dropDuplicates(["doc_id", "seq", "word", "h1", "h2"]).withColumn("island", F.col("seq") - F.row_number().over(order))
+    # The digests aren't shuffled again, and one shuffle by document serves the three steps that follow.
+    found = found.select("doc_id", "seq", "word", "n", "keep", "times").repartition("doc_id").distinct()
+    island = found.withColumn("island", F.col("seq") - F.row_number().over(order))
     runs = island.groupBy("doc_id", "island").agg(
         F.min("word").cast("long").alias("first_word"), F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"),
         F.min("keep").alias("first_doc"), F.min("times").alias("n_docs"), F.max(F.col("keep") != F.col("doc_id")).alias("removed"),
