@@ -2,10 +2,12 @@
 
 A gear rolling hash runs over each text's bytes, and a chunk ends after a word
 where the hash has its lowest bits zero, so boundaries depend on the last bytes
-alone and come back in step after an insertion. Chunks are compared by 128-bit
-digests over the whole corpus. In each document, unbroken runs of chunks that
-other documents hold too are passages; those of at least MIN_WORDS words are
-reported, all but the first holder's to be removed.
+alone and come back in step after an insertion. Compared are windows: the
+shortest series of chunks with at least MIN_WORDS words from each chunk on and
+up to each chunk, by 128-bit digests over the whole corpus. A window that
+occurs twice is thus a passage of one document that another place holds whole.
+The other places are to be removed, all but what a document holds first itself:
+each chunk to be removed has an earlier place, so one always stays.
 """
 
 from __future__ import annotations
@@ -49,8 +51,17 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def _stretches(terms: np.ndarray, factor: np.uint64, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A digest of each stretch of terms: the sum of term * factor**place, made independent of the place by the inverse power."""
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(terms) + 1, factor))
+        back = np.cumprod(np.full(len(terms) + 1, np.uint64(pow(int(factor), -1, 2**64))))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms * power[:-1])])
+        return _mix((total[at] - total[begin]) * back[begin] + (at - begin).astype(np.uint64)).view(np.int64)
+
+
 def chunks(texts: list[str], bits: int = CHUNK_BITS) -> dict[str, np.ndarray]:
-    """All chunks of all texts: text, start and end in code points (without the white space around), words, two digests.
+    """All chunks of all texts: text, first word, words, two digests.
 
     Together the chunks hold every word of a text. White space between words
     counts as one space, so it changes no digest.
@@ -60,7 +71,11 @@ def chunks(texts: list[str], bits: int = CHUNK_BITS) -> dict[str, np.ndarray]:
     raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
     text = np.repeat(np.arange(len(texts)), sizes)
     ends = np.cumsum(sizes)
-    h = gear(raw)
+    # Each text is hashed after the same 16 bytes, whatever text goes before it.
+    lead = np.arange(len(raw)) + 16 * (text + 1)
+    padded = np.full(len(raw) + 16 * len(texts), 10, dtype=np.uint8)
+    padded[lead] = raw
+    h = gear(padded)[lead]
     space = raw == 32
     # The hash at a word's end; its top bits depend on the most bytes.
     cut = space & ((h >> (16 - bits)) == 0)
@@ -71,18 +86,38 @@ def chunks(texts: list[str], bits: int = CHUNK_BITS) -> dict[str, np.ndarray]:
     real = at - begin > 1  # a text without words has only its space
     words = np.concatenate([[0], np.cumsum(space)])
     n = words[at] - words[begin]
-    digests = []
-    with np.errstate(over="ignore"):
-        for table, factor in zip(_DIGEST, _FACTORS):
-            # Sum of table[byte] * factor**place, made independent of the place by the inverse power.
-            power = np.cumprod(np.full(len(raw) + 1, factor))
-            back = np.cumprod(np.full(len(raw) + 1, np.uint64(pow(int(factor), -1, 2**64))))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[raw] * power[:-1])])
-            digests.append(_mix((total[at] - total[begin]) * back[begin] + (at - begin).astype(np.uint64)).view(np.int64))
+    digests = [_stretches(table[raw], factor, begin, at) for table, factor in zip(_DIGEST, _FACTORS)]
     first_word = words[begin] - words[np.concatenate([[0], ends[:-1]])[of]]
     return {"text": of[real], "word": first_word[real], "n": n[real], "h1": digests[0][real], "h2": digests[1][real]}
 
 
+def windows(texts: list[str]) -> dict[str, np.ndarray]:
+    """All windows of all texts, in order, alike if their chunks are: text, seq in the text, first and last chunk, first word and end, two digests, fresh (first of its digest in the text)."""
+    got = chunks(texts)
+    of, high = got["text"], np.cumsum(got["n"])
+    low = high - got["n"]
+    k = np.arange(len(of))
+    own = np.searchsorted(of, of, side="left")  # each text's first chunk
+    ahead = np.searchsorted(high, low + MIN_WORDS, side="left")
+    back = np.searchsorted(low, high - MIN_WORDS, side="right") - 1
+    fine = ahead < len(of)
+    fine[fine] = of[ahead[fine]] == of[fine]
+    good = back >= own
+    pairs = np.unique(np.concatenate([k[fine] * len(of) + ahead[fine], back[good] * len(of) + k[good]]))
+    s, e = pairs // max(1, len(of)), pairs % max(1, len(of))
+    text = of[s]
+    h1, h2 = (_stretches(got[c].view(np.uint64), factor, s, e + 1) for c, factor in zip(("h1", "h2"), _FACTORS))
+    order = np.lexsort((h2, h1, text))
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    fresh = np.zeros(len(s), dtype=bool)
+    fresh[order] = new
+    return {
+        "text": text, "seq": np.arange(len(s)) - np.searchsorted(text, text, side="left"), "s": s - own[s], "e": e - own[s],
+        "word": got["word"][s], "stop": got["word"][e] + got["n"][e], "h1": h1, "h2": h2, "fresh": fresh,
+    }
+
+
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """First and last code point (exclusive) of each word."""
     points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
@@ -93,55 +128,87 @@ def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     return turn[::2], turn[1::2]
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq, word, n, h1, h2): a row for each chunk; seq counts a document's chunks, word its first word."""
+def window_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, word, at, span, h1, h2, fresh): a row for each window, see windows(); at packs seq and s, span the words and chunks, for small shuffles."""
 
     def run(batches):
         for batch in batches:
             for a, b, texts in text_slices(batch):
-                got = chunks(texts)
-                of = got["text"]
-                seq = np.arange(len(of)) - np.searchsorted(of, of, side="left")
+                got = windows(texts)
+                at, span = (got["seq"] << 32) | got["s"], ((got["stop"] - got["word"]) << 5) | (got["e"] - got["s"])  # a window has at most MIN_WORDS chunks
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a).take(pa.array(of)), pa.array(seq.astype(np.int32)), pa.array(got["word"].astype(np.int32)), pa.array(got["n"].astype(np.int32)), pa.array(got["h1"]), pa.array(got["h2"])],
-                    names=["doc_id", "seq", "word", "n", "h1", "h2"],
+                    [batch["doc_id"].slice(a, b - a).take(pa.array(got["text"])), pa.array(got["word"].astype(np.int32)), pa.array(at), pa.array(span.astype(np.int32)), pa.array(got["h1"]), pa.array(got["h2"]), pa.array(got["fresh"].astype(np.int32))],
+                    names=["doc_id", "word", "at", "span", "h1", "h2", "fresh"],
                 )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, seq int, word int, n int, h1 long, h2 long")
+    return rows.mapInArrow(run, "doc_id long, word int, at long, span int, h1 long, h2 long, fresh int")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_word, n_words, n_chunks, first_doc, n_docs, removed): passages of a document that other documents hold too.
-
-    first_word counts words from 0. first_doc is the smallest doc_id that holds
-    all the passage's chunks that document holds first; removed is false for
-    passages all of whose chunks are held first by the document itself. n_docs is
-    the least number of documents that share one of its chunks. Null texts have
-    no chunks; rows without a doc_id can't be told apart and are left out; rows
-    that repeat a doc_id are one document. An empty table gives no rows.
+    """(doc_id, first_word, n_words, n_chunks, first_doc, n_docs, removed): passages of a document that occur elsewhere too.
+
+    first_word counts words from 0. A passage with removed = false is what this
+    document holds first, so it stays whole; passages of other documents, or
+    later ones of its own, are copies of it. One with removed = true consists of
+    windows whose first places are in first_doc (in order, or going back to text
+    that first_doc repeats), less the words that this document keeps itself or
+    that the row before has, so it may have fewer than MIN_WORDS words. Where
+    first_doc has under MIN_WORDS of its words first, they stay there, and its
+    others with the document that first_doc has them from. No word is in two
+    rows to be removed. n_docs is the least number of rows that hold one of its
+    windows. Null texts have no windows; rows without a doc_id can't be told apart and are left out; rows
+    that repeat a doc_id are one document, so equal ones are no repetition. An
+    empty table gives no rows.
     """
-    counts = chunk_rows(docs).groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("times"))
-    shared = stage(counts.where("keep <> most").select("h1", "h2", "keep", "times"), "shared-chunks")
+    place = F.struct("doc_id", "word")
+    counts = window_rows(docs).groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("most"), F.sum("fresh").alias("times"))
+    shared = stage(counts.where("keep <> most").select("h1", "h2", F.col("keep.doc_id").alias("first_doc"), F.col("keep.word").alias("place"), "times"), "shared-windows")
     total = docs.count()
-    hot = shared.where(F.col("times") * HOT > total)  # bounded below by the chunks of HOT / documents
+    hot = shared.where(F.col("times") * HOT > total)  # bounded below by the windows of HOT / documents
     few = hot.count() <= 100_000
-    rows = chunk_rows(docs)
+    # Word and span share a long.
+    rows = window_rows(docs).select("h1", "h2", "doc_id", "at", (F.shiftleft(F.col("word").cast("long"), 32) + F.col("span")).alias("span"))
     if few:
         hot = F.broadcast(hot)
         found = rows.join(hot, ["h1", "h2"]).unionByName(rows.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(shared, ["h1", "h2"]))
     else:
         found = rows.join(shared, ["h1", "h2"])
-    # Unbroken runs of shared chunks in a document: gaps and islands.
+    # The digests aren't shuffled again, and one shuffle by document serves the steps that follow.
+    found = found.drop("h1", "h2").repartition("doc_id").distinct()
+    low = lambda c: F.col(c).bitwiseAND(2**32 - 1)
+    found = found.withColumns({"seq": F.shiftright("at", 32), "s": low("at"), "word": F.shiftright("span", 32), "span": low("span")})
+    found = found.withColumns({"e": F.col("s") + F.col("span").bitwiseAND(31), "stop": F.col("word") + F.shiftright("span", 5)})
+    found = found.withColumns({"own": (F.col("first_doc") == F.col("doc_id")) & (F.col("place") == F.col("word")), "ahead": F.col("place") - F.col("word")})
     order = W.partitionBy("doc_id").orderBy("seq", "word")
-    # The digests aren't shuffled again, and one shuffle by document serves the three steps that follow.
-    found = found.select("doc_id", "seq", "word", "n", "keep", "times").repartition("doc_id").distinct()
-    island = found.withColumn("island", F.col("seq") - F.row_number().over(order))
-    runs = island.groupBy("doc_id", "island").agg(
-        F.min("word").cast("long").alias("first_word"), F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"),
-        F.min("keep").alias("first_doc"), F.min("times").alias("n_docs"), F.max(F.col("keep") != F.col("doc_id")).alias("removed"),
-    )
-    return runs.where(F.col("n_words") >= MIN_WORDS).drop("island")
+    before, after, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing), (W.unboundedPreceding, 0)
+    near, far = F.lit(0).cast("long"), F.lit(2**31 - 1).cast("long")
+    of = lambda own, c: F.when(F.col("own") if own else ~F.col("own"), F.col(c))
+    # A document keeps what it holds first, if MIN_WORDS words of that lie outside its copies; less is an edge where boundaries differ.
+    lag = lambda w, c: F.lag(c).over(w)
+    found = found.withColumns({
+        "low": F.coalesce(F.max(of(False, "stop")).over(before), near), "high": F.coalesce(F.min(of(False, "word")).over(after), far),
+        "new": F.coalesce((lag(order, "own") != F.col("own")) | (F.col("s") > F.max("e").over(before)), F.lit(True)).cast("int"),
+    }).withColumn("run", F.sum("new").over(order.rowsBetween(*upto)))
+    whole = W.partitionBy("doc_id", "run")
+    alone = F.least(F.max("stop").over(whole), F.max("high").over(whole)) - F.greatest(F.min("word").over(whole), F.min("low").over(whole))
+    found = found.withColumn("alone", alone).where(~F.col("own") | (F.col("alone") >= MIN_WORDS))
+    found = found.withColumns({
+        "had": F.coalesce(F.max("e").over(before), F.lit(-1)), "had_stop": F.coalesce(F.max("stop").over(before), near),
+        "next": F.coalesce(F.min(of(True, "s")).over(after), far), "next_word": F.coalesce(F.min(of(True, "word")).over(after), far),
+    })
+    kind = W.partitionBy("doc_id", "own").orderBy("seq", "word")
+    apart = F.col("s") > F.max("e").over(kind.rowsBetween(W.unboundedPreceding, -1))
+    other = (lag(kind, "seq") < F.col("seq") - 1) | (lag(kind, "first_doc") != F.col("first_doc")) | (lag(kind, "ahead") < F.col("ahead"))
+    new = F.when(F.col("own"), apart).otherwise(other)
+    found = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(kind.rowsBetween(*upto)))
+    least, most = (lambda c: F.min(c).cast("long").alias(c)), (lambda c: F.max(c).cast("long").alias(c))
+    runs = found.groupBy("doc_id", "own", "run").agg(*map(least, ("s", "word", "had", "had_stop", "next", "next_word", "first_doc")), *map(most, ("e", "stop")), F.min("times").alias("n_docs"))
+    trim = lambda cut, c: F.when(F.col("own"), F.col(c)).otherwise(cut)
+    first, end = trim(F.greatest("word", "had_stop"), "word"), trim(F.least("stop", "next_word"), "stop")
+    chunks_ = trim(F.least(F.col("e"), F.col("next") - 1), "e") - trim(F.greatest(F.col("s"), F.col("had") + 1), "s") + 1
+    runs = runs.select("doc_id", first.alias("first_word"), (end - first).alias("n_words"), chunks_.alias("n_chunks"), "first_doc", "n_docs", (~F.col("own")).alias("removed"))
+    return runs.where("n_words > 0")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

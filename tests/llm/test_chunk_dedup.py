@@ -65,3 +65,41 @@ def test_odd_rows(spark):
 def test_spans():
     text = " one  twö\n\U0001f600 x"
     assert [text[a:b] for a, b in zip(*cd.word_spans(text))] == text.split()
+
+
+def test_removed_text_survives(spark):
+    """Ordinary prose, whose short chunks are common: every removed chunk survives somewhere, and every copy of a passage but one goes."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{'aeiou'[k % 5]}{k:x}" for k in range(300)]
+    prose = lambda n: " ".join(vocabulary[int(299 * rng.random() ** 3)] for _ in range(n))
+    passages = [prose(90) for _ in range(5)]
+    line = prose(60)
+    rows = [(k, prose(400)) for k in range(20)]  # they hold nearly all short chunks first
+    rows += [(20 + k, f"{prose(60)} {passages[k % 5]} {prose(60)}") for k in range(30)]
+    rows += [(60, f"{passages[0]} {passages[1]} {prose(50)}"), (61, f"{' '.join(passages[0].split()[-12:])} {passages[1]}"), (62, " ".join([line] * 6)), (63, " ".join([line] * 4))]
+    rows += [(64, f"{passages[2]} {prose(40)}")] * 2
+    twice = prose(80)
+    rows += [(65, f"{prose(40)} {twice} {prose(30)} {twice} {prose(30)}")]
+    x, y, z = prose(60), prose(60), prose(60)
+    rows += [(70, f"{x} {y}"), (71, f"{x} {y} {z}"), (72, f"{' '.join(y.split()[-12:])} {z}")]
+    got = cd.repeated_passages(documents(spark, rows).repartition(4)).collect()
+    words = {k: t.split() for k, t in rows}
+    gone = {k: np.zeros(len(w), dtype=bool) for k, w in words.items()}
+    assert not {r["doc_id"] for r in got} & set(range(20))
+    for r in got:
+        if r["removed"]:
+            part = gone[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]]
+            assert not part.any()  # they don't overlap
+            part[:] = True
+    names, left, lost = list(words), set(), set()
+    got = cd.chunks([" ".join(words[k]) for k in names])
+    for text, a, n in zip(got["text"].tolist(), got["word"].tolist(), got["n"].tolist()):
+        k = names[text]
+        (lost if gone[k][a : a + n].all() else left).add(tuple(words[k][a : a + n]))
+    assert lost and lost <= left
+    # The copies go, apart from the words at a passage's ends; first ones stay whole.
+    for k in range(25, 50):
+        assert 55 <= gone[k].sum() <= 90
+    assert not any(gone[k].any() for k in range(20, 25)) and gone[65].sum() >= 60 and gone[63].sum() >= 200 and 200 <= gone[62].sum() <= 300
+    # Document 72 copies from 71 across the end of what 71 has from 70: 71 keeps it all.
+    assert gone[71][:90].sum() > 60 and gone[72][:72].sum() > 40 and not (gone[72][:72] & gone[71][108:180]).any()
