@@ -6,8 +6,8 @@ model's tables come from joins of the counts with the sums of their contexts
 and with the order below. Characters are put in 64 classes a language (its most
 frequent ones, any other, text boundary), so the tables have at most 64**3
 cells a language and are sent to the scoring tasks, LANGUAGES at a time.
-A document is rejected when its perplexity is above what its language's trusted
-documents show.
+A document is rejected when its perplexity is above a quantile of what its
+language's trusted documents show when they are left out of the training.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ LEAST_CHARS = 20_000
 BROADCAST_IDS = 4_000_000
 #: Characters at the language's mean rate that are added to each document, so that short ones don't stand out by chance.
 PRIOR_CHARS = 100
-#: Threshold: quantile Q of the trusted rates, and SLACK times its distance from their median more.
-Q, SLACK = 0.95, 6.0
+#: Threshold: quantile Q of the trusted rates, each by a model of the FOLDS - 1 other parts of the trusted text.
+Q, FOLDS = 0.98, 2
 POOL = "*"
 _EDGE_CHAR = "\U0010ffff"
 
@@ -197,22 +197,9 @@ def _scored(texts: DataFrame, tables: dict[str, np.ndarray], alphabet: dict[str,
     return texts.mapInArrow(run, "doc_id long, lang string, model string, n_chars long, bits double")
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_chars, perplexity, threshold, kept) for each row of docs.
-
-    perplexity is per character; the threshold is that of the document's model.
-    A null or empty text has no perplexity and is rejected. Null languages and
-    those with little trusted text use the model of all languages. Without any
-    trusted text nothing is known, and all texts with a character are kept.
-    Repeated rows are scored alike. An empty table gives no rows.
-    """
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _of_lang(docs).alias("lang"), text_of(docs).alias("text"))
-    ids = stage(trusted_ids(labels), "trusted")
-    few = ids.count() <= BROADCAST_IDS
-    trusted = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("lang", "text")
-    alphabet = _letters(trusted)
-    if not alphabet:
-        return texts.select("doc_id", F.when(F.col("lang") != "null", F.expr("substring(lang, 2)")).alias("lang"), F.length("text").cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length("text") > 0).alias("kept"))
+def _fitted(trusted: DataFrame, texts: DataFrame, alphabet: dict[str, str]) -> DataFrame:
+    """_scored() rows of texts by the models of trusted (lang, text)."""
+    trusted = trusted.select("lang", "text")
     counts = _counted(trusted, alphabet)
     if POOL in alphabet:
         pooled = _counted(trusted.withColumn("lang", F.lit(POOL)), {POOL: alphabet[POOL]})
@@ -231,7 +218,32 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    rows = stage(rows, "scores")
+    return stage(rows, "scores")
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, n_chars, perplexity, threshold, kept) for each row of docs.
+
+    perplexity is per character; the threshold is that of the document's model.
+    A null or empty text has no perplexity and is rejected. Null languages and
+    those with little trusted text use the model of all languages. Without any
+    trusted text nothing is known, and all texts with a character are kept.
+    Repeated rows are scored alike. An empty table gives no rows.
+    """
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _of_lang(docs).alias("lang"), text_of(docs).alias("text"))
+    ids = stage(trusted_ids(labels), "trusted")
+    few = ids.count() <= BROADCAST_IDS
+    trusted = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    alphabet = _letters(trusted.select("lang", "text"))
+    if not alphabet:
+        return texts.select("doc_id", F.when(F.col("lang") != "null", F.expr("substring(lang, 2)")).alias("lang"), F.length("text").cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length("text") > 0).alias("kept"))
+    rows = _fitted(trusted, texts, alphabet)
+    # The model knows its own text too well: the threshold comes from trusted text that it wasn't trained on.
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
+    parts = [_fitted(trusted.where(fold != k), trusted.where(fold == k), alphabet) for k in range(FOLDS)]
+    held = parts[0]
+    for part in parts[1:]:
+        held = held.unionByName(part)
 
     known = rows.where("n_chars > 0").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     means = known.groupBy("model").agg((F.sum("bits") / F.sum(F.col("n_chars") + 1)).alias("mean"))
@@ -239,12 +251,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     means = {r["model"]: r["mean"] for r in means.collect()}  # a row for each model
     mean = F.coalesce(*(F.when(F.col("model") == k, F.lit(v)) for k, v in means.items()), F.lit(whole))
     rate = (F.col("bits") + PRIOR_CHARS * mean) / (F.col("n_chars") + 1 + PRIOR_CHARS)
-    cuts = known.withColumn("rate", rate)
-    limit = lambda d: d.agg(F.percentile_approx("rate", [0.5, Q], 10_000).alias("q"))
+    cuts = held.where("n_chars > 0").withColumn("rate", rate)
+    limit = lambda d: d.agg(F.percentile_approx("rate", Q, 10_000).alias("q"))
     cut = {r["model"]: r["q"] for r in limit(cuts.groupBy("model")).collect()}
-    all_ = limit(cuts).first()["q"]
-    line = {k: q[1] + SLACK * (q[1] - q[0]) for k, q in cut.items()}
-    threshold = F.coalesce(*(F.when(F.col("model") == k, F.lit(v)) for k, v in line.items()), F.lit(all_[1] + SLACK * (all_[1] - all_[0])))
+    threshold = F.coalesce(*(F.when(F.col("model") == k, F.lit(v)) for k, v in cut.items()), F.lit(limit(cuts).first()["q"]))
     rows = rows.withColumns({"rate": rate, "limit": threshold})
     some = F.col("n_chars") > 0
     lang = F.when(F.col("lang") != "null", F.expr("substring(lang, 2)"))

@@ -59,6 +59,16 @@ def test_held_out(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.4
 
 
+def test_threshold_is_a_quantile(spark):
+    """On held-out labels nearly all bad documents go: the limit is no multiple of the good ones' spread."""
+    d = "/root/testdata/sf0.1"
+    docs, all_labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = lm.score(docs, all_labels.where("doc_id % 2 = 0")).join(all_labels.where("doc_id % 2 = 1"), "doc_id").where("n_chars > 0").collect()
+    good, bad = [r["kept"] for r in got if r["quality"] == 1 and not r["toxic"]], [r["kept"] for r in got if r["quality"] == 0]
+    print("kept", np.mean(good), len(good), np.mean(bad), len(bad))
+    assert np.mean(good) > 0.96 and np.mean(bad) < 0.14
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     none = labels(spark, [])
