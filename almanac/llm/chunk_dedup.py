@@ -1,214 +1,226 @@
 """Operator 10: substring dedup by content-defined chunks.
 
-A gear rolling hash runs over each text's bytes, and a chunk ends after a word
-where the hash has its lowest bits zero, so boundaries depend on the last bytes
-alone and come back in step after an insertion. Compared are windows: the
-shortest series of chunks with at least MIN_WORDS words from each chunk on and
-up to each chunk, by 128-bit digests over the whole corpus. A window that
-occurs twice is thus a passage of one document that another place holds whole.
-The other places are to be removed, all but what a document holds first itself:
-each chunk to be removed has an earlier place, so one always stays.
+A gear rolling hash runs over each text's characters. A chunk boundary is
+where the hash is the least of a stretch of WIDTH places, so boundaries depend
+on the characters nearby alone, come back in step after an insertion, and are
+at most WIDTH apart in any script, with or without spaces. From each boundary
+on, the shortest series of whole chunks with at least LEAST characters is a
+window; windows are compared by 128-bit BLAKE2 digests over the whole corpus.
+A window that two documents hold is thus a passage that each holds in one
+piece, and neighbouring windows with neighbouring places in one and the same
+document make one longer passage.
+
+Of a window's places the first one (least doc_id) stays. The other places'
+chunks may go: each has an equal chunk at an earlier place, so the earliest of
+them is never removed.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import read_table, text_slices, stage, text_of
+from .common import read_table, stage, text_of, text_slices
 
-#: A chunk has 2**CHUNK_BITS words on average; a passage loses its part before the first and after the last boundary inside it.
-CHUNK_BITS, MIN_WORDS = 2, 25
-#: A digest with more than 1/HOT of all chunks is hot.
-HOT = 1000
+#: Greatest distance of boundaries, characters of a window at least, and characters that the gear hash sees.
+WIDTH, LEAST, REACH = 64, 96, 16
+#: Every passage of so many characters that two documents share holds a whole window, wherever the boundaries fall.
+SURE = WIDTH + REACH + LEAST + WIDTH
+#: A digest with more than 1/HOT of all windows is hot, so there are fewer than HOT of them.
+HOT = 10_000
+_PLACE = ("doc_id", "tie", "seq")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = np.arange(1, 257, dtype=np.uint64)
-with np.errstate(over="ignore"):
-    GEAR = (_mix(_BYTE * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
-    _DIGEST = [_mix(_BYTE * np.uint64(k)) | np.uint64(1) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xE7037ED1A0B428DB)]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def gear(raw: np.ndarray) -> np.ndarray:
-    """The 16-bit gear hash after each byte: h = 2 h + GEAR[byte], so only the last 16 bytes count."""
-    h = GEAR[raw]
-    for k in (1, 2, 4, 8):  # sums of 2, 4, 8, 16 shifted terms
-        more = np.zeros_like(h)
-        more[k:] = h[:-k] << k
-        h = h + more
-    return h
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-def _stretches(terms: np.ndarray, factor: np.uint64, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A digest of each stretch of terms: the sum of term * factor**place, made independent of the place by the inverse power."""
+def gear(points: np.ndarray) -> np.ndarray:
+    """The 32-bit gear hash after each code point: h = 2 h + value of the code point, over the last REACH of them."""
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(terms) + 1, factor))
-        back = np.cumprod(np.full(len(terms) + 1, np.uint64(pow(int(factor), -1, 2**64))))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms * power[:-1])])
-        return _mix((total[at] - total[begin]) * back[begin] + (at - begin).astype(np.uint64)).view(np.int64)
+        h = (_mix((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+        for k in (1, 2, 4, 8):  # sums of 2, 4, 8, REACH shifted terms
+            more = np.zeros_like(h)
+            more[k:] = h[:-k] << k
+            h = h + more
+    return h
 
 
-def chunks(texts: list[str], bits: int = CHUNK_BITS) -> dict[str, np.ndarray]:
-    """All chunks of all texts: text, first word, words, two digests.
+def collapsed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' code points with each run of white space as one space; each one's place in its text; sizes of the texts."""
+    raw = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in texts]
+    sizes = np.array([len(x) for x in raw], dtype=np.int64)
+    points = np.concatenate(raw) if raw else np.empty(0, "<u4")
+    first = np.cumsum(sizes) - sizes
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    keep[first[sizes > 0]] = True
+    text = np.repeat(np.arange(len(texts)), sizes)[keep]
+    own = np.where(space, np.uint32(32), points)[keep]
+    return own, np.flatnonzero(keep) - first[text], np.bincount(text, minlength=len(texts)).astype(np.int64)
 
-    Together the chunks hold every word of a text. White space between words
-    counts as one space, so it changes no digest.
+
+def boundaries(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the chunk boundaries in the joined texts: each text's begin and end, and before each least hash of WIDTH places.
+
+    Where equal least hashes come within WIDTH (text with a short period), one boundary for each WIDTH places stays.
     """
-    raws = [b" ".join(x.encode().split()) + b" " for x in texts]
-    sizes = np.array([len(x) for x in raws], dtype=np.int64)
-    raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
-    text = np.repeat(np.arange(len(texts)), sizes)
     ends = np.cumsum(sizes)
-    # Each text is hashed after the same 16 bytes, whatever text goes before it.
-    lead = np.arange(len(raw)) + 16 * (text + 1)
-    padded = np.full(len(raw) + 16 * len(texts), 10, dtype=np.uint8)
-    padded[lead] = raw
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    # Each text is hashed after the same REACH characters, whatever text goes before it.
+    lead = np.arange(len(points)) + REACH * (text + 1)
+    padded = np.full(len(points) + REACH * len(sizes), 32, dtype=np.uint32)
+    padded[lead] = points
     h = gear(padded)[lead]
-    space = raw == 32
-    # The hash at a word's end; its top bits depend on the most bytes.
-    cut = space & ((h >> (16 - bits)) == 0)
-    cut[ends - 1] = True
-    at = np.flatnonzero(cut) + 1  # one past the space
-    begin = np.concatenate([[0], at[:-1]])
-    of = text[begin]
-    real = at - begin > 1  # a text without words has only its space
-    words = np.concatenate([[0], np.cumsum(space)])
-    n = words[at] - words[begin]
-    digests = [_stretches(table[raw], factor, begin, at) for table, factor in zip(_DIGEST, _FACTORS)]
-    first_word = words[begin] - words[np.concatenate([[0], ends[:-1]])[of]]
-    return {"text": of[real], "word": first_word[real], "n": n[real], "h1": digests[0][real], "h2": digests[1][real]}
-
-
-def windows(texts: list[str]) -> dict[str, np.ndarray]:
-    """All windows of all texts, in order, alike if their chunks are: text, seq in the text, first and last chunk, first word and end, two digests, fresh (first of its digest in the text)."""
-    got = chunks(texts)
-    of, high = got["text"], np.cumsum(got["n"])
-    low = high - got["n"]
-    k = np.arange(len(of))
-    own = np.searchsorted(of, of, side="left")  # each text's first chunk
-    ahead = np.searchsorted(high, low + MIN_WORDS, side="left")
-    back = np.searchsorted(low, high - MIN_WORDS, side="right") - 1
-    fine = ahead < len(of)
-    fine[fine] = of[ahead[fine]] == of[fine]
-    good = back >= own
-    pairs = np.unique(np.concatenate([k[fine] * len(of) + ahead[fine], back[good] * len(of) + k[good]]))
-    s, e = pairs // max(1, len(of)), pairs % max(1, len(of))
-    text = of[s]
-    h1, h2 = (_stretches(got[c].view(np.uint64), factor, s, e + 1) for c, factor in zip(("h1", "h2"), _FACTORS))
-    order = np.lexsort((h2, h1, text))
-    new = np.ones(len(s), dtype=bool)
-    new[1:] = (text[order][1:] != text[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    fresh = np.zeros(len(s), dtype=bool)
-    fresh[order] = new
-    return {
-        "text": text, "seq": np.arange(len(s)) - np.searchsorted(text, text, side="left"), "s": s - own[s], "e": e - own[s],
-        "word": got["word"][s], "stop": got["word"][e] + got["n"][e], "h1": h1, "h2": h2, "fresh": fresh,
-    }
-
-
-def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """First and last code point (exclusive) of each word."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    word = np.ones(len(points) + 2, dtype=bool)
-    word[[0, -1]] = False
-    word[1:-1] = ~((points == 32) | ((points >= 9) & (points <= 13)))
-    turn = np.flatnonzero(word[1:] != word[:-1])
-    return turn[::2], turn[1::2]
+    cuts = np.empty(0, np.int64)
+    if len(points) >= WIDTH:
+        least = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+        k = 1
+        while k < WIDTH:
+            least = np.minimum(least[:-k], least[k:])
+            k *= 2
+        inside = text[: len(least)] == text[WIDTH - 1 :]
+        cuts = np.unique(least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if len(cuts):
+        new = np.ones(len(cuts), dtype=bool)
+        new[1:] = (h[cuts[1:]] != h[cuts[:-1]]) | (np.diff(cuts) >= WIDTH) | (text[cuts[1:]] != text[cuts[:-1]])
+        step = (cuts - cuts[np.flatnonzero(new)][np.cumsum(new) - 1]) // WIDTH
+        new[1:] |= step[1:] != step[:-1]
+        cuts = cuts[new]
+    return np.unique(np.concatenate([cuts, ends - sizes, ends]))
+
+
+def windows(texts: list[str]) -> dict[str, np.ndarray | list[bytes]]:
+    """All windows of all texts in order: text, seq in it, start and stop in its code points, digest."""
+    points, place, sizes = collapsed(texts)
+    cuts, ends = boundaries(points, sizes), np.cumsum(sizes)
+    at = np.searchsorted(cuts, cuts + LEAST, side="left")
+    begin = cuts[at < len(cuts)]
+    end = cuts[at[at < len(cuts)]]
+    text = np.searchsorted(ends, begin, side="right")
+    good = (text < len(sizes)) & (end <= ends[np.minimum(text, len(sizes) - 1)]) if len(sizes) else np.zeros(0, bool)
+    begin, end, text = begin[good], end[good], text[good]
+    view = memoryview(np.ascontiguousarray(points, dtype="<u4")).cast("B") if len(points) else b""
+    digests = [blake2b(view[a:b], digest_size=16).digest() for a, b in zip((4 * begin).tolist(), (4 * end).tolist())]
+    seq = np.arange(len(text)) - np.searchsorted(text, text, side="left")
+    return {"text": text, "seq": seq, "start": place[begin], "stop": place[end - 1] + 1, "digest": digests}
 
 
 def window_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, at, span, h1, h2, fresh): a row for each window, see windows(); at packs seq and s, span the words and chunks, for small shuffles."""
+    """(h1, h2, doc_id, tie, seq, start, stop): a row for each window; tie tells texts with one doc_id apart, h1 and h2 are the digest."""
 
     def run(batches):
         for batch in batches:
-            for a, b, texts in text_slices(batch):
+            for a, b, texts in text_slices(batch, 1_000_000):
                 got = windows(texts)
-                at, span = (got["seq"] << 32) | got["s"], ((got["stop"] - got["word"]) << 5) | (got["e"] - got["s"])  # a window has at most MIN_WORDS chunks
+                own = pa.array(got["text"])
+                digest = np.frombuffer(b"".join(got["digest"]), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a).take(pa.array(got["text"])), pa.array(got["word"].astype(np.int32)), pa.array(at), pa.array(span.astype(np.int32)), pa.array(got["h1"]), pa.array(got["h2"]), pa.array(got["fresh"].astype(np.int32))],
-                    names=["doc_id", "word", "at", "span", "h1", "h2", "fresh"],
+                    [pa.array(digest[:, 0]), pa.array(digest[:, 1]), *(batch[c].slice(a, b - a).take(own) for c in ("doc_id", "tie")), *(pa.array(got[c].astype(np.int32)) for c in ("seq", "start", "stop"))],
+                    names=["h1", "h2", *_PLACE, "start", "stop"],
                 )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, word int, at long, span int, h1 long, h2 long, fresh int")
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_word, n_words, n_chunks, first_doc, n_docs, removed): passages of a document that occur elsewhere too.
-
-    first_word counts words from 0. A passage with removed = false is what this
-    document holds first, so it stays whole; passages of other documents, or
-    later ones of its own, are copies of it. One with removed = true consists of
-    windows whose first places are in first_doc (in order, or going back to text
-    that first_doc repeats), less the words that this document keeps itself or
-    that the row before has, so it may have fewer than MIN_WORDS words. Where
-    first_doc has under MIN_WORDS of its words first, they stay there, and its
-    others with the document that first_doc has them from. No word is in two
-    rows to be removed. n_docs is the least number of rows that hold one of its
-    windows. Null texts have no windows; rows without a doc_id can't be told apart and are left out; rows
-    that repeat a doc_id are one document, so equal ones are no repetition. An
-    empty table gives no rows.
+    text = text_of(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, tie long, seq int, start int, stop int")
+
+
+def _first():
+    """The first of a window's places: least doc_id, null last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), *_PLACE))
+
+
+def _shared(docs: DataFrame, within: bool) -> DataFrame:
+    """Windows that occur in several documents (within: or in several places): _PLACE, start, stop, first, n_docs.
+
+    Digests that hold many of the windows are few. They are summed in the tasks
+    before any shuffle, and their windows are joined by broadcast; the windows
+    of all others meet by digest in one shuffle.
+    """
+    rows = window_rows(docs)
+    top = rows.agg(F.count(F.lit(1)).alias("total"), F.expr(f"approx_top_k(h1, {HOT}, {10 * HOT})").alias("top"))
+    top = top.select("total", F.explode("top").alias("x")).where(F.col("x.count") * HOT > F.col("total"))
+    hot = F.broadcast(stage(top.select(F.col("x.item").alias("h1")), "hot-windows"))  # fewer than HOT rows
+
+    digest = W.partitionBy("h1", "h2")
+    rank = lambda *by: F.max(F.dense_rank().over(digest.orderBy(*by))).over(digest)
+    cold = rows.join(hot, "h1", "left_anti").withColumns({"first": _first().over(digest)})
+    cold = cold.withColumn("n", F.dense_rank().over(digest.orderBy("doc_id", "tie"))).withColumn("p", F.dense_rank().over(digest.orderBy(*_PLACE)) if within else F.lit(0))
+    cold = cold.withColumns({"n_docs": F.max("n").over(digest), "places": F.max("p").over(digest)})
+
+    own = rows.join(hot, "h1", "left_semi")
+    each = own.groupBy("h1", "h2", "doc_id", "tie").agg(F.min("seq").alias("seq"), F.countDistinct("seq").alias("p") if within else F.lit(0).alias("p"))
+    sums = stage(each.groupBy("h1", "h2").agg(_first().alias("first"), F.count(F.lit(1)).alias("n_docs"), F.sum("p").alias("places")), "hot-firsts")
+    found = cold.drop("n", "p").unionByName(own.join(F.broadcast(sums), ["h1", "h2"]))
+    return found.where((F.col("n_docs") > 1) | (F.col("places") > 1)).select(*_PLACE, "start", "stop", "first", F.col("n_docs").cast("long").alias("n_docs"))
+
+
+def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
+    """(doc_id, text_hash, start, stop, n_chars, first_doc, n_docs, removed): passages of a document that other documents hold too.
+
+    start and stop are code points of the text, stop exclusive. Runs of white
+    space count as one space. Every passage of at least SURE characters that
+    two documents share is found, but for up to WIDTH + REACH characters at its
+    begin and WIDTH at its end. A passage with removed = true is held whole by
+    the document first_doc, which has its windows first; one with removed =
+    false is what this document holds first, and stays. No character is in two
+    rows of a text, so where passages overlap the later one is cut and may be
+    shorter than LEAST. n_docs is the number of documents that hold the
+    passage's rarest window. within: also a text's repetitions of itself.
+
+    Rows with one doc_id and different texts are documents of their own, told
+    apart by text_hash; rows that agree in both are one document, so they are
+    no repetition. Rows without a doc_id come last in the order of first
+    places. Null and short texts have no windows. An empty table gives no rows.
     """
-    place = F.struct("doc_id", "word")
-    counts = window_rows(docs).groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("most"), F.sum("fresh").alias("times"))
-    shared = stage(counts.where("keep <> most").select("h1", "h2", F.col("keep.doc_id").alias("first_doc"), F.col("keep.word").alias("place"), "times"), "shared-windows")
-    total = docs.count()
-    hot = shared.where(F.col("times") * HOT > total)  # bounded below by the windows of HOT / documents
-    few = hot.count() <= 100_000
-    # Word and span share a long.
-    rows = window_rows(docs).select("h1", "h2", "doc_id", "at", (F.shiftleft(F.col("word").cast("long"), 32) + F.col("span")).alias("span"))
-    if few:
-        hot = F.broadcast(hot)
-        found = rows.join(hot, ["h1", "h2"]).unionByName(rows.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(shared, ["h1", "h2"]))
-    else:
-        found = rows.join(shared, ["h1", "h2"])
-    # The digests aren't shuffled again, and one shuffle by document serves the steps that follow.
-    found = found.drop("h1", "h2").repartition("doc_id").distinct()
-    low = lambda c: F.col(c).bitwiseAND(2**32 - 1)
-    found = found.withColumns({"seq": F.shiftright("at", 32), "s": low("at"), "word": F.shiftright("span", 32), "span": low("span")})
-    found = found.withColumns({"e": F.col("s") + F.col("span").bitwiseAND(31), "stop": F.col("word") + F.shiftright("span", 5)})
-    found = found.withColumns({"own": (F.col("first_doc") == F.col("doc_id")) & (F.col("place") == F.col("word")), "ahead": F.col("place") - F.col("word")})
-    order = W.partitionBy("doc_id").orderBy("seq", "word")
-    before, after, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing), (W.unboundedPreceding, 0)
-    near, far = F.lit(0).cast("long"), F.lit(2**31 - 1).cast("long")
-    of = lambda own, c: F.when(F.col("own") if own else ~F.col("own"), F.col(c))
-    # A document keeps what it holds first, if MIN_WORDS words of that lie outside its copies; less is an edge where boundaries differ.
-    lag = lambda w, c: F.lag(c).over(w)
-    found = found.withColumns({
-        "low": F.coalesce(F.max(of(False, "stop")).over(before), near), "high": F.coalesce(F.min(of(False, "word")).over(after), far),
-        "new": F.coalesce((lag(order, "own") != F.col("own")) | (F.col("s") > F.max("e").over(before)), F.lit(True)).cast("int"),
-    }).withColumn("run", F.sum("new").over(order.rowsBetween(*upto)))
-    whole = W.partitionBy("doc_id", "run")
-    alone = F.least(F.max("stop").over(whole), F.max("high").over(whole)) - F.greatest(F.min("word").over(whole), F.min("low").over(whole))
-    found = found.withColumn("alone", alone).where(~F.col("own") | (F.col("alone") >= MIN_WORDS))
-    found = found.withColumns({
-        "had": F.coalesce(F.max("e").over(before), F.lit(-1)), "had_stop": F.coalesce(F.max("stop").over(before), near),
-        "next": F.coalesce(F.min(of(True, "s")).over(after), far), "next_word": F.coalesce(F.min(of(True, "word")).over(after), far),
-    })
-    kind = W.partitionBy("doc_id", "own").orderBy("seq", "word")
-    apart = F.col("s") > F.max("e").over(kind.rowsBetween(W.unboundedPreceding, -1))
-    other = (lag(kind, "seq") < F.col("seq") - 1) | (lag(kind, "first_doc") != F.col("first_doc")) | (lag(kind, "ahead") < F.col("ahead"))
-    new = F.when(F.col("own"), apart).otherwise(other)
-    found = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(kind.rowsBetween(*upto)))
-    least, most = (lambda c: F.min(c).cast("long").alias(c)), (lambda c: F.max(c).cast("long").alias(c))
-    runs = found.groupBy("doc_id", "own", "run").agg(*map(least, ("s", "word", "had", "had_stop", "next", "next_word", "first_doc")), *map(most, ("e", "stop")), F.min("times").alias("n_docs"))
-    trim = lambda cut, c: F.when(F.col("own"), F.col(c)).otherwise(cut)
-    first, end = trim(F.greatest("word", "had_stop"), "word"), trim(F.least("stop", "next_word"), "stop")
-    chunks_ = trim(F.least(F.col("e"), F.col("next") - 1), "e") - trim(F.greatest(F.col("s"), F.col("had") + 1), "s") + 1
-    runs = runs.select("doc_id", first.alias("first_word"), (end - first).alias("n_words"), chunks_.alias("n_chunks"), "first_doc", "n_docs", (~F.col("own")).alias("removed"))
-    return runs.where("n_words > 0")
+    found = _shared(docs, within).repartition("doc_id", "tie").dropDuplicates(list(_PLACE))
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.tie") == F.col("tie"))
+    own = (same & (F.col("first.seq") == F.col("seq"))) if within else same
+    document = W.partitionBy("doc_id", "tie")
+    order = document.orderBy("seq")
+    before = lambda c: F.lag(c).over(order)
+    on = (F.col("seq") == before("seq") + 1) & (F.col("own") == before("own"))
+    along = F.col("first.doc_id").eqNullSafe(before("first.doc_id")) & (F.col("first.tie") == before("first.tie")) & (F.col("first.seq") == before("first.seq") + 1)
+    found = found.withColumn("own", own).withColumn("new", (~F.coalesce(on & (F.col("own") | along), F.lit(False))).cast("int"))
+    found = found.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = found.groupBy("doc_id", "tie", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("own").alias("own"), F.first("first.doc_id").alias("first_doc"), F.min("n_docs").alias("n_docs"))
+    # What goes is cut where an earlier passage to go reaches into it, what stays where a passage to go does.
+    order = document.orderBy("run")
+    gone = lambda c: F.when(~F.col("own"), F.col(c))
+    runs = runs.withColumns({"low": F.max(gone("stop")).over(order.rowsBetween(W.unboundedPreceding, -1)), "high": F.min(gone("start")).over(order.rowsBetween(1, W.unboundedFollowing))})
+    start, stop = F.greatest("start", F.coalesce("low", F.lit(0))), F.when(F.col("own"), F.least("stop", F.coalesce("high", "stop"))).otherwise(F.col("stop"))
+    runs = runs.select("doc_id", F.col("tie").alias("text_hash"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), (stop - start).cast("long").alias("n_chars"), "first_doc", "n_docs", (~F.col("own")).alias("removed"))
+    return runs.where("n_chars > 0")
+
+
+def without_repeats(docs: DataFrame, within: bool = False) -> DataFrame:
+    """docs with the passages to be removed cut out of their texts; all rows and columns stay, null texts stay null."""
+    spans = repeated_passages(docs, within).where("removed").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_tie")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    names, at = docs.columns, docs.columns.index("text")
+    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("_row"), docs["doc_id"].cast("long").alias("_id"), F.xxhash64(text_of(docs)).alias("_hash"))
+    own = own.join(spans, own["_id"].eqNullSafe(spans["_doc"]) & (own["_hash"] == spans["_tie"]), "left").select("_row", "_spans")
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch["_row"].field(k) for k in range(len(names))]
+            texts = columns[at].to_pylist()
+            for k, cut in enumerate(batch["_spans"].to_pylist()):
+                if cut:
+                    ends = [0, *(x["stop"] for x in cut)]
+                    texts[k] = "".join(texts[k][a:b] for a, b in zip(ends, [*(x["start"] for x in cut), len(texts[k])]))
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return own.mapInArrow(run, docs.schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
