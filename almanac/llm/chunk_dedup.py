@@ -32,7 +32,7 @@ WIDTH, LEAST, REACH = 64, 96, 16
 #: Every passage of so many characters that two documents share holds a whole window, wherever the boundaries fall.
 SURE = WIDTH + REACH + LEAST + WIDTH
 #: A digest with more than 1/HOT of all windows is hot, so there are fewer than HOT of them.
-HOT = 10_000
+HOT, SALTS = 10_000, 1024
 _PLACE = ("doc_id", "tie", "seq")
 
 
@@ -143,25 +143,26 @@ def _shared(docs: DataFrame, within: bool) -> DataFrame:
     """Windows that occur in several documents (within: or in several places): _PLACE, start, stop, first, n_docs.
 
     Digests that hold many of the windows are few. They are summed in the tasks
-    before any shuffle, and their windows are joined by broadcast; the windows
-    of all others meet by digest in one shuffle.
+    before any shuffle, and the sums go back to their windows by broadcast. All
+    windows meet by digest in one shuffle, into which the hot digests go salted.
     """
     rows = window_rows(docs)
     top = rows.agg(F.count(F.lit(1)).alias("total"), F.expr(f"approx_top_k(h1, {HOT}, {10 * HOT})").alias("top"))
     top = top.select("total", F.explode("top").alias("x")).where(F.col("x.count") * HOT > F.col("total"))
-    hot = F.broadcast(stage(top.select(F.col("x.item").alias("h1")), "hot-windows"))  # fewer than HOT rows
-
-    digest = W.partitionBy("h1", "h2")
-    rank = lambda *by: F.max(F.dense_rank().over(digest.orderBy(*by))).over(digest)
-    cold = rows.join(hot, "h1", "left_anti").withColumns({"first": _first().over(digest)})
-    cold = cold.withColumn("n", F.dense_rank().over(digest.orderBy("doc_id", "tie"))).withColumn("p", F.dense_rank().over(digest.orderBy(*_PLACE)) if within else F.lit(0))
-    cold = cold.withColumns({"n_docs": F.max("n").over(digest), "places": F.max("p").over(digest)})
-
-    own = rows.join(hot, "h1", "left_semi")
-    each = own.groupBy("h1", "h2", "doc_id", "tie").agg(F.min("seq").alias("seq"), F.countDistinct("seq").alias("p") if within else F.lit(0).alias("p"))
-    sums = stage(each.groupBy("h1", "h2").agg(_first().alias("first"), F.count(F.lit(1)).alias("n_docs"), F.sum("p").alias("places")), "hot-firsts")
-    found = cold.drop("n", "p").unionByName(own.join(F.broadcast(sums), ["h1", "h2"]))
-    return found.where((F.col("n_docs") > 1) | (F.col("places") > 1)).select(*_PLACE, "start", "stop", "first", F.col("n_docs").cast("long").alias("n_docs"))
+    hot = F.broadcast(stage(top.select(F.col("x.item").alias("h1"), F.lit(True).alias("hot")), "hot-windows"))  # fewer than HOT rows
+    rows = rows.join(hot, "h1", "left")
+
+    each = rows.where("hot").groupBy("h1", "h2", "doc_id", "tie").agg(F.min("seq").alias("seq"), F.countDistinct("seq").alias("p") if within else F.lit(0).alias("p"))
+    sums = each.groupBy("h1", "h2").agg(_first().alias("s_first"), F.count(F.lit(1)).alias("s_docs"), F.sum("p").alias("s_places"))
+    sums = F.broadcast(stage(sums, "hot-firsts"))  # as many rows as hot digests
+
+    digest = W.partitionBy("h1", "h2", "salt")
+    rows = rows.select("h1", "h2", F.when(F.col("hot"), F.pmod("tie", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int").alias("salt"), *_PLACE, "start", "stop")
+    rows = rows.withColumns({"first": _first().over(digest), "n": F.dense_rank().over(digest.orderBy("doc_id", "tie")), "p": F.dense_rank().over(digest.orderBy(*_PLACE)) if within else F.lit(0)})
+    rows = rows.withColumns({"n_docs": F.max("n").over(digest), "places": F.max("p").over(digest)}).join(sums, ["h1", "h2"], "left")
+    best = lambda own, all_: F.when(F.col("salt") < 0, F.col(own)).otherwise(F.col(all_))
+    found = rows.select(*_PLACE, "start", "stop", best("first", "s_first").alias("first"), best("n_docs", "s_docs").cast("long").alias("n_docs"), best("places", "s_places").alias("places"))
+    return found.where((F.col("n_docs") > 1) | (F.col("places") > 1)).drop("places")
 
 
 def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
