@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_slices, stage, text_of
+from .common import keep_once, read_table, shipped, stage, text_of, text_slices
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability 6e-5.
@@ -182,7 +182,7 @@ def band_keys(docs: DataFrame) -> DataFrame:
 
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _words_digest(text).alias("node"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node binary, size int, keys array<long>, bits array<long>")
+    return shipped(rows).mapInArrow(run, "doc_id long, node binary, size int, keys array<long>, bits array<long>")
 
 
 def _maybe(x: str, y: str) -> Column:
@@ -204,7 +204,7 @@ def _runs(rows: DataFrame) -> DataFrame:
                 own = [x.tobytes() for x in np.split(element, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array(own, pa.binary())], names=["node", "runs"])
 
-    return rows.mapInArrow(run, "node binary, runs binary")
+    return shipped(rows).mapInArrow(run, "node binary, runs binary")
 
 
 def _verified(pairs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def _verified(pairs: DataFrame, runs: DataFrame) -> DataFrame:
                 yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     one, two = runs.select(F.col("node").alias("a"), F.col("runs").alias("s")), runs.select(F.col("node").alias("b"), F.col("runs").alias("t"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
+    return shipped(pairs).join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
 
 
 def block_links(root: np.ndarray, runs: list[bytes]) -> list[tuple[int, int]]:
@@ -298,7 +298,7 @@ def _across(members: DataFrame, runs: DataFrame) -> DataFrame:
             yield links()
 
     dealt = rows.select("block", "node", "root", "runs").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return shipped(dealt).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -323,14 +323,8 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size) for each row of docs: the class is the smallest doc_id that a row is linked with.
-
-    Texts with the same sequence of words (of at least one) are one node; nodes
-    are linked when their similarity is at least 0.8, also through others. Null
-    and empty texts and those of white space are in no class but their own row's:
-    class_id is the doc_id, which may be null. An empty table gives no rows.
-    """
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, node, keys, …), one for each of docs, and nodes (node, first, n, root): first is the node's smallest doc_id, n its number of rows."""
     rows = stage(band_keys(docs), "bands")
     nodes = rows.where("keys IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = stage(nodes, "nodes")
@@ -364,10 +358,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         found = stage(components(links.unionByName(more)), "roots")
 
-    classes = nodes.join(found, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
+    return rows, nodes.join(found, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, class_size) for each row of docs: the class is the smallest doc_id that a row is linked with.
+
+    Texts with the same sequence of words (of at least one) are one node; nodes
+    are linked when their similarity is at least 0.8, also through others. Null
+    and empty texts and those of white space are in no class but their own row's:
+    class_id is the doc_id, which may be null. An empty table gives no rows.
+    """
+    rows, classes = _linked(docs)
     sums = classes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
     classes = stage(classes.join(sums, "root").select("node", "class_id", "class_size", "n"), "classes")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
+    total = classes.agg(F.sum("n")).first()[0] or 0
     hot = classes.where(F.col("n") * HOT > total).drop("n")  # fewer than HOT nodes
     has = rows.where("keys IS NOT NULL").select("doc_id", "node")
     out = has.join(F.broadcast(hot), "node").unionByName(has.join(F.broadcast(hot.select("node")), "node", "left_anti").join(classes.drop("n"), "node"))
@@ -376,9 +381,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their class's, and all rows without a doc_id or words."""
-    classes = near_classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(classes, docs["doc_id"].cast("long") == classes["_gone"], "left_anti")
+    """One row of docs for each class, with the class's smallest doc_id (null last), and all rows without words.
+
+    Other rows with that doc_id go by their own class: a repeated doc_id costs
+    no row of another class. Of rows that repeat doc_id and words, one stays.
+    """
+    rows, nodes = _linked(docs)
+    keep = nodes.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("x")).select(F.col("x.first").alias("doc_id"), F.col("x.node").alias("node"))
+    keep = stage(keep, "kept")
+    counts = rows.where("keys IS NOT NULL").groupBy("doc_id", "node").count().where("count > 1")
+    wordless = rows.where("keys IS NULL").select("doc_id", "node").distinct()
+    keys = {"doc_id": docs["doc_id"].cast("long"), "node": _words_digest(text_of(docs))}
+    return keep_once(docs, keys, keep.unionByName(wordless), stage(counts.drop("count"), "again"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

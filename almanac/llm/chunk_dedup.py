@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import read_table, stage, text_of, text_slices
+from .common import read_table, shipped, stage, text_of, text_slices
 
 #: Greatest distance of boundaries, characters of a window at least, and characters that the gear hash sees.
 WIDTH, LEAST, REACH = 64, 96, 16
@@ -131,7 +131,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
 
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, tie long, seq int, start int, stop int")
+    return shipped(rows).mapInArrow(run, "h1 long, h2 long, doc_id long, tie long, seq int, start int, stop int")
 
 
 def _first():
@@ -221,7 +221,7 @@ def without_repeats(docs: DataFrame, within: bool = False) -> DataFrame:
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return own.mapInArrow(run, docs.schema)
+    return shipped(own).mapInArrow(run, docs.schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/almanac-{sc.applicationId}"
 
 
+_SHIPPED: dict[str, str] = {}
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, after this package has been sent to the executors: their Python workers import it from there, wherever they start."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="almanac-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        sc.addPyFile(str(path))  # Spark's file server hands it out, so the driver's folder is enough
+        _SHIPPED[sc.applicationId] = str(path)
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -43,6 +62,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_once(docs: DataFrame, keys: dict[str, Column], keep: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of docs whose keys are a row of keep; of those whose keys are in again, one for each.
+
+    keys are columns of docs by the names in keep and again; nulls are equal.
+    Rows that agree in their keys are combined in each task before they meet.
+    """
+    marks = {k: unused(docs, f"_{k}") for k in keys}
+    own = docs.withColumns({marks[k]: c for k, c in keys.items()})
+
+    def joined(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        other = other.select(*(F.col(k).alias(v) for k, v in marks.items()))
+        condition = None
+        for v in marks.values():
+            same = rows[v].eqNullSafe(other[v])
+            condition = same if condition is None else condition & same
+        return rows.join(other, condition, how)
+
+    found = joined(own, keep, "left_semi")
+    if not again.isEmpty():
+        found = joined(found, again, "left_anti").unionByName(joined(found, again, "left_semi").dropDuplicates(list(marks.values())))
+    return found.drop(*marks.values())
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

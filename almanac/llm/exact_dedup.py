@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, text_of
+from .common import keep_once, read_table, stage, text_of
 
 #: A digest with more than 1/HOT of all rows is hot, so at most HOT digests are broadcast.
 HOT, SALTS = 1000, 64
@@ -80,21 +80,11 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns; of rows that agree in doc_id, length and digest, one."""
     kept = stage(find_copies(docs).where("kept").select("doc_id", "n_chars", "digest"), "kept")
     keys = {"doc_id": docs["doc_id"].cast("long"), "n_chars": F.length(text_of(docs)).cast("long"), "digest": sha256(normalised(docs))}
-    marks = {k: f"_keep_{k}" for k in keys}
-    own = docs.withColumns({marks[k]: c for k, c in keys.items()})
-    kept = kept.select(*(F.col(k).alias(v) for k, v in marks.items()))
-    on = [own[v].eqNullSafe(kept[v]) for v in marks.values()]
-    found = own.join(kept, on, "left_semi")
-    # Rows that agree in doc_id, length and digest are all in found; usually there are none.
-    again = stage(own.groupBy(*marks.values()).count().where("count > 1").drop("count"), "again")
-    if again.isEmpty():
-        return found.drop(*marks.values())
-    on = [found[v].eqNullSafe(again[v]) for v in marks.values()]
-    first = found.join(again, on, "left_semi").dropDuplicates(list(marks.values()))
-    return found.join(again, on, "left_anti").unionByName(first).drop(*marks.values())
+    again = docs.select(*(c.alias(k) for k, c in keys.items())).groupBy(*keys).count().where("count > 1").drop("count")  # usually none
+    return keep_once(docs, keys, kept, stage(again, "again"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

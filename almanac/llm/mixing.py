@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, read_table, stage, text_of
+from .common import WORD, read_table, shipped, stage, text_of
 
 #: Weights of the sources in their order, repeating, and the most epochs of a source.
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
@@ -45,7 +45,7 @@ def running_total(df: DataFrame, group: str, order: list[Column], value: str, na
             last, carry = groups[-1], int(within[-1] + size[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(size), pa.int32()), pa.array(within)], names=[*batch.schema.names, "_part", "_within"])
 
-    local = stage(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(run, schema), "ranges")
+    local = stage(shipped(df).repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(run, schema), "ranges")
     sums = local.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select(group, "_part", F.coalesce(before, F.lit(0)).alias("_base"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_slices, stage, text_of
+from .common import read_table, shipped, stage, text_of, text_slices
 
 #: Windows of words that count as repeated when they occur twice in a text.
 WINDOW = 8
@@ -103,7 +103,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in ("doc_id", "lang", "source")), *(pa.array(got[c]) for c in names)], names=["doc_id", "lang", "source", *names])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), text_of(docs).alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in names))
+    rows = shipped(rows).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in names))
     n = F.col("n_words")
     # Logarithms of counts against the logarithm of the length, so that a long clean text is no outlier.
     share = lambda c: F.log(F.col(c) + 1) / F.log(n + 20)
@@ -199,7 +199,7 @@ def judge(stats: DataFrame) -> DataFrame:
         sums = _with(far, cut, n_groups).groupBy("_group").agg(*_moments(F.col("_d") <= F.col("_cut")))
         # The kept rows' scatter is too small by a factor that a normal sample's distances give.
         run, schema, names = _shape(1.0)
-        shape = stage(sums.mapInPandas(run, schema), "shape")
+        shape = stage(shipped(sums).mapInPandas(run, schema), "shape")
     far = _with(good, shape, n_groups).select("_group", _distance().alias("_d"))
     factor = far.groupBy("_group").agg((F.greatest(F.percentile_approx("_d", KEEP, 2000), F.lit(1e-9)) / CHI_KEEP).alias("_factor"))
     final = stage(shape.join(factor, "_group"), "shape")

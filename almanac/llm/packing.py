@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import public_tokenizer, read_table, stage, text_of, text_slices
+from .common import public_tokenizer, read_table, shipped, stage, text_of, text_slices
 from .tokens import encoder
 
 #: Items of a shard at most, on average; a shard is packed in one task.
@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, *
                 )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *keep, text_of(docs).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", piece int, start long, length long, ids binary")
+    return shipped(rows).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", piece int, start long, length long, ids binary")
 
 
 def best_fit(need: np.ndarray, capacity: np.ndarray, weights: np.ndarray, score: str = "norm") -> np.ndarray:
@@ -114,7 +114,7 @@ def pack(items: DataFrame, capacity: int, max_docs: int, max_attention: int, wei
         return frame[[*names, "sequence_id", "offset"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", sequence_id long, offset long"
-    return full.unionByName(part.withColumn("_shard", mixed.cast("long")).groupBy("_shard").applyInPandas(run, schema))
+    return full.unionByName(shipped(part).withColumn("_shard", mixed.cast("long")).groupBy("_shard").applyInPandas(run, schema))
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, size: int) -> DataFrame:

@@ -1,11 +1,16 @@
 """Operator 5: quality by the perplexity of an interpolated modified Kneser-Ney model.
 
-The model predicts characters from the two before them, for each language, and
-is trained on all trusted documents. Trigram counts are summed in shards; the
-model's tables come from joins of the counts with the sums of their contexts
-and with the order below. Characters are put in 64 classes a language (its most
-frequent ones, any other, text boundary), so the tables have at most 64**3
-cells a language and are sent to the scoring tasks, LANGUAGES at a time.
+The model predicts each character from the ORDER - 1 before it, for each
+language, over an open alphabet, and is trained on all trusted documents.
+
+The n-grams of all texts are counted in blocks of texts (one for each task).
+Their sums, the sums of their contexts and the probabilities of each order, on
+top of those of the order below, come from joins of tables that are sharded by
+n-gram. The blocks' n-grams are joined with the probabilities, and each block
+meets its n-grams again in one task, which adds up its documents. So what is
+shuffled of the model is the distinct n-grams of each block, and no table is
+held whole by any task or the driver.
+
 A document is rejected when its perplexity is above a quantile of what its
 language's trusted documents show when they are left out of the training.
 """
@@ -13,27 +18,28 @@ language's trusted documents show when they are left out of the training.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .common import read_table, text_slices, stage, text_of
+from .common import read_table, shipped, stage, text_of, text_slices
 
-A, OTHER, EDGE = 64, 0, 63
-#: Languages whose tables are sent at once: at most LANGUAGES * 64**3 floats (16 MB).
-LANGUAGES = 16
+#: Characters of an n-gram. A begin and an end of text are symbols beyond Unicode; a symbol takes WIDE bytes.
+ORDER, START, END, WIDE = 4, 0x110000, 0x110001, 3
+#: Text bytes of a block, unless the input's partitions are larger; text bytes held at once.
+BLOCK_BYTES, SLICE_BYTES = 64_000_000, 3_000_000
 #: Trusted characters a language needs for a model of its own; the rest share one of all languages.
 LEAST_CHARS = 20_000
-#: Trusted ids that may be broadcast (32 MB); more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
-#: Characters at the language's mean rate that are added to each document, so that short ones don't stand out by chance.
-PRIOR_CHARS = 100
-#: Threshold: quantile Q of the trusted rates, each by a model of the FOLDS - 1 other parts of the trusted text.
+#: Trusted ids (32 MB) and languages that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_LANGUAGES = 4_000_000, 100_000
+#: Threshold: quantile Q of the trusted rates, each by a model of the other parts of the trusted text.
 Q, FOLDS = 0.98, 2
+#: Symbols at the language's mean rate that a document counts as having besides its own when it is held against the threshold: the rate of a short text says little.
+PRIOR = 100
 POOL = "*"
-_EDGE_CHAR = "\U0010ffff"
+#: Counts of the model of all trusted text and of those that leave out one part.
+_COUNTS = ("n", *(f"n_{k}" for k in range(FOLDS)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -43,222 +49,283 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return found.where("q = 1 AND t = 0").select("doc_id")
 
 
-def _codes(texts: list[str], lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram codes of all texts with their boundaries, and each text's first and last place."""
-    edge = _EDGE_CHAR * 2
-    cls = lut[np.frombuffer((edge + edge.join(texts) + edge).encode("utf-32-le"), dtype="<u4")].astype(np.uint32)
-    code = (cls[:-2] << 12) | (cls[1:-1] << 6) | cls[2:]
-    size = np.array([len(x) for x in texts], dtype=np.int64)
-    first = np.cumsum(size + 2) - (size + 2)
-    return code, first, first + size + 1  # each text's end is predicted as well
-
-
-def _luts(alphabet: dict[str, str]) -> dict[str, np.ndarray]:
-    out = {}
-    for lang, letters in alphabet.items():
-        lut = np.full(0x110000, OTHER, dtype=np.uint8)
-        for k, c in enumerate(letters):
-            lut[ord(c)] = k + 1
-        lut[ord(_EDGE_CHAR)] = EDGE
-        out[lang] = lut
-    return out
-
+def grams(texts: list[str], order: int = ORDER):
+    """Ranges of n-gram places of the texts: the text of each place, the range's distinct n-grams as bytes, and which of them stands at each place.
 
-def _of_lang(docs: DataFrame) -> Column:
-    return F.coalesce(F.concat(F.lit("="), docs["lang"].cast("string")), F.lit("null"))
+    Symbols are numbered within a range, so that an n-gram is one integer; a
+    range that has too many for that is halved.
+    """
+    raw = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in texts]
+    sizes = np.array([len(x) for x in raw], dtype=np.int64)
+    begin = np.cumsum(sizes + order) - (sizes + order)
+    points = np.full(int((sizes + order).sum()), START, dtype=np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes + 1)
+    place = np.arange(len(text)) + np.repeat(begin - (np.cumsum(sizes + 1) - (sizes + 1)), sizes + 1)  # where each text's n-grams begin
+    for at, x in zip((begin + order - 1).tolist(), raw):
+        points[at : at + len(x)] = x
+    points[begin + order - 1 + sizes] = END
+    bits, todo = 64 // order, [(0, len(place))] if len(place) else []
+    number = np.zeros(END + 1, dtype=np.uint64)
+    while todo:
+        a, b = todo.pop()
+        own = points[place[a] : place[b - 1] + order]
+        seen = np.zeros(END + 1, dtype=bool)
+        seen[own] = True
+        symbols = np.flatnonzero(seen)
+        if len(symbols) > 2**bits:
+            todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+            continue
+        number[symbols] = np.arange(len(symbols), dtype=np.uint64)
+        own = number[own]
+        code = np.zeros(b - a, dtype=np.uint64)
+        for j in range(order):
+            code = (code << np.uint64(bits)) | own[place[a:b] - place[a] + j]
+        distinct, which = np.unique(code, return_inverse=True)
+        mask = np.uint64(2**bits - 1)
+        wide = np.stack([symbols[(distinct >> np.uint64(bits * (order - 1 - j))) & mask] for j in range(order)], axis=1).astype(">u4")
+        flat = np.ascontiguousarray(wide.view(np.uint8).reshape(-1, order, 4)[:, :, 4 - WIDE :]).tobytes()
+        yield text[a:b], [flat[k : k + order * WIDE] for k in range(0, len(flat), order * WIDE)], which
+
+
+def _by_model(models: list[str]) -> dict[str, list[int]]:
+    at: dict[str, list[int]] = {}
+    for k, m in enumerate(models):
+        at.setdefault(m, []).append(k)
+    return at
+
+
+def block_grams(texts: DataFrame, pooled: bool) -> DataFrame:
+    """(block, model, g, c_0, …): the distinct n-grams of each block's texts, and how often each part of the trusted text has them there."""
 
+    def run(batches):
+        block, found, counts = 0, {}, {}
 
-def _counted(texts: DataFrame, alphabet: dict[str, str]) -> DataFrame:
-    """(lang, code, n) over texts (lang, text); each task adds up its own texts first."""
+        def add(model: str, own: list[str], fold: np.ndarray):
+            index, old = found.setdefault(model, {}), counts.get(model, np.zeros((0, FOLDS), np.int64))
+            for text, names, which in grams(own):
+                at = np.array([index.setdefault(g, len(index)) for g in names])
+                old = np.concatenate([old, np.zeros((max(0, len(index) - len(old)), FOLDS), np.int64)])
+                for k in range(FOLDS):
+                    old[at, k] += np.bincount(which[fold[text] == k], minlength=len(names))
+            counts[model] = old
 
-    def run(batches):
-        luts, total = _luts(alphabet), {}
         for batch in batches:
-            langs = np.array(batch["lang"].to_pylist(), dtype=object)
-            for a, b, texts_ in text_slices(batch):
-                for lang in set(langs[a:b]):
-                    own = [texts_[k] for k in np.flatnonzero(langs[a:b] == lang)]
-                    name = lang if lang in luts else POOL
-                    code, first, last = _codes(own, luts[name])
-                    keep = np.ones(len(code), dtype=bool)
-                    keep[last[:-1]] = False  # from one text's end into the next
-                    keep[last[-1] :] = False
-                    if name not in total:
-                        total[name] = np.zeros(A**3, dtype=np.int64)
-                    total[name] += np.bincount(code[keep], minlength=A**3)
-        for lang, n in total.items():
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen])], names=["lang", "code", "n"])
-
-    return texts.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def _letters(texts: DataFrame) -> dict[str, str]:
-    """Each modelled language's most frequent characters, at most A - 2; POOL has those of the other texts."""
+            block = batch["block"][0].as_py() if batch.num_rows else block  # the same in all rows of a task
+            for a, b, own in text_slices(batch, SLICE_BYTES):
+                fold = batch["fold"].slice(a, b - a).to_numpy()
+                for model, at in _by_model(batch["model"].slice(a, b - a).to_pylist()).items():
+                    add(model, [own[k] for k in at], fold[at])
+                    trusted = [k for k in at if fold[k] >= 0]
+                    if pooled and model != POOL and trusted:
+                        add(POOL, [own[k] for k in trusted], fold[trusted])
+        for model, index in found.items():
+            names = list(index)
+            for a in range(0, len(names), 50_000):
+                own = names[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(own), pa.int32()), pa.array([model] * len(own)), pa.array(own, pa.binary()), *(pa.array(counts[model][a : a + 50_000, k]) for k in range(FOLDS))],
+                    names=["block", "model", "g", *(f"c_{k}" for k in range(FOLDS))],
+                )
+
+    return shipped(texts).select("block", "model", "fold", "text").mapInArrow(run, "block int, model string, g binary, " + ", ".join(f"c_{k} long" for k in range(FOLDS)))
+
+
+def _discounts(counts: DataFrame, few: bool) -> DataFrame:
+    """For each model and count column the three discounts of modified Kneser-Ney, from the numbers of n-grams seen 1 to 4 times, and the number of n-grams."""
+    sums = [F.sum((F.col(c) == k).cast("double")).alias(f"{c}_t{k}") for c in _COUNTS for k in range(1, 5)]
+    t = counts.groupBy("model").agg(*sums, *(F.sum((F.col(c) > 0).cast("double")).alias(f"{c}_seen") for c in _COUNTS))
+    found = []
+    for c in _COUNTS:
+        n = lambda k: F.col(f"{c}_t{k}")  # noqa: B023, E731
+        y = F.coalesce(F.try_divide(n(1), n(1) + 2 * n(2)), F.lit(0.5))
+        found += [F.least(F.lit(float(k)), F.greatest(F.lit(0.1), F.coalesce(k - (k + 1) * y * F.try_divide(n(k + 1), n(k)), F.lit(0.5)))).alias(f"{c}_d{k}") for k in (1, 2, 3)]
+    t = t.select("model", *found, *(f"{c}_seen" for c in _COUNTS))
+    return F.broadcast(t) if few else t
+
+
+def probabilities(counts: DataFrame, order: int = ORDER, few: bool = True) -> DataFrame:
+    """(model, g, p_n, p_n_0, …): the probability of each n-gram's last symbol after the others, by the model of each count column.
+
+    counts: (model, g, n, n_0, …), one row for each n-gram, which may have zero
+    counts. Orders below use continuation counts: the number of different
+    symbols seen before. The lowest order is interpolated with equal shares of
+    all symbols seen in its model and one for any other. A model without
+    trusted text has null probabilities. few: there are few models.
+    """
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
+        shorter = F.expr(f"substring(g, {WIDE + 1}, {WIDE * k})").alias("g")
+        tables[k] = stage(tables[k + 1].groupBy("model", shorter).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in _COUNTS)), f"grams-{k}")
+    below = None
+    for k in range(1, order + 1):
+        rows = tables[k].join(_discounts(tables[k], few), "model")
+        cut = lambda c: F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, F.col(f"{c}_d1")).when(F.col(c) == 2, F.col(f"{c}_d2")).otherwise(F.col(f"{c}_d3"))
+        rows = rows.withColumns({"context": F.expr(f"substring(g, 1, {WIDE * (k - 1)})"), **{f"{c}_cut": F.least(cut(c), F.col(c).cast("double")) for c in _COUNTS}})
+        sums = rows.groupBy("model", "context").agg(*(F.sum(x).alias(y) for c in _COUNTS for x, y in ((c, f"{c}_all"), (f"{c}_cut", f"{c}_freed"))))
+        rows = rows.join(F.broadcast(sums) if few and k == 1 else sums, ["model", "context"])  # one context for each model
+        if k > 1:
+            rows = rows.withColumn("rest", F.expr(f"substring(g, {WIDE + 1}, {WIDE * (k - 1)})"))
+            rows = rows.join(below.withColumnRenamed("g", "rest"), ["model", "rest"])
+        found = []
+        for c in _COUNTS:
+            low = F.col(f"p_{c}") if k > 1 else F.when(F.col(f"{c}_seen") > 0, 1 / (F.col(f"{c}_seen") + 1))
+            own = (F.col(c) - F.col(f"{c}_cut") + F.col(f"{c}_freed") * low) / F.col(f"{c}_all")
+            found.append(F.when(F.col(f"{c}_all") > 0, own).otherwise(low).alias(f"p_{c}"))
+        below = rows.select("model", "g", *found)
+    return below
+
+
+def _payload(batch: pa.RecordBatch) -> bytes:
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _scored(texts: DataFrame, bits: DataFrame) -> DataFrame:
+    """texts (block, row, model, fold, text) as (row, model, fold, n_chars, bits, held), by bits (block, model, g, b_n, b_n_0, …).
+
+    held is by the model that leaves out the row's part; null for rows that are
+    in no part. The blocks are texts' partitions, as in block_grams(); where a
+    partition has other rows the second time, the task fails.
+    """
+    row = texts.schema["row"].dataType
+    n_blocks = max(1, texts.rdd.getNumPartitions())
+    values = [f"b_{c}" for c in _COUNTS]
+    schema = "block int, kind int, model string, g binary, " + ", ".join(f"{v} double" for v in values) + ", payload binary"
 
-    def run(batches):
-        total: dict[str, np.ndarray] = {}
+    def pack(batches):
         for batch in batches:
-            langs = batch["lang"].to_pylist()
-            for a, b, texts_ in text_slices(batch):
-                for lang, text in zip(langs[a:b], texts_):
-                    if lang not in total:
-                        total[lang] = np.zeros(0x110000, dtype=np.int64)
-                    if text:
-                        n = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"))
-                        total[lang][: len(n)] += n
-        for lang, n in total.items():
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen])], names=["lang", "char", "n"])
-
-    counts = stage(texts.mapInArrow(run, "lang string, char int, n long").groupBy("lang", "char").agg(F.sum("n").alias("n")), "letters")
-    large = counts.groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_CHARS).select("lang")
-    named = counts.join(large.withColumn("own", F.lit(True)), "lang", "left").withColumn("lang", F.when(F.col("own"), F.col("lang")).otherwise(F.lit(POOL)))
-    # The pool also learns from every language, for texts in none of them.
-    both = named.where("own").select("lang", "char", "n").unionByName(counts.select(F.lit(POOL).alias("lang"), "char", "n"))
-    both = both.groupBy("lang", "char").agg(F.sum("n").alias("n"))
-    top = both.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "char"))).where(F.col("k") <= A - 2)
-    rows = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "char"))).alias("chars")).collect()  # 62 characters a language
-    return {r["lang"]: "".join(chr(c["char"]) for c in r["chars"]) for r in rows}
-
-
-def _discounts(counts: DataFrame, n: str) -> DataFrame:
-    """(lang, d1, d2, d3) of modified Kneser-Ney from the numbers of n-grams seen 1 to 4 times."""
-    t = counts.groupBy("lang").agg(*(F.sum((F.col(n) == k).cast("double")).alias(f"t{k}") for k in range(1, 5)))
-    t = t.withColumn("y", F.coalesce(F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2")), F.lit(0.5)))
-    d = lambda k: F.least(F.lit(float(k)), F.greatest(F.lit(0.1), F.coalesce(k - (k + 1) * F.col("y") * F.try_divide(F.col(f"t{k + 1}"), F.col(f"t{k}")), F.lit(0.5))))
-    return t.select("lang", *(d(k).alias(f"d{k}") for k in (1, 2, 3)))
-
-
-def _order(counts: DataFrame, context: list[str], n: str) -> tuple[DataFrame, DataFrame]:
-    """Per n-gram its discounted share of its context, and per context the weight of the order below."""
-    discounts = F.broadcast(_discounts(counts, n))  # a row for each language
-    c = F.col(n)
-    rows = counts.join(discounts, "lang").withColumn("cut", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3")))
-    sums = rows.groupBy("lang", *context).agg(F.sum(c).alias("all"), F.sum(F.least("cut", c.cast("double"))).alias("freed"))
-    share = rows.join(sums, ["lang", *context]).withColumn("p", F.greatest(c - F.col("cut"), F.lit(0.0)) / F.col("all"))
-    return share.select("lang", *context, "w", "p"), sums.select("lang", *context, (F.col("freed") / F.col("all")).alias("g"))
-
-
-def train(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The model's tables from trigram counts (lang, code, n): shares (lang, size, code, p) and weights (lang, size, code, g).
-
-    Lower orders use continuation counts: the number of different characters
-    seen before a bigram, and before a character.
-    """
-    u, v, w = F.shiftright("code", 12), F.shiftright("code", 6).bitwiseAND(A - 1), F.col("code").bitwiseAND(A - 1)
-    three = counts.select("lang", u.alias("u"), v.alias("v"), w.alias("w"), "n")
-    two = three.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("n"))
-    one = two.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    shares, weights = [], []
-    for size, table, context in ((3, three, ["u", "v"]), (2, two, ["v"]), (1, one, [])):
-        p, g = _order(table, context, "n")
-        at = lambda names: sum((F.col(x) * A**k for k, x in enumerate(reversed(names))), F.lit(0)).cast("int")
-        shares.append(p.select("lang", F.lit(size).alias("size"), at([*context, "w"]).alias("code"), "p"))
-        weights.append(g.select("lang", F.lit(size).alias("size"), at(context).alias("code"), "g"))
-    union = lambda x: x[0].unionByName(x[1]).unionByName(x[2])
-    return union(shares), union(weights)
-
-
-def dense(shares: pd.DataFrame, weights: pd.DataFrame) -> np.ndarray:
-    """One language's -log2 probabilities of all trigrams, each order interpolated with the one below."""
-    prob = np.full(A, 1.0 / A)
-    for size in (1, 2, 3):
-        s, g = shares[shares["size"] == size], weights[weights["size"] == size]
-        weight = np.ones(A ** (size - 1))
-        weight[g["code"].to_numpy()] = g["g"].to_numpy()
-        below = np.tile(prob, A ** (size - 1) // max(1, len(prob) // A)) if size > 1 else prob
-        prob = np.repeat(weight, A) * below
-        prob[s["code"].to_numpy()] += s["p"].to_numpy()
-    return (-np.log2(prob)).astype(np.float32)
-
-
-def _scored(texts: DataFrame, tables: dict[str, np.ndarray], alphabet: dict[str, str], rest: bool) -> DataFrame:
-    """(doc_id, lang, model, n_chars, bits); rest: also the languages without a table, by the pool's."""
+            for a, b, _ in text_slices(batch, SLICE_BYTES // 2):
+                columns = {"block": batch["block"].slice(a, 1), "kind": pa.array([1], pa.int32()), "model": pa.nulls(1, pa.string()), "g": pa.nulls(1, pa.binary())}
+                columns |= {v: pa.nulls(1, pa.float64()) for v in values} | {"payload": pa.array([_payload(pa.RecordBatch.from_struct_array(batch.slice(a, b - a).to_struct_array()))], pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def run(batches):
-        luts = _luts({k: alphabet[k] for k in tables})
+        import zstandard
+
+        at, tables = None, {}
         for batch in batches:
-            langs = np.array(batch["lang"].to_pylist(), dtype=object)
-            for a, b, texts_ in text_slices(batch):
-                for lang in set(langs[a:b]):
-                    name = lang if lang in tables else POOL
-                    at = a + np.flatnonzero(langs[a:b] == lang)
-                    own = [texts_[k - a] for k in at]
-                    code, first, last = _codes(own, luts[name])
-                    sums = np.concatenate([[0.0], np.cumsum(tables[name][code], dtype=np.float64)])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"].take(pa.array(at)), batch["lang"].take(pa.array(at)), pa.array([name] * len(at)), pa.array([len(x) for x in own], pa.int64()), pa.array(sums[last] - sums[first])],
-                        names=["doc_id", "lang", "model", "n_chars", "bits"],
-                    )
-
-    known = [k for k in alphabet if k != POOL]
-    texts = texts.where(~F.col("lang").isin(known)) if rest else texts.where(F.col("lang").isin([*tables]))
-    return texts.mapInArrow(run, "doc_id long, lang string, model string, n_chars long, bits double")
-
-
-def _fitted(trusted: DataFrame, texts: DataFrame, alphabet: dict[str, str]) -> DataFrame:
-    """_scored() rows of texts by the models of trusted (lang, text)."""
-    trusted = trusted.select("lang", "text")
-    counts = _counted(trusted, alphabet)
-    if POOL in alphabet:
-        pooled = _counted(trusted.withColumn("lang", F.lit(POOL)), {POOL: alphabet[POOL]})
-        counts = counts.where(F.col("lang") != POOL).unionByName(pooled)
-    shares, weights = train(stage(counts, "trigrams"))
-    shares, weights = stage(shares, "shares"), stage(weights, "weights")
-    names, parts = sorted(k for k in alphabet if k != POOL), []
-    for i in range(0, len(names) + 1, LANGUAGES):
-        own = names[i : i + LANGUAGES]
-        for group, rest in ((own, False), ([POOL], True)):
-            if not group or (rest and i):
-                continue
-            s, g = (t.where(F.col("lang").isin(group)).toPandas() for t in (shares, weights))  # at most 64**3 rows a language
-            tables = {k: dense(s[s["lang"] == k], g[g["lang"] == k]) for k in group}
-            parts.append(_scored(texts, tables, alphabet, rest))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return stage(rows, "scores")
+            kind = batch["kind"].to_numpy()
+            blocks = batch["block"].to_numpy()
+            k = 0
+            while k < batch.num_rows:
+                if blocks[k] != at:
+                    at, tables = blocks[k], {}
+                same = (blocks[k:] == at) & (kind[k:] == kind[k])
+                end = k + (len(same) if same.all() else int(np.argmin(same)))
+                if kind[k] == 0:
+                    own = batch.slice(k, end - k)
+                    numbers = np.stack([own[v].to_numpy(zero_copy_only=False) for v in values], axis=1)
+                    grams_ = own["g"].to_pylist()
+                    for model, rows in _by_model(own["model"].to_pylist()).items():
+                        index, parts = tables.setdefault(model, ({}, []))
+                        for r in rows:
+                            index[grams_[r]] = len(index)
+                        parts.append(numbers[rows])
+                else:
+                    for payload in batch["payload"].slice(k, end - k):
+                        for part in pa.ipc.open_stream(zstandard.decompress(payload.as_buffer())):
+                            yield _sums(part, tables, at)
+                k = end
+
+    def _sums(part: pa.RecordBatch, tables: dict, block: int) -> pa.RecordBatch:
+        texts_, fold = part["text"].to_pylist(), part["fold"].to_numpy()
+        total, held = np.zeros(len(texts_)), np.full(len(texts_), np.nan)
+        for model, at in _by_model(part["model"].to_pylist()).items():
+            if model not in tables:
+                raise RuntimeError(f"block {block} has other rows than when its n-grams were counted: stage the documents first")
+            index, parts = tables[model]
+            if len(parts) > 1:
+                parts[:] = [np.concatenate(parts)]
+            sums = np.zeros((len(at), len(values)))
+            for text, names, which in grams([texts_[k] for k in at]):
+                try:
+                    rows = np.array([index[g] for g in names])
+                except KeyError:
+                    raise RuntimeError(f"block {block} has other rows than when its n-grams were counted: stage the documents first") from None
+                own = parts[0][rows]
+                for v in range(len(values)):
+                    if v == 0 or (fold[at] == v - 1).any():
+                        sums[:, v] += np.bincount(text, own[which, v], len(at))
+            total[at] = sums[:, 0]
+            for v in range(FOLDS):
+                own = np.flatnonzero(fold[at] == v)
+                held[np.array(at)[own]] = sums[own, v + 1]
+        arrays = [part["row"], part["model"], part["fold"], pa.array([len(x) for x in texts_], pa.int64()), pa.array(total, from_pandas=True), pa.array(held, from_pandas=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["row", "model", "fold", "n_chars", "bits", "held"])
+
+    packed = shipped(texts).mapInArrow(pack, schema)
+    told = bits.select("block", F.lit(0).alias("kind"), "model", "g", *values, F.lit(None).cast("binary").alias("payload"))
+    met = told.unionByName(packed).repartition(n_blocks, "block").sortWithinPartitions("block", "kind")
+    types = [row, T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.DoubleType()]
+    return met.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(("row", "model", "fold", "n_chars", "bits", "held"), types)]))
+
+
+def _lang(docs: DataFrame) -> Column:
+    return F.coalesce(F.concat(F.lit("="), docs["lang"].cast("string")), F.lit("null"))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_chars, perplexity, threshold, kept) for each row of docs.
+def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    """(row, lang, n_chars, perplexity, shrunk, threshold, kept) for each row of docs: see score(); row holds its columns `keep`, or all."""
+    row = F.struct(*(docs[f"`{c}`"] for c in keep or docs.columns)).alias("row")
+    texts = docs.select(row, docs["doc_id"].cast("long").alias("doc_id"), _lang(docs).alias("lang"), text_of(docs).alias("text"))
+    ids = stage(trusted_ids(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "trusted")
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
+    languages = texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("fold") >= 0, F.length("text")).otherwise(0)).alias("trusted"))
+    languages = stage(languages.withColumn("model", F.when(F.col("trusted") >= LEAST_CHARS, F.col("lang"))), "languages")
+    size, trusted, n, own = languages.agg(F.sum("bytes"), F.sum("trusted"), F.count("lang"), F.count("model")).first()
+    lang = F.when(F.col("lang") != "null", F.expr("substring(lang, 2)")).alias("lang")
+    if not trusted:
+        nothing = F.lit(None).cast("double")
+        return texts.select("row", lang, F.length("text").cast("long").alias("n_chars"), nothing.alias("perplexity"), nothing.alias("shrunk"), nothing.alias("threshold"), (F.length("text") > 0).alias("kept"))
+    few = own <= BROADCAST_LANGUAGES
+    models = languages.where("model IS NOT NULL").select("lang", "model")
+    texts = texts.join(F.broadcast(models) if few else models, "lang", "left").withColumn("model", F.coalesce("model", F.lit(POOL))).drop("doc_id")
+    texts = texts.withColumn("row", F.struct(F.col("row").alias("own"), "lang")).coalesce(max(1, -(-size // BLOCK_BYTES))).withColumn("block", F.spark_partition_id())
+
+    found = stage(block_grams(texts, n > own), "block-grams")
+    total = F.col("c_0") + sum((F.col(f"c_{k}") for k in range(1, FOLDS)), F.lit(0))
+    counts = found.groupBy("model", "g").agg(*(F.sum(f"c_{k}").alias(f"c_{k}") for k in range(FOLDS))).select("model", "g", total.alias("n"), *((total - F.col(f"c_{k}")).alias(f"n_{k}") for k in range(FOLDS)))
+    p = probabilities(stage(counts, "grams"), few=few)
+    bits = found.select("block", "model", "g").join(p, ["model", "g"]).select("block", "model", "g", *((-F.log2(f"p_{c}")).alias(f"b_{c}") for c in _COUNTS))
+    rows = stage(_scored(texts, bits), "scores")
+
+    some, size = F.col("n_chars") > 0, F.col("n_chars") + 1
+    rate = lambda c: (F.col(c) + PRIOR * F.col("mean")) / (size + PRIOR)
+    known = rows.where(some & F.col("held").isNotNull())
+    means = known.groupBy("model").agg((F.sum("held") / F.sum(size)).alias("mean"))
+    means = F.broadcast(stage(means, "means")) if few else means
+    limits = known.join(means, "model").groupBy("model").agg(F.percentile_approx(rate("held"), Q, 10_000).alias("limit"))
+    rows = rows.join(means, "model", "left").join(F.broadcast(limits) if few else limits, "model", "left")
+    kept = some & F.coalesce(rate("bits") <= F.col("limit"), F.lit(True))
+    power = lambda x: F.pow(F.lit(2.0), x)
+    rows = rows.select(F.col("row.own").alias("row"), F.col("row.lang").alias("lang"), "n_chars", F.when(some, power(F.col("bits") / size)).alias("perplexity"), F.when(some, power(rate("bits"))).alias("shrunk"), power(F.col("limit")).alias("threshold"), kept.alias("kept"))
+    return rows.withColumn("lang", lang)
+
 
-    perplexity is per character; the threshold is that of the document's model.
-    A null or empty text has no perplexity and is rejected. Null languages and
-    those with little trusted text use the model of all languages. Without any
-    trusted text nothing is known, and all texts with a character are kept.
-    Repeated rows are scored alike. An empty table gives no rows.
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, n_chars, perplexity, shrunk, threshold, kept) for each row of docs.
+
+    perplexity is per character, the text's end counted as one. shrunk is that
+    of the text and PRIOR symbols at its language's mean, which must not be
+    above the threshold of the document's model. A null or empty text has no perplexity and is
+    rejected. Null languages and those with little trusted text use the model
+    of all languages. A model whose trusted documents are all in one part has
+    no threshold, and its documents are kept. Without any trusted text nothing
+    is known, and all texts with a character are kept. Repeated rows are scored
+    alike. An empty table gives no rows. docs is read twice and must have the
+    same rows in the same partitions then, as tables do; else a task fails.
     """
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _of_lang(docs).alias("lang"), text_of(docs).alias("text"))
-    ids = stage(trusted_ids(labels), "trusted")
-    few = ids.count() <= BROADCAST_IDS
-    trusted = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    alphabet = _letters(trusted.select("lang", "text"))
-    if not alphabet:
-        return texts.select("doc_id", F.when(F.col("lang") != "null", F.expr("substring(lang, 2)")).alias("lang"), F.length("text").cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length("text") > 0).alias("kept"))
-    rows = _fitted(trusted, texts, alphabet)
-    # The model knows its own text too well: the threshold comes from trusted text that it wasn't trained on.
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
-    parts = [_fitted(trusted.where(fold != k), trusted.where(fold == k), alphabet) for k in range(FOLDS)]
-    held = parts[0]
-    for part in parts[1:]:
-        held = held.unionByName(part)
-
-    known = rows.where("n_chars > 0").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    means = known.groupBy("model").agg((F.sum("bits") / F.sum(F.col("n_chars") + 1)).alias("mean"))
-    whole = known.agg((F.sum("bits") / F.sum(F.col("n_chars") + 1)).alias("mean")).first()[0]
-    means = {r["model"]: r["mean"] for r in means.collect()}  # a row for each model
-    mean = F.coalesce(*(F.when(F.col("model") == k, F.lit(v)) for k, v in means.items()), F.lit(whole))
-    rate = (F.col("bits") + PRIOR_CHARS * mean) / (F.col("n_chars") + 1 + PRIOR_CHARS)
-    cuts = held.where("n_chars > 0").withColumn("rate", rate)
-    limit = lambda d: d.agg(F.percentile_approx("rate", Q, 10_000).alias("q"))
-    cut = {r["model"]: r["q"] for r in limit(cuts.groupBy("model")).collect()}
-    threshold = F.coalesce(*(F.when(F.col("model") == k, F.lit(v)) for k, v in cut.items()), F.lit(limit(cuts).first()["q"]))
-    rows = rows.withColumns({"rate": rate, "limit": threshold})
-    some = F.col("n_chars") > 0
-    lang = F.when(F.col("lang") != "null", F.expr("substring(lang, 2)"))
-    return rows.select("doc_id", lang.alias("lang"), "n_chars", F.when(some, F.pow(F.lit(2.0), F.col("rate"))).alias("perplexity"), F.pow(F.lit(2.0), F.col("limit")).alias("threshold"), (some & (F.col("rate") <= F.col("limit"))).alias("kept"))
+    found = judged(docs, labels, "doc_id")
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "lang", "n_chars", "perplexity", "shrunk", "threshold", "kept")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score() keeps, with all their columns; the verdict comes with each row."""
+    return judged(docs, labels).where("kept").select("row.*")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

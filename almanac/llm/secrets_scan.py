@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of, text_slices
+from .common import read_table, shipped, text_of, text_slices
 
 _ANY = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 ASSIGN = re.compile("(" + "|".join(map(_ANY, ("password", "passwd", "secret", "token"))) + "|" + _ANY("api") + "_?" + _ANY("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -166,7 +166,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, base array<boolean>, kinds array<string>, starts array<long>, ends array<long>")
+    return shipped(rows).mapInArrow(run, "doc_id long, base array<boolean>, kinds array<string>, starts array<long>, ends array<long>")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

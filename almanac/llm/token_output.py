@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import new_path, public_tokenizer, read_table, text_slices, stage, text_of
+from .common import new_path, public_tokenizer, read_table, shipped, stage, text_of, text_slices
 from .tokens import encoder
 
 BLOCK_TOKENS, BLOCKS_AT_ONCE = 65_536, 32
@@ -52,7 +52,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
 
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, n_tokens int, ids binary, counts binary")
+    return shipped(rows).mapInArrow(run, "doc_id long, tie long, n_tokens int, ids binary, counts binary")
 
 
 def _ids_of(batch, wide: bool) -> list[np.ndarray]:
@@ -88,7 +88,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
 
     # At most one row for each id of the vocabulary comes to the driver.
     counts = np.zeros(vocab, dtype=np.int64)
-    for row in tokens.where("n_tokens < 0").select("counts").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for row in shipped(tokens).where("n_tokens < 0").select("counts").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[row["token"]] = row["n"]
     table = rans.Table.fit(counts)
     freq = table.freq.astype(np.int64)
@@ -124,7 +124,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
             yield flush()
 
     ordered = tokens.where("n_tokens >= 0").select("doc_id", "tie", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    ordered.mapInArrow(blocks, "part int, block int, first long, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    shipped(ordered).mapInArrow(blocks, "part int, block int, first long, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(t), int(freq[t])) for t in np.flatnonzero(freq)], "token int, freq long").coalesce(1).write.parquet(f"{path}/table")
     # One row for each part, of which there are as many as shuffle partitions.
     before_tokens, before_docs, index = 0, 0, []
@@ -157,7 +157,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                     starts = base[part] + first + np.cumsum(sizes) - sizes
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(sizes), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], schema=schema)
 
-    return spark.read.parquet(f"{path}/blocks").select("part", "first", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return shipped(spark.read.parquet(f"{path}/blocks")).select("part", "first", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

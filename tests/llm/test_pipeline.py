@@ -40,3 +40,26 @@ def test_odd_and_empty(spark, tmp_path):
             assert (own.count() > 0) == (at.count() > 0), name
             if name != "packing":
                 assert own.columns == docs.columns
+
+
+def _left(step, docs, path):
+    return sorted(((r["doc_id"] is None, r["doc_id"], r["text"]) for r in step(docs.sparkSession, docs, path).select("doc_id", "text").collect()), key=str)
+
+
+def test_verdicts_go_by_row(spark, tmp_path):
+    """A repeated doc_id costs no row its place: what is rejected, or a copy, is the row itself."""
+    from helpers import LONG, PROSE
+
+    steps, junk = dict(pipeline.STAGES), "ZQ#%" * (len(PROSE) // 4) + "Z" * (len(PROSE) % 4)
+    rows = [(k, PROSE[k:] + PROSE[:k]) for k in range(0, 200, 5)]
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 200, 10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents(spark, [*rows, (501, PROSE), (501, junk), (None, PROSE), (None, junk)]).withColumn("lang", pipeline.quality_lm.F.lit("en"))
+    got = _left(steps["quality_classifier"], docs, str(tmp_path))
+    assert len(got) >= len(rows) - 2 and (False, 501, PROSE) in got and (True, None, PROSE) in got and not any(r[2] == junk for r in got)
+
+    a, b = PROSE, LONG[:3000]
+    assert _left(steps["near_dedup"], documents(spark, [(5, a), (10, a), (10, b)]), "") == [(False, 5, a), (False, 10, b)]
+    assert len(_left(steps["near_dedup"], documents(spark, [(7, a)] * 3), "")) == 1
+    assert _left(steps["near_dedup"], documents(spark, [(None, a)] * 3 + [(9, a + " more")]), "") == [(False, 9, a + " more")]
+    assert len(_left(steps["near_dedup"], documents(spark, [(None, a)] * 3 + [(None, None), (None, ""), (3, "")]), "")) == 4
+    assert _left(steps["exact_dedup"], documents(spark, [(5, a), (10, a + " "), (10, b), (10, b)]), "") == [(False, 10, a + " "), (False, 10, b)]
