@@ -10,19 +10,14 @@ states.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from almanac.llm import bagminhash, exact_dedup, mixing, packing, quality_lm
 from almanac.llm.common import read_table, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's threshold."""
-    scores = quality_lm.score(docs, read_table(spark, sf_dir, "labels"))
-    # Rows of one doc_id and length are scored alike up to their text; a rejected one takes those with its very score only.
-    gone = scores.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.length(F.coalesce(docs["text"], F.lit(""))) == F.col("_n"))
-    return docs.join(gone, same, "left_anti")
+    """Documents whose perplexity is within their language's threshold; the verdict comes with each row."""
+    return quality_lm.good_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
