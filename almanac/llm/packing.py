@@ -95,15 +95,17 @@ def pack(items: DataFrame, capacity: int, max_docs: int, max_attention: int, wei
     `max_attention` as the sum of squared lengths. Items as long as the capacity
     fill a sequence each and are not shuffled. Offsets are gapless from 0.
     Repeated items are packed as often as they occur. Lengths must be from 1 to
-    the capacity, and one item must fit by itself.
+    the capacity, and one item must fit by itself. Columns of items that are
+    named as the two added ones (or _shard) are replaced.
     """
+    items = items.drop("sequence_id", "offset", "_shard")
     limit, w = np.array([capacity, max_docs, max_attention], dtype=float), np.asarray(weights, dtype=float)
     spark, names = items.sparkSession, items.columns
     items = stage(items, "pieces")  # read twice below, made once
     full = items.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     part = items.where(F.col("length") < capacity)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mixed = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards))
+    mixed = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))  # by the staged row, so equal rows are spread as well
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)

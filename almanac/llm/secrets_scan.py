@@ -24,10 +24,14 @@ _ANY = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w
 ASSIGN = re.compile("(" + "|".join(map(_ANY, ("password", "passwd", "secret", "token"))) + "|" + _ANY("api") + "_?" + _ANY("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Three dotted parts; the first begins as base64 of a brace or of white space does.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[eICD][A-Za-z0-9_-]{7,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+#: The body ends at the next five dashes, so no text is read twice.
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*?PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
-HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{48,}+|[0-9A-F]{48,}+)(?![0-9A-Fa-f])")
+#: What stands between the lines of wrapped base64, and its last line.
+_WRAP, _TAIL = re.compile(r"\r?\n[\x20\t]*"), re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})")
+HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}+")
 #: The order of kinds that start together.
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "ssh", "hexkey")
 
@@ -54,7 +58,7 @@ def is_signed_token(text: str) -> bool:
     head, body, sign = text.split(".")
     try:
         head_, body_ = (json.loads(_unbase64(x) or b"") for x in (head, body))
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than any token's
         return False
     alg = head_.get("alg") if isinstance(head_, dict) else None
     return isinstance(body_, dict) and isinstance(alg, str) and bool(alg) and (alg.lower() == "none" or len(_unbase64(sign) or b"") >= 16)
@@ -84,19 +88,17 @@ def is_der_key(data: bytes) -> bool:
     top = _element(data, 0, len(data))
     if len(data) < 24 or top is None or top[0] != 0x30 or top[2] != len(data):
         return False
-    inside, stack = [], [(top[1], top[2], 0)]
+    inside, stack = [], [(top[1], top[2], True)]
     while stack:
-        at, end, depth = stack.pop()
+        at, end, outer = stack.pop()
         while at < end:
             own = _element(data, at, end)
             if own is None:
                 return False
-            if depth == 0:
+            if outer:
                 inside.append(own)
             if own[0] & 0x20:
-                if depth >= 16:
-                    return False
-                stack.append((own[1], own[2], depth + 1))
+                stack.append((own[1], own[2], False))
             at = own[2]
     if len(inside) < 2:
         return False
@@ -110,7 +112,7 @@ def is_ssh_key(data: bytes) -> bool:
     """Whether data is an OpenSSH private key file or length-prefixed public key fields that fill it exactly."""
     private = data.startswith(b"openssh-key-v1\0")
     at, fields = (15 if private else 0), []
-    while at + 4 <= len(data) and len(fields) < 64:
+    while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
             return False
@@ -121,27 +123,61 @@ def is_ssh_key(data: bytes) -> bool:
     return not private and at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
 
 
+def is_armoured_key(body: str) -> bool:
+    """Whether the text between a private key's armour lines is one: base64 of a key, or of a cipher's blocks under header lines that name the cipher.
+
+    Line ends may be written out as backslash n, as JSON strings have them.
+    """
+    lines = body.replace("\\r", "").replace("\\n", "\n").split("\n")
+    headers = {k.strip(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+    data = _unbase64("".join("".join(x.split()) for x in lines if ":" not in x))
+    if not data:
+        return False
+    if "ENCRYPTED" in headers.get("Proc-Type", ""):
+        cipher, _, start = headers.get("DEK-Info", "").partition(",")
+        return bool(cipher) and len(start) >= 16 and re.fullmatch("[0-9A-Fa-f]+", start) is not None and len(data) % 8 == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def _base64_key(text: str) -> int | None:
+    data = _unbase64(text)
+    if data and data[0] == 0x30 and is_der_key(data):
+        return 5
+    return 6 if data and data[:1] in (b"\0", b"o") and is_ssh_key(data) else None
+
+
+def _base64_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Keys in base64 outside of what is taken: lines that follow one another are tried as one candidate, then each by itself."""
+    runs, k = [], 0
+    for m in BASE64.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or m.start() < taken[k][0]:
+            runs.append(m.span())
+    found, i = [], 0
+    while i < len(runs):
+        j = i
+        while j + 1 < len(runs) and _WRAP.fullmatch(text, runs[j][1], runs[j + 1][0]):
+            j += 1
+        tail = _TAIL.match(text, runs[j][1])
+        begin, end = runs[i][0], tail.end() if tail else runs[j][1]
+        kind = _base64_key("".join(text[begin:end].split())) if j > i or tail else None
+        if kind:
+            found.append((begin, kind, end))
+        else:
+            found += [(a, own, b) for a, b in runs[i : j + 1] if (own := _base64_key(text[a:b]))]
+        i = j + 1
+    return found
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates whose decoded bytes have the structure of a secret."""
-    found, taken = [], []
-    if "eyJ" in text:
-        found += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    found = [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN" in text:
-        for m in ARMOUR.finditer(text):
-            data = _unbase64("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                found.append((m.start(), 4, m.end()))
-                taken.append(m.span())
-    for m in BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
-            continue
-        data = _unbase64(m[0])
-        if data and data[0] == 0x30 and is_der_key(data):
-            found.append((m.start(), 5, m.end()))
-        elif data and data[:1] in (b"\0", b"o") and is_ssh_key(data):
-            found.append((m.start(), 6, m.end()))
+        found += [(m.start(), 4, m.end()) for m in ARMOUR.finditer(text) if is_armoured_key(m[2])]
+    found += _base64_spans(text, [(a, b) for a, k, b in found if k == 4])
     for m in HEX_KEY.finditer(text):
-        if m[0].startswith(("30", "0000", "6f70656e", "6F70656E")) and len(m[0]) % 2 == 0:
+        if m[0].lower().startswith(("30", "0000", "6f70656e")) and len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
             if is_der_key(data) or is_ssh_key(data):
                 found.append((m.start(), 7, m.end()))

@@ -113,9 +113,12 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
                 ids_of.append(ids)
                 size += len(ids)
                 if size >= BLOCK_TOKENS:
+                    alone = size > 2 * BLOCK_TOKENS  # blocks coded together take the room of the longest each
+                    if alone and held:
+                        yield flush()
                     held.append((docs_of, ids_of, first))
                     first, docs_of, ids_of, done, size = first + size, [], [], done + size, 0
-                    if len(held) == BLOCKS_AT_ONCE or done >= BLOCKS_AT_ONCE * BLOCK_TOKENS:
+                    if alone or len(held) == BLOCKS_AT_ONCE or done >= BLOCKS_AT_ONCE * BLOCK_TOKENS:
                         done = 0
                         yield flush()
         if docs_of:

@@ -19,6 +19,8 @@ import numpy as np
 _TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LATIN = "\u024f"
+#: Characters of a piece that is cached at most, which bounds the cache's bytes.
+LONGEST = 64
 _WORDS, _SEPARATORS = re.compile(f"[^{_SPACE}]+"), re.compile("[\x1c-\x1f]")
 #: Runs of characters other than white space with one space before them, or white space, as byte-level BPE cuts them.
 _BYTE_LEVEL = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -32,10 +34,12 @@ def _rule(path: str) -> tuple[str, bool]:
     parts = [pre, *pre.get("pretokenizers", [])]
     if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
         return "byte", False
-    kinds = [x["type"] for x in (norm or {}).get("normalizers", [])]
+    norms = (norm or {}).get("normalizers", [])
+    kinds = [x["type"] for x in norms]
+    spaces = all(x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " " for x in norms if x["type"] == "Replace")  # no replacement reaches across a cut
     split = next((p for p in parts if p.get("type") == "Split"), None)
     drops = split and split.get("behavior") == "Removed" and split.get("invert") and "\\s" in json.dumps(split)
-    if drops and set(kinds) <= {"NFC", "Replace", "Lowercase"}:
+    if drops and spaces and set(kinds) <= {"NFC", "Replace", "Lowercase"}:
         return "word", "Lowercase" in kinds
     return "whole", False
 
@@ -58,7 +62,8 @@ class _Cache(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = self.encode_piece(piece)
-        self[piece] = ids
+        if len(piece) <= LONGEST:
+            self[piece] = ids
         return ids
 
 

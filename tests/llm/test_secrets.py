@@ -67,6 +67,64 @@ def test_structures():
     assert scan.confirmed_spans(text) == [(2, 3, len(text))]
 
 
+def _wrapped(data, width=64, indent=""):
+    text = b64(data)
+    return "\n".join(indent + text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_more_structures():
+    kinds = lambda text: [scan.KINDS[k] for _, k, _ in sorted(scan.confirmed_spans(text))]
+    spaced = ".".join((url64(b'{ \n"alg": "ES256"}'), url64(b' {"sub": 1}'), url64(b"s" * 64)))
+    assert kinds(spaced) == kinds("x " + ".".join((url64(b' {"alg": "HS256"}'), url64(b"{}"), url64(b"s" * 32))) + ".") == ["token"]
+    for indent in ("", "    "):
+        text = f"key:\n{_wrapped(RSA, indent=indent)}\n\nend"
+        (a, k, b), = scan.confirmed_spans(text)
+        assert scan.KINDS[k] == "der" and "".join(text[a:b].split()) == b64(RSA)
+    assert kinds(f"{_wrapped(OPEN, 70)}\nprose goes on") == ["ssh"]
+    body = _wrapped(hashlib.sha512(b"c").digest() * 4)
+    legacy = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0F' * 16}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(legacy) == ["pem"] and kinds(legacy.replace("DEK-Info", "Comment")) == []
+    pem = f"-----BEGIN PRIVATE KEY-----\n{_wrapped(PKCS8)}\n-----END PRIVATE KEY-----\n"
+    assert kinds(json.dumps({"private_key": pem})) == ["pem"]
+    mixed = "".join(c.upper() if k % 3 else c for k, c in enumerate(RSA.hex()))
+    assert kinds(mixed) == ["hexkey"]
+    deep = der(2, b"\1")
+    for _ in range(40):
+        deep = der(0x30, deep)
+    assert scan.is_der_key(der(0x30, der(2, b"\0") + der(0x30, deep) + der(4, b"k" * 32)))
+
+
+def test_no_text_fails_or_takes_long(spark):
+    """Headers nested deeper than Python's stack, and candidates by the thousand."""
+    deep = url64(b'{"a":' + b"[" * 200_000)
+    texts = [f"{deep}.{deep}.", f"{url64(b'{' + b'%22a%22:' * 10)}.x.y", "-----BEGIN PRIVATE KEY-----" * 40_000, "A" * 31 + "=\n" + ("Q" * 64 + "\n") * 20_000, f"{_wrapped(RSA)}\n-----BEGIN PRIVATE KEY-----\n-" * 3000, "eyJ." * 200_000, url64(b'{"alg":' + b"1" * 90_000 + b"}") + ".e30.x"]
+    import time
+
+    began = time.time()
+    assert scan.find_secrets(documents(spark, list(enumerate(texts)))).count() == len(texts)
+    assert time.time() - began < 60
+
+
+def test_recall():
+    """Planted secrets of each kind, in prose: all are found, at their places."""
+    rng = __import__("random").Random(5)
+    found = total = 0
+    for k in range(300):
+        rsa = der(0x30, der(2, b"\0") + b"".join(der(2, b"\x01" + rng.randbytes(rng.randrange(40, 200))) for _ in range(8)))
+        ssh = b"".join(struct.pack(">I", len(x)) + x for x in (b"ssh-rsa", rng.randbytes(3), rng.randbytes(257)))
+        token = ".".join((url64(json.dumps({"alg": rng.choice(["HS256", "RS512", "none"]), "kid": k}).encode()), url64(json.dumps({"sub": rng.random()}).encode()), url64(rng.randbytes(64))))
+        pem = f"-----BEGIN EC PRIVATE KEY-----\n{_wrapped(rsa)}\n-----END EC PRIVATE KEY-----"
+        secrets = [b64(rsa), _wrapped(rsa), rsa.hex(), rsa.hex().upper(), b64(ssh), token, pem, url64(rsa)]
+        rng.shuffle(secrets)
+        text = "é "
+        for s in secrets:
+            text += f"{PROSE[: rng.randrange(20, 200)]} {s}\n\n"
+            total += 1
+        spans = {text[a:b] for a, _, b in scan.confirmed_spans(text)}
+        found += sum(s in spans or s + "=" * (-len(s) % 4) in spans for s in secrets)
+    assert found == total
+
+
 def test_query(spark):
     docs = documents(spark, [*enumerate(TEXTS), (90, None), (91, f"é {TOKEN} {b64(RSA)}"), (91, "again"), (None, "token=abcdef")])
     rows = scan.find_secrets(docs).collect()
