@@ -34,7 +34,7 @@ M = BANDS * ROWS
 #: A signature's sketch has a bit for each component; of two texts with similarity 0.8, a tenth of the bits differ
 #: (19, standard deviation 4.2), and more than this many with probability 1e-5.
 BITS_APART = 38
-HOT = 1000
+HOT, SALTS = 1000, 32
 #: Texts and word runs of one side of a block, on average; and columns of its matrices.
 BLOCK_TEXTS, BLOCK_RUNS, COLUMNS = 400, 200_000, 4096
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -207,6 +207,20 @@ def _runs(rows: DataFrame) -> DataFrame:
     return shipped(rows).mapInArrow(run, "node binary, runs binary")
 
 
+def _spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """rows joined with facts (at most one row for each key); the keys of over 1/HOT of the `total` rows are spread over SALTS by a column of rows.
+
+    Only the hot keys themselves are broadcast, fewer than HOT of them; their
+    facts are copied to each salt.
+    """
+    hot = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT > total).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = facts.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def _verified(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough. runs: (node, runs), one row for each node."""
 
@@ -221,7 +235,7 @@ def _verified(pairs: DataFrame, runs: DataFrame) -> DataFrame:
                 yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     one, two = runs.select(F.col("node").alias("a"), F.col("runs").alias("s")), runs.select(F.col("node").alias("b"), F.col("runs").alias("t"))
-    return shipped(pairs).join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
+    return _spread_join(shipped(pairs), two, "b", "a", pairs.count()).join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
 
 
 def block_links(root: np.ndarray, runs: list[bytes]) -> list[tuple[int, int]]:
@@ -310,11 +324,11 @@ def components(links: DataFrame) -> DataFrame:
     both = lambda t: t.select("a", "b").unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges, seen = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"), None
     while True:
-        least = both(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both(edges).where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least, n = both(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), edges.count()
+        large = _spread_join(both(edges).where("b > a"), least, "a", "b", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage(large.where("a <> b").distinct(), "stars")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = _spread_join(large, least, "a", "b", n)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = stage(small.where("a <> b").distinct(), "links")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -337,7 +351,8 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     center = buckets.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = stage(buckets.join(center, "key"), "buckets")
     pairs = shared.select(F.col("node").alias("a"), F.col("center").alias("b")).where("a <> b").distinct()
-    pairs = pairs.join(prefixed(sketches, "b"), "b").join(prefixed(sketches, "a"), "a").where(_maybe("a_", "b_")).select("a", "b")
+    pairs = stage(pairs, "candidates")
+    pairs = _spread_join(pairs, prefixed(sketches, "b"), "b", "a", pairs.count()).join(prefixed(sketches, "a"), "a").where(_maybe("a_", "b_")).select("a", "b")
     pairs = stage(pairs, "pairs")
 
     # Word runs of the nodes that share a bucket; the text of the smallest doc_id stands for each.
@@ -370,8 +385,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     class_id is the doc_id, which may be null. An empty table gives no rows.
     """
     rows, classes = _linked(docs)
+    classes = stage(classes, "roots")
     sums = classes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    classes = stage(classes.join(sums, "root").select("node", "class_id", "class_size", "n"), "classes")
+    classes = stage(_spread_join(classes, sums, "root", "node", classes.count()).select("node", "class_id", "class_size", "n"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     hot = classes.where(F.col("n") * HOT > total).drop("n")  # fewer than HOT nodes
     has = rows.where("keys IS NOT NULL").select("doc_id", "node")

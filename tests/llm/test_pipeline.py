@@ -58,8 +58,8 @@ def test_verdicts_go_by_row(spark, tmp_path):
     assert len(got) >= len(rows) - 2 and (False, 501, PROSE) in got and (True, None, PROSE) in got and not any(r[2] == junk for r in got)
 
     a, b = PROSE, LONG[:3000]
-    assert _left(steps["near_dedup"], documents(spark, [(5, a), (10, a), (10, b)]), "") == [(False, 5, a), (False, 10, b)]
+    assert _left(steps["near_dedup"], documents(spark, [(5, a), (10, a), (10, b)]), "") == sorted([(False, 5, a), (False, 10, b)], key=str)
     assert len(_left(steps["near_dedup"], documents(spark, [(7, a)] * 3), "")) == 1
     assert _left(steps["near_dedup"], documents(spark, [(None, a)] * 3 + [(9, a + " more")]), "") == [(False, 9, a + " more")]
     assert len(_left(steps["near_dedup"], documents(spark, [(None, a)] * 3 + [(None, None), (None, ""), (3, "")]), "")) == 4
-    assert _left(steps["exact_dedup"], documents(spark, [(5, a), (10, a + " "), (10, b), (10, b)]), "") == [(False, 10, a + " "), (False, 10, b)]
+    assert _left(steps["exact_dedup"], documents(spark, [(5, a), (10, a + " "), (10, b), (10, b)]), "") == sorted([(False, 10, a + " "), (False, 10, b)], key=str)
