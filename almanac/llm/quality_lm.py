@@ -171,7 +171,7 @@ def probabilities(counts: DataFrame, order: int = ORDER, few: bool = True) -> Da
             low = F.col(f"p_{c}") if k > 1 else F.when(F.col(f"{c}_seen") > 0, 1 / (F.col(f"{c}_seen") + 1))
             own = (F.col(c) - F.col(f"{c}_cut") + F.col(f"{c}_freed") * low) / F.col(f"{c}_all")
             found.append(F.when(F.col(f"{c}_all") > 0, own).otherwise(low).alias(f"p_{c}"))
-        below = rows.select("model", "g", *found)
+        below = stage(rows.select("model", "g", *found), f"probabilities-{k}")  # each order is a plan of its own
     return below
 
 
