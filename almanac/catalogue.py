@@ -536,11 +536,9 @@ def freshness(spark, d):
 # --- Operators known from design documents only -----------------------------------------------------------------------
 
 
-@_query("stale_events", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE ts < TIMESTAMP '2024-01-15' - INTERVAL 14 DAYS OR ts < TIMESTAMP '2024-01-01 12:00:00'")
+@_query("stale_events", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE ts < TIMESTAMP '2024-01-26' - INTERVAL 14 DAYS")
 def stale_events(spark, d):
-    rows = listing(spark, d)
-    late = rows.where(F.col("last_scraped_at") < F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
-    return upsert.possibly_stale(rows, AS_OF).select("id").union(late.select("id")).distinct()
+    return upsert.possibly_stale(listing(spark, d), dt.date(2024, 1, 26)).select("id")
 
 
 @_query(
