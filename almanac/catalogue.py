@@ -139,6 +139,12 @@ def visible_with_orgs(spark, d):
     return _visible(spark, d).select("id", "visibility", "org_slug")
 
 
+@_query("toggled_orgs", f"WITH {VISIBLE_SQL} SELECT id, org_slug FROM V WHERE (visibility = 'private' AND org_slug = '{ORGS[0]}') IS NOT TRUE")
+def toggled_orgs(spark, d):
+    twice = serve.toggle(serve.toggle(ORGS, ORGS[-1]), ORGS[-1])  # out, and in again
+    return serve.visible(serve.upcoming(listing(spark, d), AS_OF), serve.toggle(twice, ORGS[0])).select("id", "org_slug")
+
+
 @_query(
     "filter_category_town",
     f"WITH {VISIBLE_SQL} SELECT category, town, count(*) AS n, count(*) || CASE WHEN count(*) = 1 THEN ' event' ELSE ' events' END AS said FROM V WHERE category = 'festival' AND town = 'Arnold' GROUP BY ALL",
@@ -379,10 +385,17 @@ def page_text(spark, d):
     return p.select("page_id", html_text(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
 
 
-@_query("page_extraction", f"SELECT count(*) FILTER (length({_html_sql()}) >= 100) AS pages, CAST(0 AS BIGINT) AS events FROM pages WHERE NOT contains(lower({_html_sql()}), '404') AND NOT contains(lower({_html_sql()}), 'page not found')")
+@_query(
+    "page_extraction",
+    f"WITH {LISTING_SQL}, p AS (SELECT page_id FROM pages WHERE length({_html_sql()}) >= 100 AND NOT contains(lower({_html_sql()}), '404') AND NOT contains(lower({_html_sql()}), 'page not found')), "
+    "told AS (SELECT CAST(id AS BIGINT) // 5 AS page_id, name, CAST(CAST(date AS DATE) AS VARCHAR) AS date, town FROM L) SELECT page_id, name, date, town FROM told JOIN p USING (page_id)",
+)
 def page_extraction(spark, d):
-    replies = ingest.run_extractor(pages(spark, d), ingest.stub_extractor)
-    return replies.agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size(ingest.extracted(F.col("reply")))).cast("long").alias("events"))
+    # Recorded replies: five events of the listing for each page.
+    record = F.struct("name", text.iso(F.col("date")).alias("date"), "town")
+    replies = listing(spark, d).groupBy(F.expr("CAST(id AS BIGINT) DIV 5").alias("page_id")).agg(F.to_json(F.collect_list(record)).alias("reply"))
+    found = ingest.run_extractor(pages(spark, d), ingest.recorded_extractor(replies))
+    return ingest.extract_events(found.select("page_id", "reply")).select("page_id", "name", "date", "town")
 
 
 _REPLIES = [

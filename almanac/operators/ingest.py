@@ -42,13 +42,13 @@ def extract_events(replies: DataFrame, sources: DataFrame | None = None) -> Data
 
 
 def run_extractor(pages: DataFrame, extractor: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Pages that pass the gate through an extractor, which adds the column reply (a model call belongs there, in mapInPandas)."""
+    """Pages that pass the gate through an extractor, which adds the column reply (a model call belongs there, in mapInPandas; recorded_extractor() needs none)."""
     return extractor(pages.where(gate_reason(F.col("success"), F.col("markdown")) == "pass"))
 
 
-def stub_extractor(pages: DataFrame) -> DataFrame:
-    """The deterministic extractor: the page text is the reply."""
-    return pages.withColumn("reply", F.col("markdown"))
+def recorded_extractor(replies: DataFrame, key: str = "page_id") -> Callable[[DataFrame], DataFrame]:
+    """An extractor that takes each page's reply from a table (key, reply), one row for each page; a page without one has a null reply, which holds no events."""
+    return lambda pages: pages.join(replies.select(key, "reply"), key, "left")
 
 
 def on_corridor(town: Column, names: list[str] = CORRIDOR) -> Column:
