@@ -454,6 +454,24 @@ def ingest_counts(spark, d):
     return ingest.ingest_counts(_stated(spark, d).join(own, "source_ord"), AS_OF)
 
 
+@_query(
+    "source_isolation",
+    f"WITH s(ord, source_slug, filtered) AS (VALUES {_SRC_SQL}), p AS (SELECT source_slug, source_slug = 'lube-room' AS down FROM documents JOIN s ON doc_id % 9 = ord) "
+    "SELECT source_slug, count(*) AS pages, count(*) FILTER (down) AS failed, CASE WHEN bool_or(down) THEN 'ConnectionError: lube-room is down' END AS error FROM p GROUP BY source_slug",
+)
+def source_isolation(spark, d):
+    """Each document as a page of one of the sources, one of which fails on every page."""
+    own = F.broadcast(dims.sources(spark).select("source_ord", F.col("slug").alias("source_slug")))  # nine rows
+    rows = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 9).cast("int").alias("source_ord"), F.col("text").alias("markdown"))
+
+    def fetch(slug, markdown):
+        if slug == "lube-room":
+            raise ConnectionError(f"{slug} is down")
+        return markdown
+
+    return ingest.source_outcomes(ingest.isolated(rows.join(own, "source_ord"), fetch))
+
+
 # --- Briefing, documents, freshness -----------------------------------------------------------------------------------
 
 _WINDOW_SQL = UP_SQL + ", W AS (SELECT * FROM U WHERE date <= DATE '2024-01-22' AND visibility = 'public')"
@@ -516,22 +534,102 @@ def event_doc(spark, d):
     return documents.event_fields(serve.upcoming(listing(spark, d), AS_OF)).withColumn("performers", F.array_join("performers", ", "))
 
 
+_TITLE_SQL = "name || ' — ' || strftime(date, '%B %-d, %Y') || ' in ' || town"
+_ABOUT_SQL = "coalesce(substr(description, 1, 155), name || ' at ' || venue_name || ' in ' || town || ', CA on ' || strftime(date, '%B %-d, %Y') || '.')"
+
+
 @_query(
     "page_metadata",
-    f"WITH {UP_SQL}, s AS (SELECT *, {_slug_sql()} AS slug FROM U) SELECT id, name || ' — ' || strftime(date, '%B %-d, %Y') || ' in ' || town AS title, "
-    f"coalesce(substr(description, 1, 155), name || ' at ' || venue_name || ' in ' || town || ', CA on ' || strftime(date, '%B %-d, %Y') || '.') AS description, '/events/' || slug AS canonical, '{dims.SITE_URL}/events/' || slug AS url FROM s",
+    f"WITH {UP_SQL}, s AS (SELECT id, {_slug_sql()} AS slug, {_TITLE_SQL} AS title, {_ABOUT_SQL} AS description FROM U) SELECT id, title, description, '/events/' || slug AS canonical, '{dims.SITE_URL}/events/' || slug AS url, "
+    "title AS og_title, description AS og_description, 'website' AS og_type, 'summary' AS twitter_card, title AS twitter_title, description AS twitter_description FROM s",
 )
 def page_metadata(spark, d):
     return documents.page_metadata(serve.upcoming(listing(spark, d), AS_OF))
 
 
+@_query(
+    "requested_metadata",
+    f"WITH {UP_SQL}, r AS (SELECT DISTINCT {_slug_sql()} AS slug FROM L), s AS (SELECT *, {_slug_sql()} AS slug FROM U), f AS (SELECT slug, {_TITLE_SQL} AS title, {_ABOUT_SQL} AS description, row_number() OVER (PARTITION BY slug ORDER BY {ORDER_SQL}) AS nth FROM s) "
+    "SELECT r.slug, coalesce(title, 'Event Not Found') AS title, description FROM r LEFT JOIN f ON r.slug = f.slug AND nth = 1",
+)
+def requested_metadata(spark, d):
+    """Pages asked for by every slug of the listing, past events' too, which are not found."""
+    rows = listing(spark, d)
+    return documents.requested_metadata(serve.with_slug(rows).select("slug").distinct(), serve.upcoming(rows, AS_OF))
+
+
+_PUT_SQL = "json_merge_patch('{}', json_object("  # leaves out members that are null
+
+
+@_query(
+    "itemlist_json",
+    f"WITH {UP_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS position, count(*) OVER () AS n, {_PRICE_SQL} AS cost FROM U WHERE visibility = 'public'), "
+    f"i AS (SELECT position, n, {_PUT_SQL}'@type', 'ListItem', 'position', position, 'url', '{dims.SITE_URL}/events/' || {_slug_sql()}, 'item', json_object('@type', 'Event', 'name', name, 'startDate', {_START_SQL}, 'endDate', {_END_SQL}, "
+    "'location', json_object('@type', 'Place', 'name', venue_name, 'address', json_object('@type', 'PostalAddress', 'addressLocality', town, 'addressRegion', 'CA', 'addressCountry', 'US')), 'description', nullif(description, ''), "
+    f"'offers', CASE WHEN cost IS NOT NULL THEN json_object('@type', 'Offer', 'price', cost, 'priceCurrency', 'USD', 'availability', '{_SCHEMA}/InStock') END, 'eventAttendanceMode', '{_SCHEMA}/OfflineEventAttendanceMode', 'eventStatus', '{_SCHEMA}/EventScheduled'))) AS e FROM p WHERE position <= 50) "
+    f"SELECT CAST(json_object('@context', '{_SCHEMA}', '@type', 'ItemList', 'name', 'Upcoming events', 'numberOfItems', coalesce(max(n), 0), 'itemListElement', to_json(coalesce(list(e ORDER BY position), []))) AS VARCHAR) AS document FROM i",
+)
+def itemlist_json(spark, d):
+    return documents.list_document(serve.upcoming(listing(spark, d), AS_OF))
+
+
+@_query(
+    "event_json",
+    f"WITH {UP_SQL}, s AS (SELECT *, {_slug_sql()} AS slug, {_PRICE_SQL} AS cost FROM U) SELECT id, slug, CAST({_PUT_SQL}'@context', '{_SCHEMA}', '@type', 'Event', 'name', name, 'description', nullif(description, ''), 'startDate', {_START_SQL}, 'endDate', {_END_SQL}, "
+    "'location', json_object('@type', 'Place', 'name', venue_name, 'address', json_object('@type', 'PostalAddress', 'streetAddress', nullif(address, ''), 'addressLocality', town, 'addressRegion', 'CA', 'addressCountry', 'US')), "
+    f"'offers', CASE WHEN cost IS NOT NULL THEN json_object('@type', 'Offer', 'price', cost, 'priceCurrency', 'USD', 'availability', '{_SCHEMA}/InStock', 'url', coalesce(nullif(event_url, ''), '{dims.SITE_URL}/events/' || slug)) END, "
+    f"'eventAttendanceMode', '{_SCHEMA}/OfflineEventAttendanceMode', 'eventStatus', '{_SCHEMA}/' || CASE WHEN status = 'tentative' THEN 'EventPostponed' ELSE 'EventScheduled' END, "
+    f"'performer', CASE WHEN len(artists) > 0 THEN to_json(list_transform(artists, lambda a: json_object('@type', 'Person', 'name', a))) END, 'organizer', json_object('@type', 'Organization', 'name', '{dims.SITE_NAME}', 'url', '{dims.SITE_URL}'))) AS VARCHAR) AS document FROM s",
+)
+def event_json(spark, d):
+    return documents.event_documents(serve.upcoming(listing(spark, d), AS_OF))
+
+
+@_query(
+    "breadcrumbs",
+    f"WITH {UP_SQL}, s AS (SELECT DISTINCT name, '/events/' || {_slug_sql()} AS path FROM U) SELECT path, CAST(json_object('@context', '{_SCHEMA}', '@type', 'BreadcrumbList', 'itemListElement', json_array("
+    f"json_object('@type', 'ListItem', 'position', 1, 'name', 'Home', 'item', '{dims.SITE_URL}'), json_object('@type', 'ListItem', 'position', 2, 'name', name, 'item', '{dims.SITE_URL}' || path))) AS VARCHAR) AS document FROM s",
+)
+def breadcrumbs(spark, d):
+    rows = serve.with_slug(serve.upcoming(listing(spark, d), AS_OF))
+    return documents.breadcrumbs(rows.select("name", F.concat(F.lit("/events/"), "slug").alias("path")).distinct())
+
+
+_HEIGHT_SQL = ", ".join(f"({t[6]}, '{t[0]}', {t[1]}, '{t[2]}')" for t in dims.TOWNS)
+
+
+@_query(
+    "faq_doc",
+    f"WITH t(ord, name, feet, tagline) AS (VALUES {_HEIGHT_SQL}), q AS (SELECT ord, json_object('@type', 'Question', 'name', 'How high is ' || name || '?', 'acceptedAnswer', json_object('@type', 'Answer', 'text', feet || ' feet. ' || tagline || '.')) AS e FROM t) "
+    f"SELECT CAST(json_object('@context', '{_SCHEMA}', '@type', 'FAQPage', 'mainEntity', to_json(list(e ORDER BY ord))) AS VARCHAR) AS document FROM q",
+)
+def faq_doc(spark, d):
+    """A page of questions about the towns, from their table."""
+    t = dims.towns(spark).toDF("name", "feet", "tagline", "drive", "lat", "lon", "ord", "filter_ord")
+    return documents.faq_document(t.select("ord", F.concat(F.lit("How high is "), "name", F.lit("?")).alias("question"), F.concat("feet", F.lit(" feet. "), "tagline", F.lit(".")).alias("answer")))
+
+
+_DAY_SITE_SQL = f"WITH {UP_SQL}, s AS (SELECT town AS name, '{dims.SITE_URL}/' || lower(replace(town, ' ', '-')) AS url, count(*) || ' events to come' AS description FROM U GROUP BY town), "
+
+
+@_query(
+    "site_docs",
+    _DAY_SITE_SQL + f"b AS (SELECT *, '{_SCHEMA}' AS ctx FROM s) SELECT name, 'WebSite' AS kind, CAST(json_object('@context', ctx, '@type', 'WebSite', 'name', name, 'url', url, 'description', description) AS VARCHAR) AS document FROM b "
+    "UNION ALL SELECT name, 'Organization', CAST(json_object('@context', ctx, '@type', 'Organization', 'name', name, 'url', url, 'description', description, 'areaServed', json_object('@type', 'Place', 'name', name)) AS VARCHAR) FROM b",
+)
+def site_docs(spark, d):
+    """A site for each town with events to come."""
+    rows = serve.upcoming(listing(spark, d), AS_OF).groupBy(F.col("town").alias("name")).agg(F.concat(F.count(F.lit(1)), F.lit(" events to come")).alias("description"))
+    return documents.site_documents(rows.withColumns({"url": F.concat(F.lit(f"{dims.SITE_URL}/"), F.lower(F.replace("name", F.lit(" "), F.lit("-")))), "area": F.col("name")}))
+
+
 @_query(
     "sitemap_rows",
-    f"WITH {UP_SQL} SELECT 3 AS section, '{dims.SITE_URL}/events/' || {_slug_sql()} AS url, 'weekly' AS change_frequency, CAST(0.8 AS DOUBLE) AS priority FROM U "
-    f"UNION ALL SELECT * FROM (VALUES (0, '{dims.SITE_URL}', 'daily', CAST(1.0 AS DOUBLE)), (1, '{dims.SITE_URL}/about', 'monthly', CAST(0.7 AS DOUBLE)), (2, '{dims.SITE_URL}/faq', 'monthly', CAST(0.6 AS DOUBLE)))",
+    f"SELECT *, '2024-01-15T14:00:00Z' AS last_modified FROM (WITH {UP_SQL} SELECT 3 AS section, '{dims.SITE_URL}/events/' || {_slug_sql()} AS url, 'weekly' AS change_frequency, CAST(0.8 AS DOUBLE) AS priority FROM U "
+    f"UNION ALL SELECT * FROM (VALUES (0, '{dims.SITE_URL}', 'daily', CAST(1.0 AS DOUBLE)), (1, '{dims.SITE_URL}/about', 'monthly', CAST(0.7 AS DOUBLE)), (2, '{dims.SITE_URL}/faq', 'monthly', CAST(0.6 AS DOUBLE))))",
 )
 def sitemap_rows(spark, d):
-    return documents.sitemap(spark, serve.upcoming(listing(spark, d), AS_OF))
+    return documents.sitemap(spark, serve.upcoming(listing(spark, d), AS_OF), F.lit("2024-01-15T14:00:00Z"))
 
 
 _NOW = "2024-02-01 12:00:00"
@@ -567,8 +665,27 @@ def reconcile_visibility(spark, d):
     return upsert.reconcile_visibility(upsert.with_key(listing(spark, d)))
 
 
+def _scored(spark, d) -> DataFrame:
+    """The listing with some events already scored, some of those by an editor."""
+    k = F.col("k")
+    return listing(spark, d).withColumns({"importance": F.when(k % 7 == 0, "major"), "importance_override": k % 14 == 0})
+
+
 @_query("scoring_batches", f"WITH {LISTING_SQL} SELECT id, {_day('date')} AS date, CAST((row_number() OVER (PARTITION BY date ORDER BY id) - 1) // 10 + 1 AS BIGINT) AS batch FROM L WHERE visibility = 'public' AND (k % 7 <> 0 OR k % 14 <> 0)")
 def scoring_batches(spark, d):
-    k = F.col("k")
-    rows = listing(spark, d).withColumns({"importance": F.when(k % 7 == 0, "major"), "importance_override": k % 14 == 0})
-    return upsert.scoring_batches(rows).select("id", text.iso(F.col("date")).alias("date"), "batch")
+    return upsert.scoring_batches(_scored(spark, d)).select("id", text.iso(F.col("date")).alias("date"), "batch")
+
+
+_TOLD_SQL = "WHEN target AND category = 'festival' THEN {} WHEN target AND category IS DISTINCT FROM 'civic' THEN {}"
+
+
+@_query(
+    "importance",
+    f"WITH {LISTING_SQL}, t AS (SELECT *, visibility = 'public' AND (k % 7 <> 0 OR k % 14 <> 0) AS target FROM L) SELECT id, CASE {_TOLD_SQL.format("'major'", "'minor'")} WHEN k % 7 = 0 THEN 'major' END AS importance, "
+    f"CASE {_TOLD_SQL.format('CAST(0.9 AS DOUBLE)', 'CAST(0.2 AS DOUBLE)')} END AS importance_score, CASE {_TOLD_SQL.format("'draws visitors'", "'local'")} END AS importance_reason FROM t",
+)
+def importance(spark, d):
+    """A classifier of recorded replies: plain, fenced, and one that isn't JSON."""
+    category = F.col("category")
+    reply = F.when(category == "festival", '{"importance": "major", "score": 0.9, "reason": "draws visitors"}').when(category == "civic", "I can't say.").otherwise('```json\n{"importance": "minor", "score": 0.2, "reason": "local"}\n```')
+    return upsert.score_importance(_scored(spark, d), lambda rows: rows.select("id", reply.alias("reply"))).select("id", "importance", "importance_score", "importance_reason")

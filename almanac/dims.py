@@ -17,7 +17,8 @@ TOWNS = [
     ("Camp Connell", 5000, "Deep in the pines", "15 min up the hill", 38.2340, -120.2750, 6, 4),
     ("Bear Valley", 7000, "Alpine resort at the summit", "30 min to the top", 38.2810, -120.0420, 7, 5),
 ]
-FILTER_TOWNS = [t[0] for t in sorted(TOWNS, key=lambda t: t[7])]
+# The towns in the order of the filter's list.
+FILTER_TOWNS = ["Angels Camp", "Murphys", "Arnold", "Avery", "Camp Connell", "Bear Valley", "Dorrington", "White Pines"]
 # Towns that the county-wide source may list.
 CORRIDOR = ["angels camp", "murphys", "arnold", "avery", "camp connell", "dorrington", "white pines", "bear valley", "copperopolis", "san andreas", "valley springs", "west point", "mokelumne hill"]
 # Organisations, in the order of their seeds.

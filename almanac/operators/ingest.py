@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..dims import CORRIDOR
 from ..functions.text import js_trim, strip_fence, truthy
@@ -51,6 +53,29 @@ def recorded_extractor(replies: DataFrame, key: str = "page_id") -> Callable[[Da
     return lambda pages: pages.join(replies.select(key, "reply"), key, "left")
 
 
+def isolated(pages: DataFrame, fetch: Callable[[str | None, str | None], str | None]) -> DataFrame:
+    """pages (source_slug, markdown, any columns) with reply, or error where fetch(source_slug, markdown) raised: no source's failure stops another's pages."""
+
+    def run(batches):
+        for batch in batches:
+            replies, errors = [], []
+            for slug, text in zip(batch.column("source_slug").to_pylist(), batch.column("markdown").to_pylist()):
+                try:
+                    reply, error = fetch(slug, text), None
+                except Exception as e:  # whatever a source does, its row says so
+                    reply, error = None, f"{type(e).__name__}: {e}"
+                replies.append(reply)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "reply", "error"])
+
+    return pages.mapInArrow(run, StructType([*pages.schema.fields, StructField("reply", StringType()), StructField("error", StringType())]))
+
+
+def source_outcomes(fetched: DataFrame) -> DataFrame:
+    """Per source of isolated(): pages, failed ones, and one of the errors."""
+    return fetched.groupBy("source_slug").agg(F.count(F.lit(1)).alias("pages"), F.count("error").alias("failed"), F.min("error").alias("error"))
+
+
 def on_corridor(town: Column, names: list[str] = CORRIDOR) -> Column:
     """Whether the town contains a corridor name or is contained in one; an empty town is, a null one isn't."""
     low = F.lower(js_trim(town))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import dedup_key, iso
+from ..functions.text import dedup_key, iso, strip_fence
 
 #: Columns that a later row with the same key may change.
 MUTABLE = ["description", "start_time", "end_time", "price", "event_url"]
@@ -90,8 +91,30 @@ def reconcile_visibility(events: DataFrame) -> DataFrame:
     return events.groupBy("dedup_key").agg(F.when(F.max((F.col("visibility") == "public").cast("int")) == 1, "public").otherwise("private").alias("visibility"))
 
 
+def needs_importance() -> Column:
+    """Whether an event is to be scored: a public one without an importance, or with one that no editor set."""
+    return F.coalesce(F.col("visibility") == "public", F.lit(False)) & (F.col("importance").isNull() | ~F.coalesce("importance_override", F.lit(False)))
+
+
 def scoring_batches(events: DataFrame, size: int = 10) -> DataFrame:
     """Public events that need an importance, in batches of `size`: numbered within the day, so no global sort is needed."""
-    target = events.where((F.col("visibility") == "public") & (F.col("importance").isNull() | ~F.coalesce("importance_override", F.lit(False))))
+    target = events.where(needs_importance())
     nth = F.row_number().over(W.partitionBy("date").orderBy("id"))
     return target.withColumn("batch", (F.floor((nth - 1) / size) + 1).cast("long"))
+
+
+def score_importance(events: DataFrame, classifier: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """events with importance, importance_score and importance_reason by a classifier.
+
+    The classifier gets (id, name, venue_name, town, category, description) of the
+    events that need a score and returns (id, reply), at most one row an id, with
+    replies such as {"importance": "major", "score": 0.9, "reason": "..."}. Other
+    events, and those whose reply isn't of this form, keep what they have.
+    """
+    asked = classifier(events.where(needs_importance()).select("id", "name", "venue_name", "town", "category", "description"))
+    told = F.from_json(strip_fence(F.col("reply")), "importance string, score double, reason string")
+    told = asked.select("id", told.alias("_told")).where(F.col("_told.importance").isin("major", "minor") & F.col("_told.score").between(0, 1))
+    kept = {c: F.col(c) if c in events.columns else F.lit(None).cast(t) for c, t in (("importance_score", "double"), ("importance_reason", "string"))}
+    hit = F.col("_told").isNotNull()
+    value = lambda field, old: F.when(hit, F.col(f"_told.{field}")).otherwise(old)
+    return events.join(told, "id", "left").withColumns({"importance": value("importance", F.col("importance")), "importance_score": value("score", kept["importance_score"]), "importance_reason": value("reason", kept["importance_reason"])}).drop("_told")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..dims import SITE_NAME, SITE_URL
 from ..functions.present import iso_time
 from ..functions.text import iso, truthy
-from ..operators.serve import order_key, with_slug
+from ..operators.serve import with_slug
 
 SCHEMA = "https://schema.org"
 
@@ -87,22 +87,51 @@ def event_documents(events: DataFrame) -> DataFrame:
     return event_fields(events).select("id", "slug", F.to_json(body).alias("document"))
 
 
-def page_metadata(events: DataFrame) -> DataFrame:
-    """(id, title, description, canonical, url) of each event's page."""
+# Fixed values of page metadata.
+OG_TYPE, TWITTER_CARD, NOT_FOUND = "website", "summary", "Event Not Found"
+
+
+def _described(events: DataFrame) -> DataFrame:
     day = F.date_format("date", "MMMM d, yyyy")
     said = F.concat("name", F.lit(" at "), "venue_name", F.lit(" in "), "town", F.lit(", CA on "), day, F.lit("."))
-    return with_slug(events).select(
-        "id", F.concat("name", F.lit(" — "), day, F.lit(" in "), "town").alias("title"), F.coalesce(F.substring(truthy(F.col("description")), 1, 155), said).alias("description"),
-        F.concat(F.lit("/events/"), "slug").alias("canonical"), event_url(F.col("slug")).alias("url"),
-    )
+    return with_slug(events).select("id", "slug", "date", "start_time", F.concat("name", F.lit(" — "), day, F.lit(" in "), "town").alias("title"), F.coalesce(F.substring(truthy(F.col("description")), 1, 155), said).alias("description"))
+
 
+def _cards(title: Column, description: Column, slug: Column) -> list[Column]:
+    """Canonical path, and the same title and description as link previews take them."""
+    return [
+        F.concat(F.lit("/events/"), slug).alias("canonical"), event_url(slug).alias("url"), title.alias("og_title"), description.alias("og_description"), F.lit(OG_TYPE).alias("og_type"),
+        F.lit(TWITTER_CARD).alias("twitter_card"), title.alias("twitter_title"), description.alias("twitter_description"),
+    ]
 
-def sitemap(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """(section, url, change_frequency, priority): the fixed pages, then a row for each event, equal slugs too."""
+
+def page_metadata(events: DataFrame) -> DataFrame:
+    """(id, title, description, canonical, url, og_*, twitter_*) of each event's page."""
+    return _described(events).select("id", "title", "description", *_cards(F.col("title"), F.col("description"), F.col("slug")))
+
+
+def requested_metadata(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """(slug, title, description) of each request (slug): of the first event with that slug, else the not-found title alone."""
+    first = F.struct(F.col("date"), F.coalesce("start_time", F.lit("~")), F.col("id"))
+    pages = _described(events).groupBy("slug").agg(F.min_by(F.struct("title", "description"), first).alias("page"))
+    return requests.join(pages, "slug", "left").select("slug", F.coalesce("page.title", F.lit(NOT_FOUND)).alias("title"), F.col("page.description").alias("description"))
+
+
+def sitemap(spark: SparkSession, events: DataFrame, now: Column | None = None) -> DataFrame:
+    """(section, url, change_frequency, priority, last_modified): the fixed pages, then a row for each event, equal slugs too; all are as of now."""
     # Fixed values.
     fixed = spark.createDataFrame([(0, SITE_URL, "daily", 1.0), (1, f"{SITE_URL}/about", "monthly", 0.7), (2, f"{SITE_URL}/faq", "monthly", 0.6)], "section int, url string, change_frequency string, priority double")
     rows = with_slug(events.select("id", "name", "date", "town")).select(F.lit(3).alias("section"), event_url(F.col("slug")).alias("url"), F.lit("weekly").alias("change_frequency"), F.lit(0.8).alias("priority"))
-    return fixed.unionByName(rows)
+    return fixed.unionByName(rows).withColumn("last_modified", F.current_timestamp() if now is None else now)
+
+
+def site_documents(sites: DataFrame) -> DataFrame:
+    """(name, kind, document): a WebSite and an Organization document of each site (name, url, description, area)."""
+    about = [F.col("name"), F.col("url"), F.col("description")]
+    head = lambda kind: [F.lit(SCHEMA).alias("@context"), F.lit(kind).alias("@type"), *about]
+    area = F.when(F.col("area").isNotNull(), _typed("Place", name=F.col("area")))
+    kinds = F.create_map(F.lit("WebSite"), F.to_json(F.struct(*head("WebSite"))), F.lit("Organization"), F.to_json(F.struct(*head("Organization"), area.alias("areaServed"))))
+    return sites.select("name", F.explode(kinds).alias("kind", "document"))
 
 
 def faq_document(questions: DataFrame) -> DataFrame:
@@ -123,5 +152,3 @@ def up_next(groups: DataFrame) -> DataFrame:
     """The first event of the first date group."""
     return groups.where(F.col("group_index") == 1).select("date", "first_id")
 
-
-__all__ = [x for x in dir() if not x.startswith("_") and x not in ("annotations", "order_key")]
