@@ -2,7 +2,8 @@
 
 Base statistics of each document make a vector of transformed values. For each
 language and source, the minimum-covariance-determinant estimate of centre and
-scatter is found by concentration steps over all its documents, and documents
+scatter is found by concentration steps over all its documents from two starts;
+the one of smaller determinant goes on until the determinants settle. Documents
 too far from the centre by Mahalanobis distance are rejected. Every step is a
 grouped aggregate over the slim table of vectors; only sums are exchanged, so
 one group may hold any share of the rows.
@@ -20,8 +21,10 @@ from .common import read_table, shipped, stage, text_of, text_slices
 
 #: Windows of words that count as repeated when they occur twice in a text.
 WINDOW = 8
-#: Share of rows a concentration step keeps, number of steps, rows of a group at least, groups that may be broadcast.
-KEEP, STEPS, LEAST, BROADCAST_GROUPS = 0.75, 4, 100, 20_000
+#: Share of rows a concentration step keeps, rows of a group at least, groups that may be broadcast.
+KEEP, LEAST, BROADCAST_GROUPS = 0.75, 100, 20_000
+#: Steps of every start, steps of the better one at most, change of all log-determinants at which it stops.
+STEPS, MOST_STEPS, SETTLED = 4, 20, 1e-3
 #: Chi-square quantiles of 5 degrees of freedom: 0.75, for consistency, and 1 - 1e-9, for the verdict.
 CHI_KEEP, CHI_CUT = 6.6257, 52.4
 #: Least standard deviation of each transformed value.
@@ -112,45 +115,54 @@ def statistics(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"base_failed": failed} | dict(zip(VECTOR, values)))
 
 
-def _moments(keep: Column) -> list[Column]:
-    out = [F.sum(keep.cast("double")).alias("m")]
+def _moments(keep: Column, start: int) -> list[Column]:
+    out = [F.sum(keep.cast("double")).alias(f"m_{start}")]
     for i, a in enumerate(VECTOR):
-        out.append(F.sum(F.when(keep, F.col(a))).alias(f"s_{i}"))
-        out += [F.sum(F.when(keep, F.col(a) * F.col(b))).alias(f"q_{i}_{j}") for j, b in enumerate(VECTOR[: i + 1])]
+        out.append(F.sum(F.when(keep, F.col(a))).alias(f"s_{start}_{i}"))
+        out += [F.sum(F.when(keep, F.col(a) * F.col(b))).alias(f"q_{start}_{i}_{j}") for j, b in enumerate(VECTOR[: i + 1])]
     return out
 
 
-def _shape(scale: float):
-    """Sums of a group to its centre and inverse scatter; scale makes the scatter of the kept rows that of all."""
+def _shape_columns(start: int) -> list[str]:
+    """Columns of a start's shape: centre, inverse scatter, logarithm of the scatter's determinant."""
+    p = range(len(VECTOR))
+    return [*(f"c_{start}_{i}" for i in p), *(f"p_{start}_{i}_{j}" for i in p for j in range(i + 1)), f"det_{start}"]
+
+
+def _shape(*starts: int):
+    """Sums of a group to the shape of each start."""
     p = len(VECTOR)
-    names = [*(f"c_{i}" for i in range(p)), *(f"p_{i}_{j}" for i in range(p) for j in range(i + 1))]
+    names = [n for s in starts for n in _shape_columns(s)]
 
     def run(frames):
         for f in frames:
             rows = []
             for r in f.to_dict("records"):
-                m = max(r["m"] or 0.0, 1.0)
-                c = np.array([r[f"s_{i}"] or 0.0 for i in range(p)]) / m
-                q = np.zeros((p, p))
-                for i in range(p):
-                    for j in range(i + 1):
-                        q[i, j] = q[j, i] = (r[f"q_{i}_{j}"] or 0.0) / m - c[i] * c[j]
-                q = np.nan_to_num(q) * scale
-                q += np.diag(np.maximum(0.0, np.square(FLOOR) - np.diag(q)))
-                inv = np.linalg.inv(q)
-                rows.append([r["_group"], *c, *(inv[i, j] for i in range(p) for j in range(i + 1))])
+                row = [r["_group"]]
+                for s in starts:
+                    m = max(r[f"m_{s}"] or 0.0, 1.0)
+                    c = np.array([r[f"s_{s}_{i}"] or 0.0 for i in range(p)]) / m
+                    q = np.zeros((p, p))
+                    for i in range(p):
+                        for j in range(i + 1):
+                            q[i, j] = q[j, i] = (r[f"q_{s}_{i}_{j}"] or 0.0) / m - c[i] * c[j]
+                    q = np.nan_to_num(q)
+                    q += np.diag(np.maximum(0.0, np.square(FLOOR) - np.diag(q)))
+                    inv = np.linalg.inv(q)
+                    row += [*c, *(inv[i, j] for i in range(p) for j in range(i + 1)), np.linalg.slogdet(q)[1]]
+                rows.append(row)
             yield pd.DataFrame(rows, columns=["_group", *names])
 
-    return run, "_group string, " + ", ".join(f"{n} double" for n in names), names
+    return run, "_group string, " + ", ".join(f"{n} double" for n in names)
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by the columns of a shape."""
-    d = [F.col(a) - F.col(f"c_{i}") for i, a in enumerate(VECTOR)]
+def _distance(start: int) -> Column:
+    """Squared Mahalanobis distance by a start's shape."""
+    d = [F.col(a) - F.col(f"c_{start}_{i}") for i, a in enumerate(VECTOR)]
     total = F.lit(0.0)
     for i in range(len(d)):
         for j in range(i + 1):
-            total = total + d[i] * d[j] * F.col(f"p_{i}_{j}") * (1 if i == j else 2)
+            total = total + d[i] * d[j] * F.col(f"p_{start}_{i}_{j}") * (1 if i == j else 2)
     return total
 
 
@@ -163,6 +175,43 @@ def _with(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*VECTOR), F.lit(salts)).cast("int")).join(groups, ["_group", "_salt"]).drop("_salt")
 
 
+def _concentrate(rows: DataFrame, shape: DataFrame, n_groups: int, *starts: int) -> DataFrame:
+    """Each start's shape from the share KEEP of a group's rows that is nearest by its last shape; all starts in one pass."""
+    far = _with(rows, shape, n_groups).select("_group", *VECTOR, *(_distance(s).alias(f"_d_{s}") for s in starts))
+    cut = stage(far.groupBy("_group").agg(*(F.percentile_approx(f"_d_{s}", KEEP, 2000).alias(f"_cut_{s}") for s in starts)), "cuts")
+    sums = _with(far, cut, n_groups).groupBy("_group").agg(*(m for s in starts for m in _moments(F.col(f"_d_{s}") <= F.col(f"_cut_{s}"), s)))
+    run, schema = _shape(*starts)
+    return stage(shipped(sums).mapInPandas(run, schema), "shape")
+
+
+def estimate(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The minimum-covariance-determinant shape (columns of start 0) of each _group of rows (_group, the vector), and the number of groups.
+
+    One start has medians and spreads by quartiles without covariances, the other
+    the mean and covariance of all rows. After STEPS steps a group goes on with
+    the start of smaller determinant, until no determinant changes any more.
+    """
+    p = len(VECTOR)
+    q = stage(rows.groupBy("_group").agg(*(F.percentile_approx(a, [0.25, 0.5, 0.75], 2000).alias(f"quartiles_{i}") for i, a in enumerate(VECTOR)), *_moments(F.lit(True), 1)), "starts")
+    centre = [F.col(f"quartiles_{i}")[1].alias(f"c_0_{i}") for i in range(p)]
+    spread = lambda i: F.greatest(F.lit(FLOOR[i]), (F.col(f"quartiles_{i}")[2] - F.col(f"quartiles_{i}")[0]) / 1.349)
+    inverse = [(F.pow(spread(i), -2) if i == j else F.lit(0.0)).alias(f"p_0_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    run, schema = _shape(1)
+    sums = q.drop(*(f"quartiles_{i}" for i in range(p)))
+    shape = stage(q.select("_group", *centre, *inverse).join(shipped(sums).mapInPandas(run, schema), "_group"), "shape")
+    n_groups = shape.count()
+    for _ in range(STEPS):
+        shape = _concentrate(rows, shape, n_groups, 0, 1)
+    second = F.col("det_1") < F.col("det_0")
+    shape = stage(shape.select("_group", *(F.when(second, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(_shape_columns(0), _shape_columns(1)))), "shape")
+    for _ in range(MOST_STEPS - STEPS):
+        last, shape = shape, _concentrate(rows, shape, n_groups, 0)
+        change = shape.join(last.select("_group", F.col("det_0").alias("_last")), "_group").agg(F.max(F.abs(F.col("det_0") - F.col("_last")))).first()[0]
+        if (change or 0.0) <= SETTLED:
+            break
+    return shape, n_groups
+
+
 def judge(stats: DataFrame) -> DataFrame:
     """statistics() with distance, group_key and kept: false where the base rules fail or the distance is too large.
 
@@ -184,23 +233,10 @@ def judge(stats: DataFrame) -> DataFrame:
     rows = stage(rows.drop("_lang", "_both"), "vectors")
     good = rows.where(~F.col("base_failed"))
 
-    # Start: medians and median-based spreads, without covariances.
-    q = good.groupBy("_group").agg(*(F.percentile_approx(a, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, a in enumerate(VECTOR)))
-    p = len(VECTOR)
-    centre = [F.col(f"q_{i}")[1].alias(f"c_{i}") for i in range(p)]
-    spread = lambda i: F.greatest(F.lit(FLOOR[i]), (F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349)
-    inverse = [(F.pow(spread(i), -2) if i == j else F.lit(0.0)).alias(f"p_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    shape = stage(q.select("_group", *centre, *inverse), "shape")
-    n_groups = shape.count()
-    for step in range(STEPS):
-        # Keep the nearest share of each group's rows and estimate again from them.
-        far = _with(good, shape, n_groups).select("_group", *VECTOR, _distance().alias("_d"))
-        cut = stage(far.groupBy("_group").agg(F.percentile_approx("_d", KEEP, 2000).alias("_cut")), "cuts")
-        sums = _with(far, cut, n_groups).groupBy("_group").agg(*_moments(F.col("_d") <= F.col("_cut")))
-        # The kept rows' scatter is too small by a factor that a normal sample's distances give.
-        run, schema, names = _shape(1.0)
-        shape = stage(shipped(sums).mapInPandas(run, schema), "shape")
-    far = _with(good, shape, n_groups).select("_group", _distance().alias("_d"))
+    shape, n_groups = estimate(good)
+    # The kept rows' scatter is too small by a factor that a normal sample's distances give. It only ever widens the cut:
+    # where the least deviations FLOOR decide, distances are below a normal sample's, and clean rows must not suffer for it.
+    far = _with(good, shape, n_groups).select("_group", _distance(0).alias("_d"))
     factor = far.groupBy("_group").agg((F.greatest(F.percentile_approx("_d", KEEP, 2000), F.lit(1e-9)) / CHI_KEEP).alias("_factor"))
     final = stage(shape.join(factor, "_group"), "shape")
     # Outer join: a group without rows that pass has no shape.
@@ -208,7 +244,7 @@ def judge(stats: DataFrame) -> DataFrame:
         judged = rows.join(F.broadcast(final), "_group", "left")
     else:
         judged = _with(good, final, n_groups).unionByName(rows.where("base_failed"), allowMissingColumns=True)
-    distance = _distance() / F.greatest(F.col("_factor"), F.lit(1.0))
+    distance = _distance(0) / F.greatest(F.col("_factor"), F.lit(1.0))
     return judged.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CHI_CUT)).withColumnRenamed("_group", "group_key")
 
 
