@@ -10,12 +10,6 @@ from pyspark.sql import Window as W
 
 from ..functions.text import iso, series_key, slug
 
-#: Columns of the listing scan.
-LISTING_COLUMNS = [
-    "id", "name", "description", "date", "start_time", "end_time", "venue_name", "town", "address", "category", "artists", "status", "price",
-    "visibility", "org_slug", "editor_pick", "last_scraped_at",
-]
-
 
 def upcoming(events: DataFrame, as_of: dt.date) -> DataFrame:
     """Events from as_of on that are neither past nor cancelled; null flags and states drop out, as in SQL."""
@@ -75,17 +69,22 @@ def collapse(events: DataFrame) -> DataFrame:
     """Events of one series become one row: the first one's, with end_date, day_count and all artists in order of appearance.
 
     A series of one row stays as it is, suffix and all. The order is a struct, so
-    no global sort is needed. Rows and artists are combined in each task before
-    the shuffles, so a series may hold any share of the table: only its distinct
+    no global sort is needed. The events are read once: they are combined by
+    series and artist, in each task and then by a shuffle, and those rows by
+    series. So a series may hold any share of the table: only its distinct
     artists meet in one row.
     """
     names = events.columns
     key = order_key()
-    rows = events.withColumn("_series", series_key(F.col("name")))
-    groups = rows.groupBy("_series").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*names), key).alias("rep"), F.max_by("date", key).alias("last"))
-    seen = rows.select("_series", key.alias("k"), F.posexplode("artists").alias("i", "artist")).groupBy("_series", "artist").agg(F.min(F.struct("k", "i")).alias("first"))
-    seen = seen.groupBy("_series").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "artist"))), lambda x: x["artist"]).alias("_artists"))
-    groups = groups.join(seen.withColumnRenamed("_series", "_of"), F.col("_series").eqNullSafe(F.col("_of")), "left")
+    rows = events.withColumn("_series", series_key(F.col("name"))).select("*", F.posexplode_outer("artists").alias("_i", "_artist"))
+    once = F.coalesce(F.col("_i") == 0, F.lit(True))  # an event counts with its first artist
+    place = F.when(F.col("_i").isNotNull(), F.struct(key.alias("k"), F.col("_i").alias("i")))
+    parts = rows.groupBy("_series", "_artist").agg(
+        F.sum(once.cast("long")).alias("n"), F.min_by(F.when(once, F.struct(*names)), F.when(once, key)).alias("rep"), F.min(F.when(once, key)).alias("k"),
+        F.max("date").alias("last"), F.min(place).alias("first"),
+    )
+    seen = F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", F.col("_artist").alias("artist"))))
+    groups = parts.groupBy("_series").agg(F.sum("n").alias("n"), F.min_by("rep", "k").alias("rep"), F.max("last").alias("last"), F.transform(F.array_sort(seen), lambda x: x["artist"]).alias("_artists"))
     artists = F.coalesce("_artists", F.array().cast("array<string>"))
     many = F.col("n") > 1
     changed = {"name": F.when(many, F.col("_series")).otherwise(F.col("rep.name")), "artists": F.when(many & (F.size(artists) > 0), artists).otherwise(F.col("rep.artists"))}
