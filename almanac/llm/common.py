@@ -50,6 +50,18 @@ def shipped(df: DataFrame) -> DataFrame:
     return df
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def shipped_file(spark: SparkSession, path: str) -> str:
+    """The name by which workers find a driver's file with SparkFiles.get(), after it has been sent to the executors."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _SENT:
+        sc.addFile(path)
+        _SENT.add((sc.applicationId, path))
+    return os.path.basename(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

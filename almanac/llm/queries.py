@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bagminhash import op7_near_dedup
+from .bpe_stream import op11_bpe_stream
 from .chat import OP8_SQL, op8_chat_format
 from .chunk_dedup import op10_substring_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_secrets": op9_secrets,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_bpe_stream": op11_bpe_stream,
 }
 
 SQL: dict[str, str] = {
