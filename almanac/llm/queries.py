@@ -6,6 +6,7 @@ from .bagminhash import op7_near_dedup
 from .bpe_stream import op11_bpe_stream
 from .chat import OP8_SQL, op8_chat_format
 from .chunk_dedup import op10_substring_dedup
+from .divergence import OP12_SQL, op12_source_divergence
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .outliers import op6_quality_rules
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_bpe_stream": op11_bpe_stream,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op8_chat_format": OP8_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
