@@ -8,6 +8,7 @@ from .chat import OP8_SQL, op8_chat_format
 from .chunk_dedup import op10_substring_dedup
 from .divergence import OP12_SQL, op12_source_divergence
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .exponion import OP13_SQL, op13_centroid_clusters
 from .mixing import OP3_SQL, op3_mixing
 from .outliers import op6_quality_rules
 from .packing import op2_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_bpe_stream": op11_bpe_stream,
     "op12_source_divergence": op12_source_divergence,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op8_chat_format": OP8_SQL,
     "op12_source_divergence": OP12_SQL,
+    "op13_centroid_clusters": OP13_SQL,
 }
