@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import dims
 from .functions import present, text
 from .operators import ingest, serve, upsert
+from .operators.keyed import shared_folder
 from .plans import briefing, documents, freshness as fresh
 from .sources.listing import VENUES, listing
 from .sources.pages import html_text, pages
@@ -318,6 +319,45 @@ def upsert_idempotent(spark, d):
     return upsert.counters(upsert.outcomes(upsert.merge(store.select(*_STORE), again, _ORDER, F.col("last_scraped_at")), again, _ORDER))
 
 
+_STORE_BUCKETS = 16
+_BUCKET_SQL = f"CAST(('0x' || substr(md5({{}}), 1, 7)) AS INTEGER) % {_STORE_BUCKETS}"
+
+
+def _stored(spark, d):
+    """An event store of the even events' keys after the three sources' batches, each a version of its own; and what each wrote."""
+    store, batch = _batches(spark, d)
+    # Scraped batches lie in files.
+    path = shared_folder(spark, "batches")
+    batch.select("source_ord", "row_ord", *_STORE).write.parquet(path)
+    batch = spark.read.parquet(path)
+    held = upsert.EventStore(spark, shared_folder(spark, "store"), store.select(*_STORE).schema, _STORE_BUCKETS)
+    held.events.put(store.select(*_STORE), 0)
+    held.seen.put(store.select("dedup_key", "last_scraped_at"), 0)
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    wrote = [held.apply(batch.where(F.col("source_ord") == k), _ORDER, now, k) for k in (1, 2, 3)]
+    return held, now, wrote
+
+
+@_query("store_state", SQL["upsert_final_state"])
+def store_state(spark, d):
+    held, now, _ = _stored(spark, d)
+    return held.read().select("id", "name", "dedup_key", *_M, (F.col("last_scraped_at") == now).alias("touched"))
+
+
+@_query(
+    "store_rewrites",
+    f"""WITH {KEYED_SQL}, z AS (SELECT source_ord, dedup_key, {", ".join(f"arg_max(CASE WHEN {c} IS NULL THEN {{'v': NULL::VARCHAR}} ELSE {{'v': {c}}} END, row_ord).v AS {c}" for c in _M)} FROM B GROUP BY ALL),
+  y AS (SELECT 0 AS source_ord, dedup_key, {", ".join(_M)} FROM S UNION ALL SELECT source_ord, dedup_key, {", ".join(_M)} FROM z),
+  p AS (SELECT *, row_number() OVER w AS nth, {", ".join(f"lag({c}) OVER w AS p_{c}" for c in _M)} FROM y WINDOW w AS (PARTITION BY dedup_key ORDER BY source_ord)),
+  t AS (SELECT *, {_BUCKET_SQL.format("dedup_key")} AS b, nth = 1 OR NOT ({" AND ".join(f"{c} IS NOT DISTINCT FROM p_{c}" for c in _M)}) AS differs FROM p WHERE source_ord > 0)
+SELECT source_ord, count(DISTINCT b) FILTER (differs) AS event_buckets, count(DISTINCT b) AS time_buckets FROM t GROUP BY source_ord""",
+)
+def store_rewrites(spark, d):
+    """How many of the store's buckets each batch rewrites."""
+    _, _, wrote = _stored(spark, d)
+    return spark.createDataFrame([(k, len(e), len(t)) for k, (e, t) in enumerate(wrote, 1)], "source_ord int, event_buckets long, time_buckets long")
+
+
 _ORG_SQL = ", ".join("(" + str(k) + ", '" + s + "', '" + n.replace("'", "''") + "')" for k, (s, n) in enumerate(dims.ORGS))
 
 

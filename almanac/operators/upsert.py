@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from ..functions.text import dedup_key, iso, strip_fence
+from .keyed import BUCKETS, KeyedTable
 
 #: Columns that a later row with the same key may change.
 MUTABLE = ["description", "start_time", "end_time", "price", "event_url"]
@@ -44,12 +46,17 @@ def counters(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(count("insert").alias("inserted"), count("update").alias("updated"), count("unchanged").alias("unchanged"))
 
 
+def _ends(batch: DataFrame, fixed: list[str], order: list[str]) -> DataFrame:
+    """(dedup_key, f, m): of each key the first row's fixed values and the last row's mutable ones."""
+    key = F.struct(*order)
+    return batch.groupBy("dedup_key").agg(F.min_by(F.struct(*fixed), key).alias("f"), F.max_by(F.struct(*MUTABLE), key).alias("m"))
+
+
 def merge(store: DataFrame, batch: DataFrame, order: list[str], now: Column) -> DataFrame:
     """The store after the batch: new keys get the first row's fixed and the last row's mutable values, known keys the last row's mutable ones."""
     names = store.columns
-    key = F.struct(*order)
     fixed = [c for c in names if c not in (*MUTABLE, "dedup_key", "last_scraped_at")]
-    ends = batch.groupBy("dedup_key").agg(F.min_by(F.struct(*fixed), key).alias("f"), F.max_by(F.struct(*MUTABLE), key).alias("m"))
+    ends = _ends(batch, fixed, order)
     hit, new = F.col("m").isNotNull(), F.col("_known").isNull()
     both = store.withColumn("_known", F.lit(True)).join(ends, "dedup_key", "full_outer")
     value = {c: F.when(new, F.col(f"f.{c}")).otherwise(F.col(c)) for c in fixed} | {c: F.when(hit, F.col(f"m.{c}")).otherwise(F.col(c)) for c in MUTABLE}
@@ -57,6 +64,55 @@ def merge(store: DataFrame, batch: DataFrame, order: list[str], now: Column) ->
     return both.select(*(value[c].alias(c) for c in names))
 
 
+class EventStore:
+    """The event table under path, kept by key in two keyed tables: the events, and when each key was last seen.
+
+    Most rows of a batch only say that an event was seen again. They rewrite
+    buckets of the narrow table of times; buckets of events are rewritten only
+    where an event is new or one of its mutable values changes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, buckets: int = BUCKETS):
+        own = StructType([f for f in schema.fields if f.name != "last_scraped_at"])
+        seen = StructType([f for f in schema.fields if f.name in ("dedup_key", "last_scraped_at")])
+        self.names = schema.names
+        self.events, self.seen = KeyedTable(spark, f"{path}/events", own, "dedup_key", buckets), KeyedTable(spark, f"{path}/seen", seen, "dedup_key", buckets)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The store as merge() leaves it, as of a version; the newest by default."""
+        both = self.events.read(version).join(self.seen.read(version).drop("bucket"), "dedup_key", "left")
+        return both.select(*self.names)
+
+    def changes(self, batch: DataFrame, order: list[str]) -> DataFrame:
+        """The event rows that are new or differ after the batch."""
+        fixed = [c for c in self.events.schema.names if c not in (*MUTABLE, "dedup_key")]
+        ends = _ends(batch, fixed, order)
+        held = self.events.read_touched(ends.select("dedup_key")).drop("bucket")
+        both = ends.join(held.withColumn("_known", F.lit(True)), "dedup_key", "left")
+        new, differs = F.col("_known").isNull(), F.lit(False)
+        for c in MUTABLE:
+            differs = differs | ~F.col(c).eqNullSafe(F.col(f"m.{c}"))
+        both = both.where(new | differs)
+        return both.select("dedup_key", *(F.when(new, F.col(f"f.{c}")).otherwise(F.col(c)).alias(c) for c in fixed), *(F.col(f"m.{c}").alias(c) for c in MUTABLE))
+
+    def apply(self, batch: DataFrame, order: list[str], now: Column, version: int | None = None) -> tuple[list[int], list[int]]:
+        """Merge the batch; the buckets written of events and of times. A version that is already there changes nothing.
+
+        Both tables get the same version, the times last, so a batch that failed
+        between them is completed when it is applied again.
+        """
+        version = self.seen.version() + 1 if version is None else version
+        written = self.events.put(self.changes(batch, order), version) if version > self.events.version() else []
+        if version <= self.seen.version():
+            return written, []
+        times = batch.groupBy("dedup_key").agg(F.max(now).alias("last_scraped_at"))
+        return written, self.seen.put(times, version)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete what the newest `keep` versions don't read; how many folders."""
+        return len(self.events.vacuum(keep)) + len(self.seen.vacuum(keep))
+
+
 def insert_missing(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """table with the rows whose key it lacks."""
     return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import merge
+from ..operators.keyed import BUCKETS
+from ..operators.upsert import EventStore
 
 
-def start(events: DataFrame, store_path: str, checkpoint: str, order: list[str], now: Column) -> StreamingQuery:
+def start(events: DataFrame, store_path: str, checkpoint: str, order: list[str], now: Column, buckets: int = BUCKETS) -> StreamingQuery:
     """Merge each micro-batch of the streaming events into the store under store_path.
 
-    Versions of the store are folders named by batch, so a batch that runs again
-    after a failure reads the same version and writes the same one.
+    A micro-batch's number is the store's version, so a batch that runs again
+    after a failure is completed or, if it had been written, changes nothing.
+    Only the buckets that a batch touches are read and written.
     """
+    schema = events.schema
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        store = latest(spark, store_path, number)
-        store = batch.limit(0) if store is None else store
-        merge(store, batch.select(*store.columns), order, now).write.mode("overwrite").parquet(f"{store_path}/v{number}")
+        EventStore(batch.sparkSession, store_path, schema, buckets).apply(batch, order, now, number)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark, store_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the store, or the newest before a batch."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(store_path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and (before is None or int(n[1:]) < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store_path}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{store_path}/v{max(done)}") if done else None
+def latest(spark: SparkSession, store_path: str, schema) -> DataFrame:
+    """The newest version of the store; no rows where there is none."""
+    return EventStore(spark, store_path, schema).read()
