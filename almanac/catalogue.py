@@ -224,6 +224,23 @@ def slug_lookup(spark, d):
     return serve.first_by_slug(serve.upcoming(listing(spark, d), AS_OF)).select("slug", "id", text.iso(F.col("date")).alias("date"), "n_events")
 
 
+_REQUEST_SQL = "a AS (SELECT doc_id, slug FROM documents LEFT JOIN (SELECT event_id, {} AS slug FROM L) ON event_id = doc_id)"
+
+
+@_query(
+    "slug_index_lookup",
+    f"WITH {UP_SQL}, {_REQUEST_SQL.format(_slug_sql())}, s AS (SELECT *, {_slug_sql()} AS slug FROM U), f AS (SELECT slug, arg_min(id, (date, id)) AS id, {_day('min(date)')} AS date, count(*) AS n_events FROM s GROUP BY slug) "
+    "SELECT doc_id, a.slug, id, date, n_events FROM a LEFT JOIN f ON a.slug = f.slug",
+)
+def slug_index_lookup(spark, d):
+    """Pages that readers ask for by slug: request n is for event n of the listing, past events' pages (not found) too."""
+    rows = listing(spark, d)
+    asked = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    asked = asked.join(serve.with_slug(rows).select(F.col("event_id").alias("doc_id"), "slug"), "doc_id", "left")
+    index = serve.index_by_slug(serve.upcoming(rows, AS_OF), shared_folder(spark, "slugs"), 16)
+    return index.lookup(asked).select("doc_id", "slug", "id", text.iso(F.col("date")).alias("date"), "n_events")
+
+
 @_query("slug_collisions", f"WITH {UP_SQL}, s AS (SELECT *, {_slug_sql()} AS slug FROM U) SELECT slug, arg_min(id, (date, id)) AS id, count(*) AS n_events FROM s GROUP BY slug HAVING count(*) > 1")
 def slug_collisions(spark, d):
     return serve.first_by_slug(serve.upcoming(listing(spark, d), AS_OF)).where("n_events > 1").select("slug", "id", "n_events")

@@ -9,6 +9,9 @@ folders and then, in one small file, the heads that point to them. Readers see
 a change whole or not at all, a change that failed half-way can be made again,
 and one that is made again after it succeeded does nothing. vacuum() deletes
 what no recent head points to.
+
+Within a bucket, rows are sorted by key and written with a Bloom filter of each
+row group's keys, so a lookup reads the row groups that may hold its keys.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Keys of a batch lookup that are broadcast; more meet the table in a join by shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Buckets of a new table; one should hold what a task reads well (some 100 MB), and their number bounds the heads.
 BUCKETS = 64
 
@@ -92,6 +97,30 @@ class KeyedTable:
         """The buckets of rows; at most as many as the table has."""
         return sorted(r["bucket"] for r in self.bucketed(rows).select("bucket").distinct().collect())
 
+    def get(self, *values: str) -> DataFrame:
+        """The rows of a few keys: of their buckets' files, the row groups whose bounds and Bloom filters admit one."""
+        at = self._newest()[1]
+        asked = self.spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("string") for v in values))).alias(self.key)) if values else None
+        touched = set(self.touched(asked)) if values else set()
+        return self._read({b: v for b, v in at.items() if b in touched}).where(F.col(self.key).isin(*values)).drop("bucket")
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """keys (a column of the key's name, any others) with the table's columns, null where it has no such row.
+
+        Only the buckets that a key falls in are read. Up to BROADCAST_KEYS keys
+        are first broadcast to leave only wanted rows; with more, Spark can send a Bloom
+        filter of the keys ahead of the shuffle (spark.sql.optimizer.runtime.bloomFilter).
+        Repeated keys each get the row. Null keys find nothing.
+        """
+        keys = keys.select(*(F.col(c).alias(f"_asked_{c}") if c in self.schema.names and c != self.key else F.col(c) for c in keys.columns))
+        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        rows = self.read_touched(keys.where(F.col(self.key).isNotNull())).drop("bucket")
+        if few:
+            rows = rows.join(F.broadcast(keys.select(self.key).distinct()), self.key, "left_semi")
+        else:
+            rows = rows.join(keys.select(self.key).distinct(), self.key, "left_semi")
+        return keys.join(rows, self.key, "left")
+
     def read_touched(self, rows: DataFrame) -> DataFrame:
         """The buckets in which a key of rows falls."""
         at, touched = self._newest()[1], set(self.touched(rows))
@@ -113,8 +142,8 @@ class KeyedTable:
         same = held["bucket"].eqNullSafe(rows["bucket"]) & held[self.key].eqNullSafe(rows[self.key])
         if touched:
             merged = held.join(rows, same, "left_anti").unionByName(rows) if at else rows
-            full = merged.withColumn("version", F.lit(version)).repartition(len(touched), "bucket")
-            full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{self.path}/rows")
+            full = merged.withColumn("version", F.lit(version)).repartition(len(touched), "bucket").sortWithinPartitions("bucket", self.key)
+            full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{self.key}", "true").partitionBy("bucket", "version").parquet(f"{self.path}/rows")
         heads = [(b, v, self.buckets) for b, v in (at | dict.fromkeys(touched, version)).items()] or [(-1, version, self.buckets)]
         self.spark.createDataFrame(heads, "bucket int, at int, of int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/heads/version={version}")
         return touched

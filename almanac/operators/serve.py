@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import iso, series_key, slug
+from .keyed import BUCKETS, KeyedTable
 
 
 def upcoming(events: DataFrame, as_of: dt.date) -> DataFrame:
@@ -109,6 +110,17 @@ def first_by_slug(events: DataFrame) -> DataFrame:
     return own.select("slug", "n_events", "e.*")
 
 
+def index_by_slug(events: DataFrame, path: str, buckets: int = BUCKETS) -> KeyedTable:
+    """A table under path that leads from each slug to its event (first_by_slug), for lookups that don't scan the events.
+
+    Later events go in by put(): a change of a few events rewrites their slugs' buckets.
+    """
+    rows = first_by_slug(events).select("slug", "id", "date", "n_events")
+    table = KeyedTable(events.sparkSession, path, rows.schema, "slug", buckets)
+    table.put(rows)
+    return table
+
+
 def find_by_slug(events: DataFrame, wanted: str) -> DataFrame:
     """The event a slug leads to, or no row."""
     return with_slug(events).where(F.col("slug") == wanted).orderBy("date", "id").limit(1)
