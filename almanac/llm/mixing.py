@@ -12,12 +12,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import WORD, read_table, shipped, stage, text_of
 
 #: Weights of the sources in their order, repeating, and the most epochs of a source.
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
+#: Rows of sources' sums and targets that may be broadcast (a few numbers and a name each); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """df staged, and broadcast where it has few rows."""
+    df = stage(df, name)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def running_total(df: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
@@ -25,9 +34,11 @@ def running_total(df: DataFrame, group: str, order: list[Column], value: str, na
 
     Rows are dealt by ranges of group and order, so a large group spans many
     tasks; each task sums its own range, and the sums of the ranges (a row for
-    each range and group) are added up. group must not be null.
+    each range and group) are added up. Rows with equal group and order are
+    dealt out too, by a number of their own. group must not be null.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _part int, _within long"
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_within", T.LongType())])
 
     def run(batches):
         part, last, carry = TaskContext.get().partitionId(), None, 0
@@ -43,12 +54,13 @@ def running_total(df: DataFrame, group: str, order: list[Column], value: str, na
             begun = np.maximum.accumulate(np.where(new, np.arange(len(size)), -1))
             within = before - np.where(begun >= 0, start[begun], -carry)
             last, carry = groups[-1], int(within[-1] + size[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(size), pa.int32()), pa.array(within)], names=[*batch.schema.names, "_part", "_within"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array([part] * len(size), pa.int32()), pa.array(within)], names=[*names, "_part", "_within"])
 
-    local = stage(shipped(df).repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(run, schema), "ranges")
+    dealt = shipped(df).withColumn("_equal", F.monotonically_increasing_id()).repartitionByRange(group, *order, "_equal")
+    local = stage(dealt.sortWithinPartitions(group, *order).mapInArrow(run, schema), "ranges")
     sums = local.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(group, "_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    sums = _small(sums.select(group, "_part", F.coalesce(before, F.lit(0)).alias("_base")), "range-sums")
     return local.join(sums, [group, "_part"]).withColumn(name, F.col("_base") + F.col("_within")).drop("_part", "_within", "_base")
 
 
@@ -82,8 +94,8 @@ def mix(docs: DataFrame, *keep: str, weights: tuple[int, ...] = WEIGHTS, epochs:
     source, taken the words the mix takes with repeats; the document at the cut
     gives just the words that are left. copies is how often the whole document
     is taken. Sources are ordered by code point, the null source is the last one.
-    Ties of the hash key (repeated doc_ids) are ordered by doc_id and size. An
-    empty table gives no rows; where all sizes are 0, all targets are.
+    Ties of the hash key (repeated doc_ids) are ordered by doc_id, size and a hash
+    of the text; rows equal in all of these are taken in any order. An empty table gives no rows; where all sizes are 0, all targets are.
     """
     found = _mixed(docs, keep, weights, epochs, seed)
     return found.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target", "taken", "copies")
@@ -93,13 +105,14 @@ def _mixed(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...], epo
     """mix() with the columns to keep named _keep_0 and so on."""
     source = docs["source"].cast("string")
     rows = docs.select(
-        *(docs[c].alias(f"_keep_{i}") for i, c in enumerate(keep)),
+        *(docs[f"`{c}`"].alias(f"_keep_{i}") for i, c in enumerate(keep)),
         F.when(source.isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), source)).alias("_source"),
         F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")))).alias("_key"),
         docs["doc_id"].cast("long").alias("_id"),
+        F.xxhash64(text_of(docs)).alias("_text_hash"),
     )
-    rows = running_total(rows, "_source", [F.col("_key"), F.col("_id"), F.col("size")], "size", "_before")
+    rows = running_total(rows, "_source", [F.col("_key"), F.col("_id"), F.col("size"), F.col("_text_hash")], "size", "_before")
     targets = source_targets(rows.select("_source", "size"), weights, epochs)
     return _cut(rows, targets)
 
@@ -107,17 +120,32 @@ def _mixed(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...], epo
 def _cut(rows: DataFrame, targets: DataFrame) -> DataFrame:
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0).cast("long"))
-    own = rows.join(targets, "_source").withColumns({"_budget": budget, "_epochs": whole})
+    own = rows.join(_small(targets, "targets"), "_source").withColumns({"_budget": budget, "_epochs": whole})
     rest = F.col("_budget") - F.col("_epochs") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    return own.withColumns({"taken": F.col("size") * F.col("_epochs") + part, "copies": (F.col("_epochs") + (F.col("_before") + F.col("size") <= rest).cast("long")).cast("int")})
+    return own.withColumns({"_words": part, "taken": F.col("size") * F.col("_epochs") + part, "copies": (F.col("_epochs") + (F.col("_before") + F.col("size") <= rest).cast("long")).cast("int")})
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """Whole rows of docs, each as often as the mix takes it whole."""
+    """Rows of docs, each as often as the mix takes it; together they have just the words that mix() tells as taken.
+
+    The document at a source's cut comes once more with the words that are left:
+    its text ends after them, and n_chars, where it is a column of whole numbers,
+    is the length of that. Other columns and rows are as they are.
+    """
     names = tuple(docs.columns)
-    found = _mixed(docs, names, weights, epochs, seed).where("copies > 0")
-    return found.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(names)))
+    found = _mixed(docs, names, weights, epochs, seed)
+    cut = (F.col("_words") > 0) & (F.col("_words") < F.col("size"))
+    found = found.withColumn("_times", F.col("copies") + cut.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _times)")))
+    last = cut & (F.col("_copy") > F.col("copies"))
+    text = F.col(f"_keep_{names.index('text')}")
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each part but the last ends with a word
+    found = found.withColumn("_begin", F.when(last, F.array_join(F.slice(ends, F.lit(1), F.col("_words").cast("int")), "")))
+    value = {"text": F.when(last, F.col("_begin")).otherwise(text)}
+    if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)):
+        own = F.col(f"_keep_{names.index('n_chars')}")
+        value["n_chars"] = F.when(last & own.isNotNull(), F.length("_begin").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+    return found.select(*(value.get(c, F.col(f"_keep_{i}")).alias(c) for i, c in enumerate(names)))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,10 @@ shuffled of the model is the distinct n-grams of each block, and no table is
 held whole by any task or the driver.
 
 A document is rejected when its perplexity is above a quantile of what its
-language's trusted documents show when they are left out of the training.
+language's trusted documents show when they are left out of the training. Of
+trusted documents with the same words one counts, and a document's part of the
+trusted text is chosen by its rarest run of words, so that what is left out
+takes its near copies along.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .common import read_table, shipped, stage, text_of, text_slices
 
 #: Characters of an n-gram. A begin and an end of text are symbols beyond Unicode; a symbol takes WIDE bytes.
 ORDER, START, END, WIDE = 4, 0x110000, 0x110001, 3
-#: Text bytes of a block, unless the input's partitions are larger; text bytes held at once.
-BLOCK_BYTES, SLICE_BYTES = 64_000_000, 3_000_000
+#: Text bytes of a block, unless the input's partitions are larger; those of a block where there are fewer blocks than cores; text bytes held at once.
+BLOCK_BYTES, SMALL_BYTES, SLICE_BYTES = 64_000_000, 2_000_000, 3_000_000
 #: Trusted characters a language needs for a model of its own; the rest share one of all languages.
 LEAST_CHARS = 20_000
 #: Trusted ids (32 MB) and languages that may be broadcast; more are joined by a shuffle.
@@ -37,6 +40,8 @@ BROADCAST_IDS, BROADCAST_LANGUAGES = 4_000_000, 100_000
 Q, FOLDS = 0.98, 2
 #: Symbols at the language's mean rate that a document counts as having besides its own when it is held against the threshold: the rate of a short text says little.
 PRIOR = 100
+#: Words of the runs by which near copies are held together.
+RUN = 5
 POOL = "*"
 #: Counts of the model of all trusted text and of those that leave out one part.
 _COUNTS = ("n", *(f"n_{k}" for k in range(FOLDS)))
@@ -49,6 +54,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return found.where("q = 1 AND t = 0").select("doc_id")
 
 
+def trusted_parts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, fold) of the trusted documents that count: of those with the same words in any case, the one with the smallest id.
+
+    fold is by the smallest hash of a document's runs of RUN words, which near
+    copies mostly share. ids may be broadcast by the caller.
+    """
+    words = F.filter(F.split(F.lower(text_of(docs)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), words.alias("words")).join(ids, "doc_id", "left_semi")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - RUN + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("words", k, F.lit(RUN)), " ")))
+    own = own.select("doc_id", F.sha2(F.array_join("words", " "), 256).alias("same"), F.pmod(F.xxhash64(F.array_min(runs)), F.lit(FOLDS)).cast("int").alias("fold"))
+    return own.groupBy("same").agg(F.min(F.struct("doc_id", "fold")).alias("x")).select("x.doc_id", "x.fold").distinct()
+
+
 def grams(texts: list[str], order: int = ORDER):
     """Ranges of n-gram places of the texts: the text of each place, the range's distinct n-grams as bytes, and which of them stands at each place.
 
@@ -137,8 +155,10 @@ def _discounts(counts: DataFrame, few: bool) -> DataFrame:
     found = []
     for c in _COUNTS:
         n = lambda k: F.col(f"{c}_t{k}")  # noqa: B023, E731
-        y = F.coalesce(F.try_divide(n(1), n(1) + 2 * n(2)), F.lit(0.5))
-        found += [F.least(F.lit(float(k)), F.greatest(F.lit(0.1), F.coalesce(k - (k + 1) * y * F.try_divide(n(k + 1), n(k)), F.lit(0.5)))).alias(f"{c}_d{k}") for k in (1, 2, 3)]
+        y = F.try_divide(n(1), n(1) + 2 * n(2))
+        for k in (1, 2, 3):  # half the count where the numbers give no discount between none and all of it
+            d = k - (k + 1) * y * F.try_divide(n(k + 1), n(k))
+            found.append(F.when((d > 0) & (d < k), d).otherwise(k / 2).alias(f"{c}_d{k}"))
     t = t.select("model", *found, *(f"{c}_seen" for c in _COUNTS))
     return F.broadcast(t) if few else t
 
@@ -272,7 +292,8 @@ def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     """(row, lang, n_chars, perplexity, shrunk, threshold, kept) for each row of docs: see score(); row holds its columns `keep`, or all."""
     row = F.struct(*(docs[f"`{c}`"] for c in keep or docs.columns)).alias("row")
     texts = docs.select(row, docs["doc_id"].cast("long").alias("doc_id"), _lang(docs).alias("lang"), text_of(docs).alias("text"))
-    ids = stage(trusted_ids(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "trusted")
+    ids = stage(trusted_ids(labels), "labelled")
+    ids = stage(trusted_parts(docs, F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids), "trusted")
     texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
     languages = texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("fold") >= 0, F.length("text")).otherwise(0)).alias("trusted"))
     languages = stage(languages.withColumn("model", F.when(F.col("trusted") >= LEAST_CHARS, F.col("lang"))), "languages")
@@ -284,7 +305,7 @@ def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     few = own <= BROADCAST_LANGUAGES
     models = languages.where("model IS NOT NULL").select("lang", "model")
     texts = texts.join(F.broadcast(models) if few else models, "lang", "left").withColumn("model", F.coalesce("model", F.lit(POOL))).drop("doc_id")
-    texts = texts.withColumn("row", F.struct(F.col("row").alias("own"), "lang")).coalesce(max(1, -(-size // BLOCK_BYTES))).withColumn("block", F.spark_partition_id())
+    texts = texts.withColumn("row", F.struct(F.col("row").alias("own"), "lang")).coalesce(max(1, -(-size // BLOCK_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, size // SMALL_BYTES))).withColumn("block", F.spark_partition_id())
 
     found = stage(block_grams(texts, n > own), "block-grams")
     total = F.col("c_0") + sum((F.col(f"c_{k}") for k in range(1, FOLDS)), F.lit(0))
@@ -313,7 +334,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     of the text and PRIOR symbols at its language's mean, which must not be
     above the threshold of the document's model. A null or empty text has no perplexity and is
     rejected. Null languages and those with little trusted text use the model
-    of all languages. A model whose trusted documents are all in one part has
+    of all languages. Repeated trusted texts count once. A model whose trusted documents are all in one part has
     no threshold, and its documents are kept. Without any trusted text nothing
     is known, and all texts with a character are kept. Repeated rows are scored
     alike. An empty table gives no rows. docs is read twice and must have the

@@ -40,8 +40,33 @@ def test_exact_cut(spark):
         assert sum(0 < r["taken"] % r["size"] for r in own) <= 1  # one document is cut
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(2), "doc_id").collect()}
     assert again == {r["doc_id"]: r["taken"] for r in got}
-    copies = {r["doc_id"]: r["n"] for r in mixing.mixed_documents(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert copies == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
+    mixed = mixing.mixed_documents(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("words")).collect()
+    assert {r["doc_id"]: r["words"] for r in mixed} == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
+    assert {r["doc_id"]: r["n"] for r in mixed} == {r["doc_id"]: r["copies"] + (r["taken"] % r["size"] > 0) for r in got if r["taken"]}
+
+
+def test_one_long_document(spark):
+    """A source of one document that is longer than its budget gives just the budget's words; nothing of the mix is missing."""
+    long = "  ".join(f"w{k}" for k in range(20_000))
+    rows = [(1, long, "a", 7, "x")] + [(k, " ".join(["v"] * 50), "b", None, "x") for k in range(2, 202)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, `a.b` string")
+    for weights in ((5, 2, 1), (1, 5)):
+        want = {r["source"]: r["n"] for r in mixing.mix(docs, "source", weights=weights).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        got = mixing.mixed_documents(docs, weights)
+        assert got.columns == docs.columns
+        assert {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()} == want
+        for r in got.where("doc_id = 1").collect():
+            assert long.startswith(r["text"]) and r["text"][-1] != " " and r["n_chars"] == (7 if r["text"] == long else len(r["text"]))
+        assert sum(want.values()) >= sum(mixing.source_targets(spark.createDataFrame([("a", 20_000), ("b", 10_000)], "_source string, size long"), weights).agg(F.sum("target")).first()) - 2
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """40,000 equal rows without an id spread over all ranges, and the cut among them is exact."""
+    rows = spark.range(0, 40_000, 1, 6).select(F.lit("s").alias("_source"), F.lit(None).cast("long").alias("_id"), F.lit(3).cast("long").alias("size"))
+    found = mixing.running_total(rows, "_source", [F.col("_id")], "size", "_before")
+    assert sorted(r["_before"] for r in found.collect()) == list(range(0, 120_000, 3))
+    spread = mixing.shipped(rows).withColumn("_equal", F.monotonically_increasing_id()).repartitionByRange(4, "_source", "_id", "_equal").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 20_000
 
 
 def test_odd_rows(spark):

@@ -28,8 +28,9 @@ def plain_model(texts, order=lm.ORDER):
 
     def level(counts, below):
         t = [sum(c == k for c in counts.values()) for k in range(1, 5)]
-        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
-        d = [min(float(k), max(0.1, k - (k + 1) * y * t[k] / t[k - 1])) if t[k - 1] else min(float(k), 0.5) for k in (1, 2, 3)]
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] or t[1] else 0
+        d = [k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] and (t[0] or t[1]) else 0 for k in (1, 2, 3)]
+        d = [x if 0 < x < k else k / 2 for k, x in enumerate(d, 1)]
         total, freed = defaultdict(int), defaultdict(float)
         for g, c in counts.items():
             total[g[:-1]] += c
@@ -77,7 +78,8 @@ def test_against_plain_model(spark, monkeypatch):
         monkeypatch.setattr(lm, "SLICE_BYTES", size)
         got = {r["doc_id"]: r["perplexity"] for r in lm.score(docs.repartition(5, "doc_id"), own).collect()}
         assert got == pytest.approx(want, rel=1e-9)
-    fold = {r["doc_id"]: r["f"] for r in spark.range(16).withColumnRenamed("id", "doc_id").withColumn("f", lm.F.pmod(lm.F.xxhash64("doc_id"), lm.F.lit(lm.FOLDS))).collect()}
+    fold = {r["doc_id"]: r["fold"] for r in lm.trusted_parts(docs, lm.trusted_ids(own)).collect()}
+    assert sorted(fold) == list(range(16)) and set(fold.values()) == {0, 1}
     texts = {d: t for d, t in rows if d < 16 and d % 5}
     held = {d: plain_bits(plain_model([t for e, t in texts.items() if fold[e] != fold[d]]), texts[d]) for d in texts}
     mean = sum(held.values()) / sum(len(texts[d]) + 1 for d in held)
@@ -108,6 +110,33 @@ def test_order_of_words(spark):
     assert not any(kept[k] for k in range(100, 110)) and sum(kept[k] for k in range(60, 80)) >= 18
 
 
+def test_repeated_trusted_texts(spark):
+    """Copies of the trusted text change neither threshold nor verdicts; near copies are left out together, mostly."""
+    rng = np.random.default_rng(9)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "re", "san") for b in ("den", "ler", "ba", "st", "nop", "wi")]
+    text = lambda: " ".join(rng.choice(words, 60))
+    rows = [(k, text()) for k in range(160)] + [(500 + k, "".join(rng.choice(list("zqxj%#"), 200))) for k in range(10)]
+    lang = lambda d: d.withColumn("lang", lm.F.lit("en"))
+    own = [(k, 1, 0) for k in range(100)]
+    once = {r["doc_id"]: (r["kept"], r["threshold"]) for r in lm.score(lang(documents(spark, rows)), labels(spark, own)).collect()}
+    twice = rows + [(1000 + k, t.upper() + "  ") for k, t in rows[:100]]
+    again = {r["doc_id"]: (r["kept"], r["threshold"]) for r in lm.score(lang(documents(spark, twice)), labels(spark, own + [(1000 + k, 1, 0) for k in range(100)])).collect()}
+    assert all(again[k][0] == v[0] and again[k][1] == pytest.approx(v[1], rel=1e-9) for k, v in once.items())
+    near = [(2000 + k, t + " extra") for k, t in rows[:100]]
+    parts = {r["doc_id"]: r["fold"] for r in lm.trusted_parts(documents(spark, rows[:100] + near), spark.createDataFrame([(k,) for k, _ in rows[:100] + near], "doc_id long")).collect()}
+    assert len(parts) == 200 and np.mean([parts[k] == parts[2000 + k] for k in range(100)]) > 0.9
+
+
+@pytest.mark.parametrize("texts", [[PROSE, PROSE + " end"], [PROSE] * 2, [PROSE + " a", "the " + PROSE, PROSE]])
+def test_near_equal_trusted_texts_keep_themselves(spark, monkeypatch, texts):
+    """Where n-grams have counts of two or three only, discounts stay below the counts and the trusted texts stay."""
+    monkeypatch.setattr(lm, "LEAST_CHARS", 100)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, PROSE[k : k + 120]) for k in range(20)]
+    docs = documents(spark, rows).withColumn("lang", lm.F.lit("en"))
+    got = {r["doc_id"]: r for r in lm.score(docs, labels(spark, [(k, 1, 0) for k in range(len(texts))])).collect()}
+    assert all(got[k]["kept"] for k in range(len(texts))) and all(got[k]["perplexity"] < 8 for k in range(len(texts)))
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     none = labels(spark, [])
