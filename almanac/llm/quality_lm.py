@@ -58,13 +58,18 @@ def trusted_parts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, fold) of the trusted documents that count: of those with the same words in any case, the one with the smallest id.
 
     fold is by the smallest hash of a document's runs of RUN words, which near
-    copies mostly share. ids may be broadcast by the caller.
+    copies mostly share; in a language whose documents all share it, by the
+    document's own hash. ids may be broadcast by the caller.
     """
-    words = F.filter(F.split(F.lower(text_of(docs)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), words.alias("words")).join(ids, "doc_id", "left_semi")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _lang(docs).alias("lang"), text_of(docs).alias("text")).join(ids, "doc_id", "left_semi")
+    own = own.select("doc_id", "lang", F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - RUN + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("words", k, F.lit(RUN)), " ")))
-    own = own.select("doc_id", F.sha2(F.array_join("words", " "), 256).alias("same"), F.pmod(F.xxhash64(F.array_min(runs)), F.lit(FOLDS)).cast("int").alias("fold"))
-    return own.groupBy("same").agg(F.min(F.struct("doc_id", "fold")).alias("x")).select("x.doc_id", "x.fold").distinct()
+    fold = lambda c: F.pmod(F.xxhash64(c), F.lit(FOLDS)).cast("int")
+    own = own.select("doc_id", "lang", F.sha2(F.array_join("words", " "), 256).alias("same"), fold(F.array_min(runs)).alias("fold"))
+    own = stage(own.groupBy("same").agg(F.min(F.struct("doc_id", "lang", "fold")).alias("x")).select("same", "x.*"), "trusted-folds")
+    one = stage(own.groupBy("lang").agg(F.min("fold").alias("a"), F.max("fold").alias("b")).where("a = b").select("lang", F.lit(True).alias("one")), "one-fold")
+    own = own.join(F.broadcast(one) if one.count() <= BROADCAST_LANGUAGES else one, "lang", "left")
+    return own.groupBy("doc_id").agg(F.min(F.when(F.col("one"), fold(F.col("same"))).otherwise(F.col("fold"))).alias("fold"))
 
 
 def grams(texts: list[str], order: int = ORDER):
