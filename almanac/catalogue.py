@@ -156,6 +156,17 @@ def filter_category_town(spark, d):
     return rows.groupBy("category", "town").agg(F.count(F.lit(1)).alias("n")).withColumn("said", present.events_word(F.col("n")))
 
 
+@_query(
+    "facet_counts",
+    f"WITH {VISIBLE_SQL}, w AS (SELECT town, category, CASE WHEN date = DATE '2024-01-15' THEN 'today' WHEN date <= DATE '2024-01-22' THEN 'soon' ELSE 'later' END AS span FROM V) "
+    "SELECT CASE WHEN GROUPING(town) = 1 THEN 'all' ELSE town END AS town, CASE WHEN GROUPING(category) = 1 THEN 'all' ELSE category END AS category, CASE WHEN GROUPING(span) = 1 THEN 'all' ELSE span END AS span, "
+    "CAST(GROUPING(town, category, span) AS BIGINT) AS level, count(*) AS n, count(*) || CASE WHEN count(*) = 1 THEN ' event' ELSE ' events' END AS said FROM w GROUP BY CUBE (town, category, span)",
+)
+def facet_counts(spark, d):
+    """The count that every choice of town, category and time shows."""
+    return serve.facets(_visible(spark, d), AS_OF)
+
+
 @_query("series_key", f"WITH {LISTING_SQL} SELECT id, name, {_series_sql('name')} AS series_key FROM L")
 def series_key(spark, d):
     return listing(spark, d).select("id", "name", text.series_key(F.col("name")).alias("series_key"))
@@ -407,6 +418,41 @@ def config_lookup(spark, d):
     return upsert.config_values(_config(spark), "greeting", "weekly_briefing", "weekly_briefing_date", "empty")
 
 
+# Orgs and settings as tables that come from the events.
+
+_ORGS_SQL = "SELECT org_slug AS slug, arg_min(venue_name, event_id) AS display_name FROM L WHERE org_slug IS NOT NULL {} GROUP BY org_slug"
+
+
+def _org_table(spark, d, where: str = "true") -> DataFrame:
+    """(slug, display_name): each organisation of the events, by the name of the venue of its first one."""
+    return listing(spark, d).where("org_slug IS NOT NULL").where(where).groupBy(F.col("org_slug").alias("slug")).agg(F.min_by("venue_name", "event_id").alias("display_name"))
+
+
+@_query("org_directory", f"WITH {LISTING_SQL}, o AS ({_ORGS_SQL.format('')}) SELECT row_number() OVER (ORDER BY display_name, slug) AS ord, slug, display_name FROM o")
+def org_directory(spark, d):
+    from pyspark.sql import Window as W
+
+    return _org_table(spark, d).select(F.row_number().over(W.orderBy("display_name", "slug")).cast("long").alias("ord"), "slug", "display_name")  # one row for each organisation
+
+
+@_query(
+    "org_seeds",
+    f"WITH {LISTING_SQL}, h AS ({_ORGS_SQL.format("AND category = 'civic'")}), o AS ({_ORGS_SQL.format('')}) SELECT o.slug, coalesce(h.display_name || ' (kept)', o.display_name) AS display_name FROM o LEFT JOIN h ON h.slug = o.slug",
+)
+def org_seeds(spark, d):
+    """Organisations of civic events are there already, under a name of their own; the seeds of all events add the others."""
+    held = _org_table(spark, d, "category = 'civic'").withColumn("display_name", F.concat("display_name", F.lit(" (kept)")))
+    return upsert.insert_missing(held, _org_table(spark, d), "slug")
+
+
+def _settings(spark, d) -> DataFrame:
+    """(key, value): a greeting for each town with its number of events, an old briefing and an empty setting."""
+    rows = listing(spark, d).groupBy("town").agg(F.count(F.lit(1)).alias("n"))
+    towns = rows.select(F.concat(F.lit("greeting_"), F.lower(F.replace("town", F.lit(" "), F.lit("_")))).alias("key"), F.concat("n", F.lit(" events in "), "town").alias("value"))
+    last = listing(spark, d).agg(F.max("name").alias("value"))
+    return towns.unionByName(last.select(F.lit("weekly_briefing").alias("key"), "value")).unionByName(last.select(F.lit("empty").alias("key"), F.lit("").alias("value")))
+
+
 # --- Ingest -----------------------------------------------------------------------------------------------------------
 
 _GATE_SQL = "CASE WHEN doc_id % 13 = 0 THEN 'fetch_failed' WHEN length(coalesce(text, '')) < 100 THEN 'too_short' WHEN contains(lower(text), '404') OR contains(lower(text), 'page not found') THEN 'not_found' ELSE 'pass' END"
@@ -499,6 +545,30 @@ def ingest_future(spark, d):
     return ingest.with_date(rows).select("id", "stated_date", "date_rejected")
 
 
+_PLACES_SQL = ", ".join(f"({s[0]}, '{s[1]}', '{s[3].replace(chr(39), chr(39) * 2)}', '{s[4]}', {'NULL' if s[5] is None else chr(39) + s[5] + chr(39)})" for s in dims.SOURCES)
+
+
+@_query(
+    "extraction_defaults",
+    f"WITH {LISTING_SQL}, s(ord, source_slug, venue, place, addr) AS (VALUES {_PLACES_SQL}) SELECT source_slug, event_id // 9 AS page_id, 0 AS row_ord, name, {_day('date')} AS date, coalesce(CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN venue_name END, venue) AS venue_name, "
+    "coalesce(CASE WHEN k % 2 = 0 THEN L.town END, place) AS town, coalesce(address, addr) AS address, array_to_string(artists, ', ') AS artists FROM L JOIN s ON event_id % 9 = ord WHERE event_id % 7 IN (0, 1, 2)",
+)
+def extraction_defaults(spark, d):
+    """Each event as a page's reply, fenced or plain, some of them broken; empty and missing places come from the source's registry entry."""
+    e = listing(spark, d)
+    eid, k = F.col("event_id"), F.col("k")
+    record = F.struct("name", text.iso(F.col("date")).alias("date"), F.when(k % 3 == 1, F.col("venue_name")).when(k % 3 == 2, "").alias("venue_name"), F.when(k % 2 == 0, F.col("town")).otherwise("").alias("town"), "address", "artists")
+    plain = F.to_json(F.array(record))
+    reply = (
+        F.when(eid % 7 == 0, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(eid % 7 == 1, plain).when(eid % 7 == 2, F.concat(F.lit("```\n"), plain, F.lit("```")))
+        .when(eid % 7 == 3, F.expr("substring(r, 1, length(r) - 3)")).when(eid % 7 == 4, F.concat(plain, F.lit(" and more"))).when(eid % 7 == 5, F.to_json(record)).otherwise("[]")
+    )
+    own = F.broadcast(dims.sources(spark).select(F.col("source_ord").alias("_ord"), F.col("slug").alias("source_slug")))  # nine rows
+    replies = e.withColumn("r", plain).select((eid % 9).cast("int").alias("_ord"), F.expr("event_id DIV 9").alias("page_id"), reply.alias("reply")).join(own, "_ord").drop("_ord")
+    rows = ingest.extract_events(replies, dims.sources(spark))
+    return rows.select("source_slug", "page_id", "row_ord", "name", "date", "venue_name", "town", "address", F.array_join("artists", ", ").alias("artists"))
+
+
 _SRC_SQL = ", ".join(f"({s[0]}, '{s[1]}', {str(s[6]).lower()})" for s in dims.SOURCES)
 
 
@@ -596,6 +666,16 @@ def briefing_result(spark, d):
     return briefing.run(listing(spark, d), _config(spark), AS_OF, "2024-01-15T14:00:00Z")[0]
 
 
+@_query(
+    "briefing_saved",
+    f"WITH {LISTING_SQL.strip()}, q AS ({SQL['briefing_result']}) SELECT (SELECT count(*) || ' events in Arnold' FROM L WHERE town = 'Arnold') AS greeting_arnold, (SELECT briefing FROM q) AS weekly_briefing, '2024-01-15T14:00:00Z' AS weekly_briefing_date, CAST(NULL AS VARCHAR) AS empty, CAST(NULL AS VARCHAR) AS missing",
+)
+def briefing_saved(spark, d):
+    """The day's briefing written into the settings, and the settings that a page reads afterwards."""
+    _, saved = briefing.run(listing(spark, d), _settings(spark, d), AS_OF, "2024-01-15T14:00:00Z")
+    return upsert.config_values(saved, "greeting_arnold", "weekly_briefing", "weekly_briefing_date", "empty", "missing")
+
+
 @_query("paragraphs", "SELECT doc_id, unnest(range(len(p))) AS ord, unnest(p) AS paragraph FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents)")
 def paragraphs(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -701,6 +781,18 @@ def faq_doc(spark, d):
     return documents.faq_document(t.select("ord", F.concat(F.lit("How high is "), "name", F.lit("?")).alias("question"), F.concat("feet", F.lit(" feet. "), "tagline", F.lit(".")).alias("answer")))
 
 
+@_query(
+    "faq_counts",
+    f"WITH {UP_SQL}, q AS (SELECT town, json_object('@type', 'Question', 'name', 'What is on in ' || town || '?', 'acceptedAnswer', json_object('@type', 'Answer', 'text', count(*) || ' events, the first on ' || {_day('min(date)')} || '.')) AS e FROM U GROUP BY town) "
+    f"SELECT CAST(json_object('@context', '{_SCHEMA}', '@type', 'FAQPage', 'mainEntity', to_json(list(e ORDER BY town))) AS VARCHAR) AS document FROM q",
+)
+def faq_counts(spark, d):
+    """A page of questions that the events answer."""
+    rows = serve.upcoming(listing(spark, d), AS_OF).groupBy("town").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"))
+    answer = F.concat(F.col("n").cast("string"), F.lit(" events, the first on "), text.iso(F.col("first")), F.lit("."))
+    return documents.faq_document(rows.select(F.col("town").alias("ord"), F.concat(F.lit("What is on in "), "town", F.lit("?")).alias("question"), answer.alias("answer")))
+
+
 _DAY_SITE_SQL = f"WITH {UP_SQL}, s AS (SELECT town AS name, '{dims.SITE_URL}/' || lower(replace(town, ' ', '-')) AS url, count(*) || ' events to come' AS description FROM U GROUP BY town), "
 
 

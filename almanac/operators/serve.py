@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.present import events_word
 from ..functions.text import iso, series_key, slug
 from .keyed import BUCKETS, KeyedTable
 
@@ -42,6 +43,21 @@ def visible(events: DataFrame, enabled_orgs: list[str] = (), category: str = "al
     return events if town == "all" else events.where(F.col("town") == town)
 
 
+def facets(events: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
+    """(town, category, span, level, n, said): how many events each choice of the filters shows, 'all' where one isn't set.
+
+    span is today, soon (the `days` days after it) or later. level has a bit for
+    each filter that isn't set: 4 town, 2 category, 1 span. Events are counted
+    once by all three; the cube is over those few counts.
+    """
+    day = F.lit(as_of)
+    span = F.when(F.col("date") == day, "today").when(F.col("date") <= F.date_add(day, days), "soon").otherwise("later")
+    counts = events.groupBy("town", "category", span.alias("span")).agg(F.count(F.lit(1)).alias("_n"))
+    cube = counts.cube("town", "category", "span").agg(F.grouping_id("town", "category", "span").alias("level"), F.sum("_n").alias("n"))
+    shown = lambda c, bit: F.when(F.col("level").bitwiseAND(bit) > 0, "all").otherwise(F.col(c)).alias(c)
+    return cube.select(shown("town", 4), shown("category", 2), shown("span", 1), F.col("level").cast("long").alias("level"), "n", events_word(F.col("n")).alias("said"))
+
+
 def order_key(*extra: Column) -> Column:
     """Date, then start time with null last, then id, as one comparable value."""
     return F.struct(F.col("date"), F.col("start_time").isNull().alias("late"), F.col("start_time"), F.col("id"), *extra)
