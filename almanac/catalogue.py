@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import dims
 from .functions import present, text
-from .operators import ingest, serve, upsert
+from .operators import history, ingest, serve, upsert
 from .operators.keyed import shared_folder
 from .plans import briefing, documents, freshness as fresh
 from .sources import fetch
@@ -387,37 +387,10 @@ def store_rewrites(spark, d):
     return spark.createDataFrame([(k, len(e), len(t)) for k, (e, t) in enumerate(wrote, 1)], "source_ord int, event_buckets long, time_buckets long")
 
 
-_ORG_SQL = ", ".join("(" + str(k) + ", '" + s + "', '" + n.replace("'", "''") + "')" for k, (s, n) in enumerate(dims.ORGS))
-
-
-@_query("seed_orgs", f"WITH o(k, slug, display_name) AS (VALUES {_ORG_SQL}) SELECT slug, CASE WHEN slug IN ('bear-valley', 'lube-room') THEN 'kept' ELSE display_name END AS display_name FROM o")
-def seed_orgs(spark, d):
-    held = spark.createDataFrame([("bear-valley", "kept"), ("lube-room", "kept")], "slug string, display_name string")
-    return upsert.insert_missing(held, dims.orgs(spark).select("slug", "display_name"), "slug")
-
-
-@_query("org_list", f"WITH o(k, slug, display_name) AS (VALUES {_ORG_SQL}) SELECT row_number() OVER (ORDER BY display_name) AS ord, slug, display_name FROM o")
-def org_list(spark, d):
-    from pyspark.sql import Window as W
-
-    return dims.orgs(spark).select(F.row_number().over(W.orderBy("display_name")).cast("long").alias("ord"), "slug", "display_name")  # nine rows
-
-
 def _config(spark):
     return spark.createDataFrame([("greeting", "Welcome"), ("weekly_briefing", "old"), ("empty", "")], "key string, value string")
 
 
-@_query("config_upsert", "SELECT * FROM (VALUES ('greeting', 'Welcome'), ('empty', ''), ('weekly_briefing', 'new'), ('weekly_briefing_date', '2024-01-15T14:00:00Z')) AS t(key, value)")
-def config_upsert(spark, d):
-    new = spark.createDataFrame([("weekly_briefing", "new"), ("weekly_briefing_date", "2024-01-15T14:00:00Z")], "key string, value string")
-    return upsert.upsert_by_key(_config(spark), new, "key")
-
-
-@_query("config_lookup", "SELECT 'Welcome' AS greeting, 'old' AS weekly_briefing, CAST(NULL AS VARCHAR) AS weekly_briefing_date, CAST(NULL AS VARCHAR) AS empty")
-def config_lookup(spark, d):
-    return upsert.config_values(_config(spark), "greeting", "weekly_briefing", "weekly_briefing_date", "empty")
-
-
 # Orgs and settings as tables that come from the events.
 
 _ORGS_SQL = "SELECT org_slug AS slug, arg_min(venue_name, event_id) AS display_name FROM L WHERE org_slug IS NOT NULL {} GROUP BY org_slug"
@@ -428,18 +401,18 @@ def _org_table(spark, d, where: str = "true") -> DataFrame:
     return listing(spark, d).where("org_slug IS NOT NULL").where(where).groupBy(F.col("org_slug").alias("slug")).agg(F.min_by("venue_name", "event_id").alias("display_name"))
 
 
-@_query("org_directory", f"WITH {LISTING_SQL}, o AS ({_ORGS_SQL.format('')}) SELECT row_number() OVER (ORDER BY display_name, slug) AS ord, slug, display_name FROM o")
-def org_directory(spark, d):
+@_query("org_list", f"WITH {LISTING_SQL}, o AS ({_ORGS_SQL.format('')}) SELECT row_number() OVER (ORDER BY display_name, slug) AS ord, slug, display_name FROM o")
+def org_list(spark, d):
     from pyspark.sql import Window as W
 
     return _org_table(spark, d).select(F.row_number().over(W.orderBy("display_name", "slug")).cast("long").alias("ord"), "slug", "display_name")  # one row for each organisation
 
 
 @_query(
-    "org_seeds",
+    "seed_orgs",
     f"WITH {LISTING_SQL}, h AS ({_ORGS_SQL.format("AND category = 'civic'")}), o AS ({_ORGS_SQL.format('')}) SELECT o.slug, coalesce(h.display_name || ' (kept)', o.display_name) AS display_name FROM o LEFT JOIN h ON h.slug = o.slug",
 )
-def org_seeds(spark, d):
+def seed_orgs(spark, d):
     """Organisations of civic events are there already, under a name of their own; the seeds of all events add the others."""
     held = _org_table(spark, d, "category = 'civic'").withColumn("display_name", F.concat("display_name", F.lit(" (kept)")))
     return upsert.insert_missing(held, _org_table(spark, d), "slug")
@@ -453,6 +426,21 @@ def _settings(spark, d) -> DataFrame:
     return towns.unionByName(last.select(F.lit("weekly_briefing").alias("key"), "value")).unionByName(last.select(F.lit("empty").alias("key"), F.lit("").alias("value")))
 
 
+_SETTINGS_SQL = """c AS (SELECT 'greeting_' || lower(replace(town, ' ', '_')) AS key, count(*) || ' events in ' || town AS value FROM L GROUP BY town UNION ALL SELECT 'weekly_briefing', max(name) FROM L UNION ALL SELECT 'empty', '')"""
+
+
+@_query("config_upsert", f"WITH {LISTING_SQL.strip()}, {_SETTINGS_SQL}, put AS (SELECT 'weekly_briefing' AS key, min(name) AS value FROM L UNION ALL SELECT 'weekly_briefing_date', {_day('max(date)')} FROM L) SELECT * FROM put UNION ALL SELECT * FROM c WHERE key NOT IN (SELECT key FROM put)")
+def config_upsert(spark, d):
+    rows = listing(spark, d).agg(F.min("name").alias("a"), text.iso(F.max("date")).alias("b"))
+    new = rows.select(F.lit("weekly_briefing").alias("key"), F.col("a").alias("value")).unionByName(rows.select(F.lit("weekly_briefing_date").alias("key"), F.col("b").alias("value")))
+    return upsert.upsert_by_key(_settings(spark, d), new, "key")
+
+
+@_query("config_lookup", f"WITH {LISTING_SQL.strip()}, {_SETTINGS_SQL} SELECT (SELECT value FROM c WHERE key = 'greeting_murphys') AS greeting_murphys, (SELECT value FROM c WHERE key = 'weekly_briefing') AS weekly_briefing, CAST(NULL AS VARCHAR) AS weekly_briefing_date, CAST(NULL AS VARCHAR) AS empty")
+def config_lookup(spark, d):
+    return upsert.config_values(_settings(spark, d), "greeting_murphys", "weekly_briefing", "weekly_briefing_date", "empty")
+
+
 # --- Ingest -----------------------------------------------------------------------------------------------------------
 
 _GATE_SQL = "CASE WHEN doc_id % 13 = 0 THEN 'fetch_failed' WHEN length(coalesce(text, '')) < 100 THEN 'too_short' WHEN contains(lower(text), '404') OR contains(lower(text), 'page not found') THEN 'not_found' ELSE 'pass' END"
@@ -502,23 +490,6 @@ def page_extraction(spark, d):
     return ingest.extract_events(found.select("page_id", "reply")).select("page_id", "name", "date", "town")
 
 
-_REPLIES = [
-    ("lube-room", '```json\n[{"name": "A", "date": "2024-02-01", "town": ""}, {"name": "B", "date": "2024-02-02", "town": "Arnold", "artists": ["x", "y"]}]\n```'),
-    ("gocalaveras", '[{"name": "C", "date": "2024-01-20", "town": "Sonora", "venue_name": "Hall"}]'),
-    ("bear-valley", "[]"), ("branding-iron", '{"name": "D"}'), ("mystic-saloon", '[{"name": "E"'), ("visit-murphys", '[{"name": "F"}] and more'), ("watering-hole", "no events"),
-]
-
-
-@_query(
-    "parse_extraction",
-    "SELECT * FROM (VALUES ('lube-room', 0, 'A', '2024-02-01', 'The Lube Room Saloon', 'Dorrington', '3431 Highway 4, Dorrington, CA 95223', NULL), ('lube-room', 1, 'B', '2024-02-02', 'The Lube Room Saloon', 'Arnold', '3431 Highway 4, Dorrington, CA 95223', 'x, y'), "
-    "('gocalaveras', 0, 'C', '2024-01-20', 'Hall', 'Sonora', NULL, NULL)) AS t(source_slug, row_ord, name, date, venue_name, town, address, artists)",
-)
-def parse_extraction(spark, d):
-    rows = ingest.extract_events(spark.createDataFrame(_REPLIES, "source_slug string, reply string"), dims.sources(spark))
-    return rows.select("source_slug", "row_ord", "name", "date", "venue_name", "town", "address", F.array_join("artists", ", ").alias("artists"))
-
-
 _STATED_SQL = LISTING_SQL + """,
   I AS (SELECT id, event_id % 9 AS ord, CASE event_id % 6 WHEN 0 THEN ' ' || town || ' ' WHEN 1 THEN town || ', CA' WHEN 2 THEN 'camp' WHEN 3 THEN '' WHEN 4 THEN 'Sonora' END AS stated,
           CASE WHEN k % 17 = 0 THEN 'TBD' WHEN k % 17 = 1 THEN '2024-02-30' WHEN k % 17 = 2 THEN NULL ELSE strftime(date, '%Y-%m-%d') END AS day FROM L)
@@ -549,11 +520,11 @@ _PLACES_SQL = ", ".join(f"({s[0]}, '{s[1]}', '{s[3].replace(chr(39), chr(39) * 2
 
 
 @_query(
-    "extraction_defaults",
+    "parse_extraction",
     f"WITH {LISTING_SQL}, s(ord, source_slug, venue, place, addr) AS (VALUES {_PLACES_SQL}) SELECT source_slug, event_id // 9 AS page_id, 0 AS row_ord, name, {_day('date')} AS date, coalesce(CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN venue_name END, venue) AS venue_name, "
     "coalesce(CASE WHEN k % 2 = 0 THEN L.town END, place) AS town, coalesce(address, addr) AS address, array_to_string(artists, ', ') AS artists FROM L JOIN s ON event_id % 9 = ord WHERE event_id % 7 IN (0, 1, 2)",
 )
-def extraction_defaults(spark, d):
+def parse_extraction(spark, d):
     """Each event as a page's reply, fenced or plain, some of them broken; empty and missing places come from the source's registry entry."""
     e = listing(spark, d)
     eid, k = F.col("event_id"), F.col("k")
@@ -767,26 +738,12 @@ def breadcrumbs(spark, d):
     return documents.breadcrumbs(rows.select("name", F.concat(F.lit("/events/"), "slug").alias("path")).distinct())
 
 
-_HEIGHT_SQL = ", ".join(f"({t[6]}, '{t[0]}', {t[1]}, '{t[2]}')" for t in dims.TOWNS)
-
-
 @_query(
     "faq_doc",
-    f"WITH t(ord, name, feet, tagline) AS (VALUES {_HEIGHT_SQL}), q AS (SELECT ord, json_object('@type', 'Question', 'name', 'How high is ' || name || '?', 'acceptedAnswer', json_object('@type', 'Answer', 'text', feet || ' feet. ' || tagline || '.')) AS e FROM t) "
-    f"SELECT CAST(json_object('@context', '{_SCHEMA}', '@type', 'FAQPage', 'mainEntity', to_json(list(e ORDER BY ord))) AS VARCHAR) AS document FROM q",
-)
-def faq_doc(spark, d):
-    """A page of questions about the towns, from their table."""
-    t = dims.towns(spark).toDF("name", "feet", "tagline", "drive", "lat", "lon", "ord", "filter_ord")
-    return documents.faq_document(t.select("ord", F.concat(F.lit("How high is "), "name", F.lit("?")).alias("question"), F.concat("feet", F.lit(" feet. "), "tagline", F.lit(".")).alias("answer")))
-
-
-@_query(
-    "faq_counts",
     f"WITH {UP_SQL}, q AS (SELECT town, json_object('@type', 'Question', 'name', 'What is on in ' || town || '?', 'acceptedAnswer', json_object('@type', 'Answer', 'text', count(*) || ' events, the first on ' || {_day('min(date)')} || '.')) AS e FROM U GROUP BY town) "
     f"SELECT CAST(json_object('@context', '{_SCHEMA}', '@type', 'FAQPage', 'mainEntity', to_json(list(e ORDER BY town))) AS VARCHAR) AS document FROM q",
 )
-def faq_counts(spark, d):
+def faq_doc(spark, d):
     """A page of questions that the events answer."""
     rows = serve.upcoming(listing(spark, d), AS_OF).groupBy("town").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"))
     answer = F.concat(F.col("n").cast("string"), F.lit(" events, the first on "), text.iso(F.col("first")), F.lit("."))
@@ -828,6 +785,34 @@ def freshness(spark, d):
     return fresh.freshness(listing(spark, d), F.lit(_NOW).cast("timestamp_ntz"))
 
 
+# --- Extensions: how events were ---
+
+_FACTS_SQL = LISTING_SQL.strip() + ", f AS (SELECT series, ts, arg_max({'p': price}, event_id).p AS price FROM (SELECT L.*, e.ts FROM L JOIN e USING (event_id)) GROUP BY series, ts)"
+
+
+@_query(
+    "price_history",
+    f"WITH {_FACTS_SQL}, h AS (SELECT *, lag(price) OVER w AS before, row_number() OVER w AS nth FROM f WINDOW w AS (PARTITION BY series ORDER BY ts)) "
+    "SELECT series, price, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS valid_from, strftime(lead(ts) OVER (PARTITION BY series ORDER BY ts), '%Y-%m-%d %H:%M:%S.%f') AS valid_to FROM h WHERE nth = 1 OR price IS DISTINCT FROM before",
+)
+def price_history(spark, d):
+    """For each series the stretches of time in which its price stayed the same."""
+    rows = history.intervals(listing(spark, d), "series", "last_scraped_at", ["price"], "event_id")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return rows.select("series", "price", stamp("valid_from"), stamp("valid_to"))
+
+
+@_query(
+    "price_as_of",
+    f"WITH {_FACTS_SQL}, a AS (SELECT event_id, series, ts - INTERVAL 36 HOURS AS ts FROM (SELECT L.*, e.ts FROM L JOIN e USING (event_id))) SELECT a.event_id, a.series, f.price FROM a ASOF LEFT JOIN f ON a.series = f.series AND a.ts >= f.ts",
+)
+def price_as_of(spark, d):
+    """What each event's series cost a day and a half before."""
+    rows = listing(spark, d).select("event_id", "series", "last_scraped_at", "price")
+    asks = rows.select("event_id", "series", (F.col("last_scraped_at") - F.expr("INTERVAL 36 HOURS")).alias("last_scraped_at"))
+    return history.as_of(asks, rows, "series", "last_scraped_at", ["price"], F.col("event_id")).select("event_id", "series", "price")
+
+
 # --- Operators known from design documents only -----------------------------------------------------------------------
 
 

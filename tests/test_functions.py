@@ -86,3 +86,21 @@ def test_rejects_and_sources(spark):
 def test_relative_age(spark):
     cases = {10: "less than a minute ago", 60: "1 minute ago", 600: "10 minutes ago", 3600: "about 1 hour ago", 3600 * 5: "about 5 hours ago", 3600 * 30: "1 day ago", 3600 * 47: "2 days ago", 86400 * 40: "about 1 month ago", 86400 * 100: "3 months ago"}
     assert values(spark, present.relative_age(F.col("x")), [(float(k),) for k in cases], "x double") == list(cases.values())
+
+
+def test_replies(spark):
+    """Replies as a model gives them: fenced, plain, empty, no array, cut off, followed by prose."""
+    from almanac import dims
+    from almanac.operators import ingest
+
+    replies = [
+        ("lube-room", '```json\n[{"name": "A", "date": "2024-02-01", "town": ""}, {"name": "B", "date": "2024-02-02", "town": "Arnold", "artists": ["x", "y"]}]\n```'),
+        ("gocalaveras", '[{"name": "C", "date": "2024-01-20", "town": "Sonora", "venue_name": "Hall"}]'),
+        ("bear-valley", "[]"), ("branding-iron", '{"name": "D"}'), ("mystic-saloon", '[{"name": "E"'), ("visit-murphys", '[{"name": "F"}] and more'), ("watering-hole", "no events"),
+    ]
+    rows = ingest.extract_events(spark.createDataFrame(replies, "source_slug string, reply string"), dims.sources(spark))
+    got = sorted((r["source_slug"], r["row_ord"], r["name"], r["venue_name"], r["town"], r["address"], r["artists"]) for r in rows.collect())
+    assert got == [
+        ("gocalaveras", 0, "C", "Hall", "Sonora", None, None), ("lube-room", 0, "A", "The Lube Room Saloon", "Dorrington", "3431 Highway 4, Dorrington, CA 95223", None),
+        ("lube-room", 1, "B", "The Lube Room Saloon", "Arnold", "3431 Highway 4, Dorrington, CA 95223", ["x", "y"]),
+    ]
