@@ -31,7 +31,7 @@ from .common import read_table, shipped, stage, text_of, text_slices
 #: Characters of an n-gram. A begin and an end of text are symbols beyond Unicode; a symbol takes WIDE bytes.
 ORDER, START, END, WIDE = 4, 0x110000, 0x110001, 3
 #: Text bytes of a block, unless the input's partitions are larger; those of a block where there are fewer blocks than cores; text bytes held at once.
-BLOCK_BYTES, SMALL_BYTES, SLICE_BYTES = 64_000_000, 2_000_000, 3_000_000
+BLOCK_BYTES, SMALL_BYTES, SLICE_BYTES = 64_000_000, 2_000_000, 1_500_000
 #: Trusted characters a language needs for a model of its own; the rest share one of all languages.
 LEAST_CHARS = 20_000
 #: Trusted ids (32 MB) and languages that may be broadcast; more are joined by a shuffle.
@@ -81,9 +81,9 @@ def grams(texts: list[str], order: int = ORDER):
     raw = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in texts]
     sizes = np.array([len(x) for x in raw], dtype=np.int64)
     begin = np.cumsum(sizes + order) - (sizes + order)
-    points = np.full(int((sizes + order).sum()), START, dtype=np.int64)
-    text = np.repeat(np.arange(len(texts)), sizes + 1)
-    place = np.arange(len(text)) + np.repeat(begin - (np.cumsum(sizes + 1) - (sizes + 1)), sizes + 1)  # where each text's n-grams begin
+    points = np.full(int((sizes + order).sum()), START, dtype=np.int32)  # a slice has far fewer than 2**31 places
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    place = np.arange(len(text), dtype=np.int32) + np.repeat((begin - (np.cumsum(sizes + 1) - (sizes + 1))).astype(np.int32), sizes + 1)  # where each text's n-grams begin
     for at, x in zip((begin + order - 1).tolist(), raw):
         points[at : at + len(x)] = x
     points[begin + order - 1 + sizes] = END
