@@ -209,8 +209,8 @@ def _payload(batch: pa.RecordBatch) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
 
 
-def _scored(texts: DataFrame, bits: DataFrame) -> DataFrame:
-    """texts (block, row, model, fold, text) as (row, model, fold, n_chars, bits, held), by bits (block, model, g, b_n, b_n_0, …).
+def _scored(texts: DataFrame, bits: DataFrame, whole: bool = False) -> DataFrame:
+    """texts (block, row, model, fold, text) as (row, model, fold, n_chars, bits, held), whole: and text; by bits (block, model, g, b_n, b_n_0, …).
 
     held is by the model that leaves out the row's part; null for rows that are
     in no part. The blocks are texts' partitions, as in block_grams(); where a
@@ -219,6 +219,8 @@ def _scored(texts: DataFrame, bits: DataFrame) -> DataFrame:
     row = texts.schema["row"].dataType
     n_blocks = max(1, texts.rdd.getNumPartitions())
     values = [f"b_{c}" for c in _COUNTS]
+    fields = ["row", "model", "fold", "n_chars", "bits", "held"] + ["text"] * whole
+    types = [row, T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.DoubleType()] + [T.StringType()] * whole
     schema = "block int, kind int, model string, g binary, " + ", ".join(f"{v} double" for v in values) + ", payload binary"
 
     def pack(batches):
@@ -280,13 +282,12 @@ def _scored(texts: DataFrame, bits: DataFrame) -> DataFrame:
                 own = np.flatnonzero(fold[at] == v)
                 held[np.array(at)[own]] = sums[own, v + 1]
         arrays = [part["row"], part["model"], part["fold"], pa.array([len(x) for x in texts_], pa.int64()), pa.array(total, from_pandas=True), pa.array(held, from_pandas=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=["row", "model", "fold", "n_chars", "bits", "held"])
+        return pa.RecordBatch.from_arrays([*arrays, part["text"]] if whole else arrays, names=fields)
 
     packed = shipped(texts).mapInArrow(pack, schema)
     told = bits.select("block", F.lit(0).alias("kind"), "model", "g", *values, F.lit(None).cast("binary").alias("payload"))
     met = told.unionByName(packed).repartition(n_blocks, "block").sortWithinPartitions("block", "kind")
-    types = [row, T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.DoubleType()]
-    return met.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(("row", "model", "fold", "n_chars", "bits", "held"), types)]))
+    return met.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(fields, types)]))
 
 
 def _lang(docs: DataFrame) -> Column:
@@ -294,8 +295,10 @@ def _lang(docs: DataFrame) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    """(row, lang, n_chars, perplexity, shrunk, threshold, kept) for each row of docs: see score(); row holds its columns `keep`, or all."""
-    row = F.struct(*(docs[f"`{c}`"] for c in keep or docs.columns)).alias("row")
+    """(row, lang, n_chars, perplexity, shrunk, threshold, kept) for each row of docs: see score(); row holds its columns `keep`. Without them, it holds all but the text, which comes beside it (null as '')."""
+    whole = not keep
+    row = F.struct(*(docs[f"`{c}`"] for c in keep or [c for c in docs.columns if c != "text"])).alias("row")
+    also = ["text"] * whole
     texts = docs.select(row, docs["doc_id"].cast("long").alias("doc_id"), _lang(docs).alias("lang"), text_of(docs).alias("text"))
     ids = stage(trusted_ids(labels), "labelled")
     ids = stage(trusted_parts(docs, F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids), "trusted")
@@ -306,7 +309,7 @@ def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     lang = F.when(F.col("lang") != "null", F.expr("substring(lang, 2)")).alias("lang")
     if not trusted:
         nothing = F.lit(None).cast("double")
-        return texts.select("row", lang, F.length("text").cast("long").alias("n_chars"), nothing.alias("perplexity"), nothing.alias("shrunk"), nothing.alias("threshold"), (F.length("text") > 0).alias("kept"))
+        return texts.select("row", lang, F.length("text").cast("long").alias("n_chars"), nothing.alias("perplexity"), nothing.alias("shrunk"), nothing.alias("threshold"), (F.length("text") > 0).alias("kept"), *also)
     few = own <= BROADCAST_LANGUAGES
     models = languages.where("model IS NOT NULL").select("lang", "model")
     texts = texts.join(F.broadcast(models) if few else models, "lang", "left").withColumn("model", F.coalesce("model", F.lit(POOL))).drop("doc_id")
@@ -317,7 +320,7 @@ def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     counts = found.groupBy("model", "g").agg(*(F.sum(f"c_{k}").alias(f"c_{k}") for k in range(FOLDS))).select("model", "g", total.alias("n"), *((total - F.col(f"c_{k}")).alias(f"n_{k}") for k in range(FOLDS)))
     p = probabilities(stage(counts, "grams"), few=few)
     bits = found.select("block", "model", "g").join(p, ["model", "g"]).select("block", "model", "g", *((-F.log2(f"p_{c}")).alias(f"b_{c}") for c in _COUNTS))
-    rows = stage(_scored(texts, bits), "scores")
+    rows = stage(_scored(texts, bits, whole), "scores")
 
     some, size = F.col("n_chars") > 0, F.col("n_chars") + 1
     rate = lambda c: (F.col(c) + PRIOR * F.col("mean")) / (size + PRIOR)
@@ -328,7 +331,7 @@ def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     rows = rows.join(means, "model", "left").join(F.broadcast(limits) if few else limits, "model", "left")
     kept = some & F.coalesce(rate("bits") <= F.col("limit"), F.lit(True))
     power = lambda x: F.pow(F.lit(2.0), x)
-    rows = rows.select(F.col("row.own").alias("row"), F.col("row.lang").alias("lang"), "n_chars", F.when(some, power(F.col("bits") / size)).alias("perplexity"), F.when(some, power(rate("bits"))).alias("shrunk"), power(F.col("limit")).alias("threshold"), kept.alias("kept"))
+    rows = rows.select(F.col("row.own").alias("row"), F.col("row.lang").alias("lang"), "n_chars", F.when(some, power(F.col("bits") / size)).alias("perplexity"), F.when(some, power(rate("bits"))).alias("shrunk"), power(F.col("limit")).alias("threshold"), kept.alias("kept"), *also)
     return rows.withColumn("lang", lang)
 
 
@@ -350,8 +353,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score() keeps, with all their columns; the verdict comes with each row."""
-    return judged(docs, labels).where("kept").select("row.*")
+    """The rows of docs that score() keeps, with all their columns; the verdict comes with each row. None of them has a null text."""
+    return judged(docs, labels).where("kept").select(*(F.nullif(F.col("text"), F.lit("")).cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
