@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from . import dims
 from .functions import present, text
-from .operators import history, ingest, serve, upsert
+from .operators import history, ingest, nearby, serve, upsert
 from .operators.keyed import shared_folder
+from .operators.series import SeriesStore
 from .plans import briefing, documents, freshness as fresh
 from .sources import fetch
 from .sources.listing import VENUES, listing
@@ -185,6 +186,17 @@ def collapsed_listing(spark, d):
     return rows.select("ord", *_CARD, text.iso(F.col("date")).alias("date"), text.iso(F.col("end_date")).alias("end_date"), "day_count", "is_collapsed", F.coalesce(F.array_join("artists", ", "), F.lit("")).alias("artists"))
 
 
+@_query("collapsed_by_batches", f"WITH {COLLAPSE_SQL} SELECT {', '.join(_CARD)}, {_day('date')} AS date, {_day('end_date')} AS end_date, day_count, is_collapsed, coalesce(artists, '') AS artists FROM C")
+def collapsed_by_batches(spark, d):
+    """The same listing from a store that gets the events in three batches out of order, the last with all events of the first again."""
+    rows = _visible(spark, d)
+    turn = F.col("event_id") % 3
+    store = SeriesStore(spark, shared_folder(spark, "series"), rows.schema, 16)
+    for batch in (turn == 2, turn == 0, turn > 0):
+        store.apply(rows.where(batch))
+    return store.read().select(*_CARD, text.iso(F.col("date")).alias("date"), text.iso(F.col("end_date")).alias("end_date"), "day_count", "is_collapsed", F.coalesce(F.array_join("artists", ", "), F.lit("")).alias("artists"))
+
+
 @_query(
     "date_groups",
     f"WITH {COLLAPSE_SQL} SELECT dense_rank() OVER (ORDER BY date) AS group_index, {_day('date')} AS date, {_label_sql('date')} AS label, count(*) AS n, arg_min(id, (start_time IS NULL, coalesce(start_time, ''), id)) AS first_id FROM C GROUP BY date",
@@ -277,6 +289,34 @@ def town_context(spark, d):
     return rows.select("id", "town", present.feet(F.col("elevation")).alias("elevation"), "drive_text", F.when(placed, F.col("lat")).alias("lat"), F.when(placed, F.col("lng")).alias("lng"))
 
 
+#: An event's place: its town's, moved by up to 0.05 degrees.
+_PLACE_SQL = f"t(name, elevation, drive_text, lat, lng) AS (VALUES {_TOWN_SQL}), p AS (SELECT U.*, CAST(lat AS DOUBLE) + CAST(k - 50 AS DOUBLE) / 1000 AS lat, CAST(lng AS DOUBLE) + CAST(event_id % 101 - 50 AS DOUBLE) / 1000 AS lng FROM U JOIN t ON t.name = U.town)"
+_FAR_SQL = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - t.lat) / 2), 2) + cos(radians(CAST(t.lat AS DOUBLE))) * cos(radians(p.lat)) * pow(sin(radians(p.lng - t.lng) / 2), 2))))"
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    t = F.broadcast(dims.towns(spark).select(F.col("name").alias("town"), "lat", "lng"))  # eight rows
+    rows = serve.upcoming(listing(spark, d), AS_OF).select("id", "town", "event_id", "k").join(t, "town")
+    return rows.select("id", "town", (F.col("lat") + (F.col("k") - 50).cast("double") / 1000).alias("lat"), (F.col("lng") + (F.col("event_id") % 101 - 50).cast("double") / 1000).alias("lng"))
+
+
+@_query("events_near_towns", f"WITH {UP_SQL}, {_PLACE_SQL}, f AS (SELECT t.name AS town, p.id, {_FAR_SQL} AS km FROM t, p) SELECT town, id, CAST(round(km * 1000) AS BIGINT) AS metres FROM f WHERE km <= 8")
+def events_near_towns(spark, d):
+    """Events to come within eight kilometres of each town."""
+    found = nearby.within(dims.towns(spark), _placed(spark, d), 8.0)
+    return found.select(F.col("ask.name").alias("town"), F.col("place.id").alias("id"), F.round(F.col("km") * 1000).cast("long").alias("metres"))
+
+
+@_query(
+    "nearest_towns",
+    f"WITH {UP_SQL}, {_PLACE_SQL}, f AS (SELECT t.name AS nearest, p.id, {_FAR_SQL} AS km FROM t, p) SELECT id, arg_min(nearest, (km, nearest)) AS nearest, CAST(round(min(km) * 1000) AS BIGINT) AS metres FROM f WHERE km <= 20 GROUP BY id",
+)
+def nearest_towns(spark, d):
+    """Each event's nearest town within twenty kilometres, which need not be its own."""
+    found = nearby.nearest(_placed(spark, d), dims.towns(spark), 20.0, "id", "name")
+    return found.select("id", F.col("place.name").alias("nearest"), F.round(F.col("km") * 1000).cast("long").alias("metres"))
+
+
 @_query("directions", f"WITH {UP_SQL} SELECT id, replace(replace(coalesce(address, venue_name) || ', ' || town || ', CA', ' ', '%20'), ',', '%2C') AS place FROM U")
 def directions(spark, d):
     return serve.upcoming(listing(spark, d), AS_OF).select("id", present.directions(F.col("address"), F.col("venue_name"), F.col("town")).alias("place"))

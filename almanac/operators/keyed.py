@@ -42,6 +42,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/almanac-{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("int") % buckets).cast("int")
 
@@ -156,8 +161,6 @@ class KeyedTable:
         versions = sorted(r["version"] for r in heads.select("version").distinct().collect())
         used = {(r["bucket"], r["at"]) for r in heads.where(F.col("version").isin(versions[-keep:])).select("bucket", "at").distinct().collect()}
         gone = sorted({(r["bucket"], r["at"]) for r in heads.select("bucket", "at").distinct().collect() if r["bucket"] >= 0} - used)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for folder in [f"rows/bucket={b}/version={v}" for b, v in gone] + [f"heads/version={v}" for v in versions[:-keep]]:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-            at.getFileSystem(conf).delete(at, True)
+            drop_folder(self.spark, f"{self.path}/{folder}")
         return gone

@@ -82,24 +82,30 @@ def with_ordinal(rows: DataFrame, name: str = "ord") -> DataFrame:
     return rows.join(counts, ["date", "_minute"]).withColumn(name, (F.col("_days") + F.col("_before") + F.col("_in")).cast("long")).drop("_minute", "_in", "_days", "_before")
 
 
-def collapse(events: DataFrame) -> DataFrame:
-    """Events of one series become one row: the first one's, with end_date, day_count and all artists in order of appearance.
+def series_parts(events: DataFrame) -> DataFrame:
+    """(_series, _artist, n, rep, k, last, first): what the events of each series and artist come to.
 
-    A series of one row stays as it is, suffix and all. The order is a struct, so
-    no global sort is needed. The events are read once: they are combined by
-    series and artist, in each task and then by a shuffle, and those rows by
-    series. So a series may hold any share of the table: only its distinct
-    artists meet in one row.
+    An event counts (n, rep, k, last) in its first artist's part, or in the part without an
+    artist if it has none; first is where the artist first appears. merge_parts() combines them.
     """
-    names = events.columns
     key = order_key()
     rows = events.withColumn("_series", series_key(F.col("name"))).select("*", F.posexplode_outer("artists").alias("_i", "_artist"))
-    once = F.coalesce(F.col("_i") == 0, F.lit(True))  # an event counts with its first artist
+    once = F.coalesce(F.col("_i") == 0, F.lit(True))
     place = F.when(F.col("_i").isNotNull(), F.struct(key.alias("k"), F.col("_i").alias("i")))
-    parts = rows.groupBy("_series", "_artist").agg(
-        F.sum(once.cast("long")).alias("n"), F.min_by(F.when(once, F.struct(*names)), F.when(once, key)).alias("rep"), F.min(F.when(once, key)).alias("k"),
+    return rows.groupBy("_series", "_artist").agg(
+        F.sum(once.cast("long")).alias("n"), F.min_by(F.when(once, F.struct(*events.columns)), F.when(once, key)).alias("rep"), F.min(F.when(once, key)).alias("k"),
         F.max("date").alias("last"), F.min(place).alias("first"),
     )
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """One part for each series and artist, of parts of disjoint sets of events, in any order."""
+    return parts.groupBy("_series", "_artist").agg(F.sum("n").alias("n"), F.min_by("rep", "k").alias("rep"), F.min("k").alias("k"), F.max("last").alias("last"), F.min("first").alias("first"))
+
+
+def whole_series(parts: DataFrame) -> DataFrame:
+    """The collapsed rows of merged parts; only a series' distinct artists meet in one row."""
+    names = parts.schema["rep"].dataType.names
     seen = F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", F.col("_artist").alias("artist"))))
     groups = parts.groupBy("_series").agg(F.sum("n").alias("n"), F.min_by("rep", "k").alias("rep"), F.max("last").alias("last"), F.transform(F.array_sort(seen), lambda x: x["artist"]).alias("_artists"))
     artists = F.coalesce("_artists", F.array().cast("array<string>"))
@@ -109,6 +115,17 @@ def collapse(events: DataFrame) -> DataFrame:
     return groups.select(*kept, F.when(many, F.col("last")).alias("end_date"), F.when(many, F.col("n")).alias("day_count"), F.when(many, F.lit(True)).alias("is_collapsed"))
 
 
+def collapse(events: DataFrame) -> DataFrame:
+    """Events of one series become one row: the first one's, with end_date, day_count and all artists in order of appearance.
+
+    A series of one row stays as it is, suffix and all. The order is a struct, so
+    no global sort is needed. The events are read once: they are combined by
+    series and artist, in each task and then by a shuffle, and those rows by
+    series. So a series may hold any share of the table.
+    """
+    return whole_series(series_parts(events))
+
+
 def date_groups(rows: DataFrame) -> DataFrame:
     """(date, group_index, n, first_id): a group for each date, in order."""
     groups = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", order_key()).alias("first_id"))
