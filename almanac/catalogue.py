@@ -126,10 +126,8 @@ def upcoming_listing(spark, d):
 
 @_query("detail_scan", f"WITH {UP_SQL} SELECT row_number() OVER (PARTITION BY date ORDER BY id) AS nth, id, {_day('date')} AS date, name FROM U")
 def detail_scan(spark, d):
-    from pyspark.sql import Window as W
-
-    rows = serve.upcoming(listing(spark, d), AS_OF)
-    return rows.select(F.row_number().over(W.partitionBy("date").orderBy("id")).cast("long").alias("nth"), "id", text.iso(F.col("date")).alias("date"), "name")
+    rows = serve.numbered(serve.upcoming(listing(spark, d), AS_OF), "date", "nth")
+    return rows.select("nth", "id", text.iso(F.col("date")).alias("date"), "name")
 
 
 @_query("visible_default", f"WITH {UP_SQL} SELECT id, visibility, org_slug FROM U WHERE visibility IS DISTINCT FROM 'private'")

@@ -63,23 +63,31 @@ def order_key(*extra: Column) -> Column:
     return F.struct(F.col("date"), F.col("start_time").isNull().alias("late"), F.col("start_time"), F.col("id"), *extra)
 
 
-def with_ordinal(rows: DataFrame, name: str = "ord") -> DataFrame:
-    """rows with their 1-based place by date, start time (null last) and id.
+def numbered(rows: DataFrame, by: str, name: str, first: Column | None = None, chars: int = 3) -> DataFrame:
+    """rows with their 1-based place among those with the same `by`, in order of first (if any) and id.
 
-    Rows are numbered within each date and minute, and moved on by the number of
-    rows in the minutes and dates before; only those counts are summed up, so no
-    task sees more than the rows of a minute.
+    Rows are numbered within each `by`, first and begin of the id, and moved on by
+    the number of rows that come before those; only such counts are summed up. So
+    no task needs to hold a whole day: `chars` characters of the id split it. Nulls
+    come first, and rows with a null in `by` are numbered together.
     """
-    minute = [F.col("date"), F.coalesce(F.col("start_time"), F.lit("~")).alias("_minute")]
-    counts = rows.groupBy(*minute).agg(F.count(F.lit(1)).alias("_n"))
-    days = counts.groupBy("date").agg(F.sum("_n").alias("_day"))
+    rows = rows.withColumns({"_first": F.lit(0) if first is None else first, "_begin": F.coalesce(F.substring("id", 1, chars), F.lit(""))})
+    counts = rows.groupBy(F.col(by).alias("_by"), F.col("_first").alias("_f"), F.col("_begin").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_by").orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("_by", "_f", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_in", F.row_number().over(W.partitionBy(by, "_first", "_begin").orderBy("id")))
+    met = rows.join(counts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_first").eqNullSafe(F.col("_f")) & (F.col("_begin") == F.col("_b")))
+    return met.withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_first", "_begin", "_by", "_f", "_b", "_before", "_in")
+
+
+def with_ordinal(rows: DataFrame, name: str = "ord") -> DataFrame:
+    """rows with their 1-based place by date, start time (null last) and id: numbered within each date, and moved on by the rows of the dates before."""
+    days = rows.groupBy(F.col("date").alias("_date")).agg(F.count(F.lit(1)).alias("_n"))
     # One row for each date.
-    days = days.select("date", F.coalesce(F.sum("_day").over(W.orderBy("date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_days"))
-    before = F.sum("_n").over(W.partitionBy("date").orderBy("_minute").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.select("date", "_minute", F.coalesce(before, F.lit(0)).alias("_before")).join(F.broadcast(days), "date")
-    rows = rows.withColumn("_minute", minute[1])
-    rows = rows.withColumn("_in", F.row_number().over(W.partitionBy("date", "_minute").orderBy("id")))
-    return rows.join(counts, ["date", "_minute"]).withColumn(name, (F.col("_days") + F.col("_before") + F.col("_in")).cast("long")).drop("_minute", "_in", "_days", "_before")
+    days = days.select("_date", F.coalesce(F.sum("_n").over(W.orderBy("_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_days"))
+    rows = numbered(rows, "date", "_nth", F.coalesce(F.col("start_time"), F.lit("~")))
+    rows = rows.join(F.broadcast(days), F.col("date").eqNullSafe(F.col("_date")))
+    return rows.withColumn(name, F.col("_days") + F.col("_nth")).drop("_nth", "_date", "_days")
 
 
 def series_parts(events: DataFrame) -> DataFrame:

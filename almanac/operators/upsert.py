@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import dedup_key, iso, strip_fence
 from .keyed import BUCKETS, KeyedTable
+from .serve import numbered
 
 #: Columns that a later row with the same key may change.
 MUTABLE = ["description", "start_time", "end_time", "price", "event_url"]
@@ -154,9 +155,8 @@ def needs_importance() -> Column:
 
 def scoring_batches(events: DataFrame, size: int = 10) -> DataFrame:
     """Public events that need an importance, in batches of `size`: numbered within the day, so no global sort is needed."""
-    target = events.where(needs_importance())
-    nth = F.row_number().over(W.partitionBy("date").orderBy("id"))
-    return target.withColumn("batch", (F.floor((nth - 1) / size) + 1).cast("long"))
+    rows = numbered(events.where(needs_importance()), "date", "_nth")
+    return rows.withColumn("batch", (F.floor((F.col("_nth") - 1) / size) + 1).cast("long")).drop("_nth")
 
 
 def score_importance(events: DataFrame, classifier: Callable[[DataFrame], DataFrame]) -> DataFrame:
