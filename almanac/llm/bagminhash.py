@@ -207,13 +207,16 @@ def _runs(rows: DataFrame) -> DataFrame:
     return shipped(rows).mapInArrow(run, "node binary, runs binary")
 
 
-def _spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, total: int) -> DataFrame:
+def _spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, total: int, counts: DataFrame | None = None) -> DataFrame:
     """rows joined with facts (at most one row for each key); the keys of over 1/HOT of the `total` rows are spread over SALTS by a column of rows.
 
     Only the hot keys themselves are broadcast, fewer than HOT of them; their
-    facts are copied to each salt.
+    facts are copied to each salt. counts (key, n) are the rows of each key, where
+    they are known already.
     """
-    hot = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT > total).select(key, F.lit(True).alias("_hot")))
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(counts.where(F.col("n") * HOT > total).select(key, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
@@ -283,8 +286,8 @@ def _across(members: DataFrame, runs: DataFrame) -> DataFrame:
     """
     big = F.col("root") == F.col("largest")
     slices = lambda c: F.ceil(F.greatest(F.sum(F.when(c, 1).otherwise(0)) / BLOCK_TEXTS, F.sum(F.when(c, F.col("size")).otherwise(0)) / BLOCK_RUNS)).cast("int")
-    counts = members.groupBy("key").agg(slices(~big).alias("rest"), slices(big).alias("most"))
-    rows = members.join(counts, "key").withColumn("own", F.when(big, F.col("rest") + F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
+    counts = stage(members.groupBy("key").agg(slices(~big).alias("rest"), slices(big).alias("most"), F.count(F.lit(1)).alias("n")), "slices")
+    rows = _spread_join(members, counts.drop("n"), "key", "node", members.count(), counts).withColumn("own", F.when(big, F.col("rest") + F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
     others = F.sequence(F.lit(0), F.when(big, F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1))
     rows = rows.select("node", "root", "size", "key", "own", F.explode(others).alias("other"))
     rows = rows.select("node", "root", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block")).join(runs, "node")
@@ -348,8 +351,8 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Buckets with more than one node; most have one and are gone after the first sum.
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    center = buckets.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = stage(buckets.join(center, "key"), "buckets")
+    center = stage(buckets.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "centers")
+    shared = stage(_spread_join(buckets, center.drop("n"), "key", "node", BANDS * nodes.count(), center), "buckets")
     pairs = shared.select(F.col("node").alias("a"), F.col("center").alias("b")).where("a <> b").distinct()
     pairs = stage(pairs, "candidates")
     pairs = _spread_join(pairs, prefixed(sketches, "b"), "b", "a", pairs.count()).join(prefixed(sketches, "a"), "a").where(_maybe("a_", "b_")).select("a", "b")
@@ -367,8 +370,9 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # What shares a bucket but no component yet.
     crowded = shared.select("key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = crowded.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    crowded = stage(crowded.join(largest, "key").join(nodes.select("node", "size"), "node"), "crowded")
+    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    largest = stage(largest, "largest")
+    crowded = stage(_spread_join(crowded, largest.drop("n"), "key", "node", shared.count(), largest).join(nodes.select("node", "size"), "node"), "crowded")
     more = stage(_across(crowded, runs), "similar")
     if not more.isEmpty():
         found = stage(components(links.unionByName(more)), "roots")
