@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from . import dims
 from .functions import present, text
-from .operators import history, ingest, nearby, serve, upsert
+from .operators import fuzzy, history, ingest, nearby, serve, upsert
 from .operators.keyed import shared_folder
+from .operators.ordered import OrderedStore
+from .operators.search import SearchIndex
 from .operators.series import SeriesStore
 from .plans import briefing, documents, freshness as fresh
 from .sources import fetch
@@ -851,6 +853,101 @@ def price_as_of(spark, d):
     return history.as_of(asks, rows, "series", "last_scraped_at", ["price"], F.col("event_id")).select("event_id", "series", "price")
 
 
+# --- Extensions: late batches, spellings, search ---
+
+_LATE = ["id", "name", "description", "start_time", "end_time", "price", "event_url"]
+
+
+@_query(
+    "upsert_late",
+    f"WITH {LISTING_SQL}, o AS (SELECT L.*, e.ts FROM L JOIN e USING (event_id)), g AS (SELECT series AS dedup_key, arg_min({{'id': id, 'name': name}}, (ts, event_id)) AS f, "
+    f"arg_max({{{', '.join(f"'{c}': {c}" for c in upsert.MUTABLE)}}}, (ts, event_id)) AS m FROM o GROUP BY series) SELECT dedup_key, f.id AS id, f.name AS name, {', '.join(f'm.{c} AS {c}' for c in upsert.MUTABLE)} FROM g",
+)
+def upsert_late(spark, d):
+    """Each series as one event, from a store that gets the rows in three batches out of order, the last with all rows of the first again."""
+    rows = listing(spark, d).select(F.col("series").alias("dedup_key"), F.col("last_scraped_at").alias("at"), "event_id", *_LATE)
+    store = OrderedStore(spark, shared_folder(spark, "late"), rows.schema, ["at", "event_id"], 16)
+    turn = F.col("event_id") % 3
+    for batch in (turn == 2, turn == 0, turn > 0):
+        store.apply(rows.where(batch))
+    return store.read().select("dedup_key", *_LATE)
+
+
+_FED_SQL = (
+    LISTING_SQL.strip() + ", t AS (SELECT *, lower(series || ' at the ' || venue_name) AS title, CAST(k % 9 + 1 AS INTEGER) AS pos FROM L), "
+    "fed_names AS (SELECT id, date, town, CASE event_id % 10 WHEN 3 THEN substr(title, 1, pos - 1) || substr(title, pos + 1) WHEN 6 THEN substr(title, 1, pos) || substr(title, pos) ELSE title END AS fed_name FROM t), fed AS (SELECT *, trim(regexp_replace(fed_name, ' +', ' ', 'g')) AS name FROM fed_names)"
+)
+
+
+def _misspelled(spark: SparkSession, d: str) -> DataFrame:
+    """Events with a title, of which one in ten lacks a letter and one in ten has one twice."""
+    eid, title, at = F.col("event_id"), F.col("title"), (F.col("k") % 9 + 1).cast("int")
+    rows = listing(spark, d).withColumn("title", F.lower(F.concat("series", F.lit(" at the "), "venue_name")))
+    without = F.concat(F.substring(title, F.lit(1), at - 1), F.substring(title, at + 1, F.length(title)))
+    twice = F.concat(F.substring(title, F.lit(1), at), F.substring(title, at, F.length(title)))
+    return rows.select("id", "date", "town", F.when(eid % 10 == 3, without).when(eid % 10 == 6, twice).otherwise(title).alias("name"))
+
+
+_PAIRS_SQL = (
+    _FED_SQL + ", names AS (SELECT DISTINCT date, town, name FROM fed), "
+    "q AS (SELECT *, regexp_replace(name, '[^0-9]+', ' ', 'g') AS digits, list_distinct(list_transform(range(1, length(name) + 3), lambda i: substr('##' || name || '##', i, 3))) AS g FROM names), "
+    "j AS (SELECT x.date, x.town, x.name AS a, y.name AS b, len(list_intersect(x.g, y.g)) AS shared, len(x.g) AS grams_a, len(y.g) AS grams_b FROM q x JOIN q y ON x.date = y.date AND x.town = y.town AND x.digits = y.digits AND x.name < y.name), "
+    "p AS (SELECT * FROM j WHERE shared * 100 >= (grams_a + grams_b - shared) * 70)"
+)
+
+
+@_query("similar_names", f"WITH {_PAIRS_SQL} SELECT {_day('date')} AS date, town, a, b, CAST(shared AS INTEGER) AS shared, CAST(grams_a AS INTEGER) AS grams_a, CAST(grams_b AS INTEGER) AS grams_b FROM p")
+def similar_names(spark, d):
+    """Titles of a date and town that are spelled alike."""
+    return fuzzy.similar_names(_misspelled(spark, d), ["date", "town"]).withColumn("date", text.iso(F.col("date")))
+
+
+@_query(
+    "event_spelling",
+    f"WITH {_PAIRS_SQL}, c AS (SELECT date, town, name, count(*) AS n FROM fed GROUP BY ALL), w AS (SELECT date, town, a AS name, b AS other FROM p UNION ALL SELECT date, town, b, a FROM p UNION ALL SELECT date, town, name, name FROM names), "
+    "best AS (SELECT w.date, w.town, w.name, arg_min(w.other, (-c.n, w.other)) AS spelling FROM w JOIN c ON w.date = c.date AND w.town = c.town AND w.other = c.name GROUP BY ALL) "
+    "SELECT fed.id, best.spelling FROM fed JOIN best ON fed.date = best.date AND fed.town = best.town AND fed.name = best.name",
+)
+def event_spelling(spark, d):
+    """Each event's title as most of its date and town spell it."""
+    return fuzzy.with_spelling(_misspelled(spark, d), ["date", "town"]).select("id", "spelling")
+
+
+_TEXTS_SQL = UP_SQL + ", x AS (SELECT id, lower(concat_ws(' ', name, replace(category, '_', ' '), venue_name, town, array_to_string(artists, ' '))) AS t FROM U), d AS (SELECT id, list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM x)"
+_IDF_SQL = "floor(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 1e6::DOUBLE)"
+
+
+def _index(spark: SparkSession, d: str) -> SearchIndex:
+    texts = F.concat_ws(" ", "name", F.replace("category", F.lit("_"), F.lit(" ")), "venue_name", "town", F.array_join("artists", " "))
+    return SearchIndex(spark, shared_folder(spark, "search")).build(serve.upcoming(listing(spark, d), AS_OF).select("id", texts.alias("text")), 16)
+
+
+@_query(
+    "event_search",
+    f"WITH {_TEXTS_SQL}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(len(ws)) / CAST(count(*) AS DOUBLE) AS mean FROM d), each AS (SELECT id, CAST(len(ws) AS DOUBLE) AS size, unnest(ws) AS w FROM d), "
+    "tf AS (SELECT id, size, w, CAST(count(*) AS DOUBLE) AS tf FROM each GROUP BY ALL), df AS (SELECT w, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY w), "
+    "a AS (SELECT DISTINCT venue_name || ', ' || town || ', ' || replace(category, '_', ' ') AS query FROM U), b AS (SELECT DISTINCT query, unnest(string_split_regex(lower(query), '[^a-z0-9]+')) AS w FROM a), "
+    f"k AS (SELECT query, b.w, {_IDF_SQL} AS weight FROM b JOIN df ON b.w = df.w, s), "
+    "r AS (SELECT query, id, CAST(sum(floor(weight * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)))) AS BIGINT) AS score FROM k JOIN tf ON k.w = tf.w, s GROUP BY query, id), "
+    "z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM r) SELECT query, rank, id, score FROM z WHERE rank <= 10",
+)
+def event_search(spark, d):
+    """The ten best events for each venue, town and category that occur together."""
+    asks = serve.upcoming(listing(spark, d), AS_OF).select(F.concat_ws(", ", "venue_name", "town", F.replace("category", F.lit("_"), F.lit(" "))).alias("query")).distinct()
+    return _index(spark, d).search(asks.withColumn("text", F.col("query"))).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_query(
+    "event_phrases",
+    f"WITH {_TEXTS_SQL}, a AS (SELECT DISTINCT venue_name || ' ' || town AS query FROM U), b AS (SELECT query, string_split_regex(lower(query), '[^a-z0-9]+') AS ps FROM a), "
+    "m AS (SELECT query, id, len(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + len(ps) - 1] = ps)) AS times FROM b, d) SELECT query, id, CAST(times AS BIGINT) AS times FROM m WHERE times > 0",
+)
+def event_phrases(spark, d):
+    """The events in whose text a venue's name is followed by a town's."""
+    asks = serve.upcoming(listing(spark, d), AS_OF).select(F.concat_ws(" ", "venue_name", "town").alias("query")).distinct()
+    return _index(spark, d).phrases(asks.withColumn("text", F.col("query")))
+
+
 # --- Operators known from design documents only -----------------------------------------------------------------------
 
 
