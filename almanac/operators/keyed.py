@@ -22,6 +22,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 #: Keys of a batch lookup that are broadcast; more meet the table in a join by shuffle.
@@ -42,6 +43,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/almanac-{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table of their own, for steps that read them more than once."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -115,7 +123,8 @@ class KeyedTable:
         Only the buckets that a key falls in are read. Up to BROADCAST_KEYS keys
         are first broadcast to leave only wanted rows; with more, Spark can send a Bloom
         filter of the keys ahead of the shuffle (spark.sql.optimizer.runtime.bloomFilter).
-        Repeated keys each get the row. Null keys find nothing.
+        Repeated keys each get the row. Null keys find nothing. Keys are read
+        several times, so they should be cheap to read.
         """
         keys = keys.select(*(F.col(c).alias(f"_asked_{c}") if c in self.schema.names and c != self.key else F.col(c) for c in keys.columns))
         few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
@@ -141,16 +150,23 @@ class KeyedTable:
         version = newest + 1 if version is None else version
         if version <= newest:
             return []
-        rows = self.bucketed(rows.select(*self.schema.names))
-        touched = self.touched(rows)
-        held = self._read({b: v for b, v in at.items() if b in set(touched)})
-        same = held["bucket"].eqNullSafe(rows["bucket"]) & held[self.key].eqNullSafe(rows[self.key])
+        # Staged, as rows are read twice; what a failed change left is written over.
+        path, rows = f"{self.path}/staged/version={version}", self.bucketed(rows.select(*self.schema.names))
+        rows.write.mode("overwrite").parquet(path)
+        rows = self.spark.read.schema(rows.schema).parquet(path)
+        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
+        held = {b: v for b, v in at.items() if b in set(touched)}
         if touched:
-            merged = held.join(rows, same, "left_anti").unionByName(rows) if at else rows
-            full = merged.withColumn("version", F.lit(version)).repartition(len(touched), "bucket").sortWithinPartitions("bucket", self.key)
+            # One shuffle and one sort by bucket and key: of a key's rows the new ones stay.
+            both = self._read(held).withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1))) if held else rows
+            full = both.withColumn("version", F.lit(version)).repartition(len(touched), "bucket")
+            if held:
+                full = full.withColumn("_rank", F.rank().over(W.partitionBy("bucket", self.key).orderBy(F.desc("_new")))).where("_rank = 1").drop("_rank", "_new")
+            full = full.sortWithinPartitions("bucket", self.key)
             full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{self.key}", "true").partitionBy("bucket", "version").parquet(f"{self.path}/rows")
         heads = [(b, v, self.buckets) for b, v in (at | dict.fromkeys(touched, version)).items()] or [(-1, version, self.buckets)]
         self.spark.createDataFrame(heads, "bucket int, at int, of int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/heads/version={version}")
+        drop_folder(self.spark, path)
         return touched
 
     def vacuum(self, keep: int = 1) -> list[tuple[int, int]]:

@@ -63,3 +63,13 @@ def test_reads_asked_shards(spark, tmp_path):
     assert [r["id"] for r in found.collect()] == ["7"]
     plan = found._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+ = \d+", plan) and "WindowGroupLimit" in plan
+
+
+def test_asked_twice(spark, tmp_path):
+    """A query that comes twice is one query; its words meet in a text's row, not as rows for each query and place."""
+    texts = [("a", "the wine and the wine"), ("b", "wine the"), ("c", "")]
+    index = search.SearchIndex(spark, str(tmp_path)).build(spark.createDataFrame(texts, "id string, text string"), 4)
+    found = index.phrases(spark.createDataFrame([("q", "the wine"), ("q", "the wine"), ("r", "the absent")], "query string, text string"))
+    assert [tuple(r) for r in found.collect()] == [("q", "a", 2)]
+    rows = {(r["term"], r["id"], r["length"]): r["places"] for r in index._postings().collect()}
+    assert rows == {("the", "a", 5): [0, 3], ("wine", "a", 5): [1, 4], ("and", "a", 5): [2], ("wine", "b", 2): [0], ("the", "b", 2): [1]}
