@@ -73,3 +73,12 @@ def test_asked_twice(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [("q", "a", 2)]
     rows = {(r["term"], r["id"], r["length"]): r["places"] for r in index._postings().collect()}
     assert rows == {("the", "a", 5): [0, 3], ("wine", "a", 5): [1, 4], ("and", "a", 5): [2], ("wine", "b", 2): [0], ("the", "b", 2): [1]}
+
+
+def test_alike_texts_score_once(spark, tmp_path):
+    """Of texts that score alike for every query, k are scored, and the first ids win."""
+    texts = spark.range(500).selectExpr("lpad(id, 3, '0') AS id", "concat('red wine ', id) AS text")
+    index = search.SearchIndex(spark, str(tmp_path)).build(texts, 4)
+    found = index.search(spark.createDataFrame([("q", "red wine"), ("r", "wine 7")], "query string, text string"), 3)
+    assert [r["id"] for r in found.orderBy("query", "rank").collect()] == ["000", "001", "002", "007", "000", "001"]
+    assert re.search(r"WindowGroupLimit \[length#\d+, _found#\d+\]", found._jdf.queryExecution().executedPlan().toString())
