@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, js_trim
+from .keyed import staged
 
 Q = 3
 #: Grams are counted by so many bins of their hashes; the table of counts is broadcast.
 BINS = 1 << 16
 #: A gram with more names than this in its block is split; so at most one gram for each so many rows is broadcast.
 GRAM_ROWS = 100_000
+#: In a block of up to so many names each meets each; names of larger blocks meet by their rare grams.
+BLOCK_NAMES = 256
 
 
 def plain_name(name: Column) -> Column:
@@ -30,44 +33,77 @@ def grams(name: Column, q: int = Q) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - q + 1), lambda i: F.substring(marked, i, F.lit(q))))
 
 
+def _check(percent: int) -> None:
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+
+
 def _by_rarity(names: DataFrame, by: list[str]) -> DataFrame:
     """names with _grams, rare ones first: by how often their bin occurs, then by themselves, which is one order for all names."""
     each = names.withColumn("_gram", F.explode(grams(F.col("_name")))).withColumn("_bin", F.pmod(F.xxhash64("_gram"), F.lit(BINS)))
-    often = F.broadcast(each.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n")))  # at most BINS rows
-    own = each.join(often, "_bin").groupBy(*by, "_name").agg(F.array_sort(F.collect_list(F.struct("_n", "_gram"))).alias("_g"))
-    return own.select(*by, "_name", F.col("_g._gram").alias("_grams"))
+    often = F.broadcast(each.groupBy("_bin").agg(F.count(F.lit(1)).alias("_often")))  # at most BINS rows
+    own = each.join(often, "_bin").groupBy(*by, "_name", "_n").agg(F.array_sort(F.collect_list(F.struct("_often", "_gram"))).alias("_g"))
+    return own.select(*by, "_name", "_n", F.col("_g._gram").alias("_grams"))
 
 
 def similar_names(rows: DataFrame, by: list[str], name: str = "name", percent: int = 70) -> DataFrame:
     """(by, a, b, shared, grams_a, grams_b): the pairs a < b of different plain names of a block whose grams' Jaccard similarity reaches percent.
 
     A block is the rows that agree in the columns `by` and in the name's numbers:
-    day 1 and day 2 are different events however alike their names. Of two names
+    day 1 and day 2 are different events however alike their names. In a block of
+    up to BLOCK_NAMES names, all pairs are looked at. In larger ones, of two names
     that are similar enough, the rare ends of their gram lists share a gram
     (prefix filter), so names meet by such grams and no others; a pair is looked at once, by
     the first gram that both ends share. No pair is lost. Grams that many names
     of a block have at their rare end are split over tasks. Rows with a null in
     `by` or without a name find nothing; rows of the same plain name are one name.
     """
-    if not 0 < percent <= 100:
-        raise ValueError("percent must be from 1 to 100")
-    names = rows.select(*(F.col(f"`{c}`") for c in by), plain_name(F.col(f"`{name}`")).alias("_name")).dropna().distinct().withColumn("_digits", digits(F.col("_name")))
+    _check(percent)
+    names = rows.select(*(F.col(f"`{c}`") for c in by), plain_name(F.col(f"`{name}`")).alias("_name")).dropna().distinct().withColumn("_n", F.lit(1).cast("long"))
+    return _pairs(names, by, percent).select(*by, "a", "b", "shared", F.col("a_size").alias("grams_a"), F.col("b_size").alias("grams_b"))
+
+
+def _pairs(names: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """similar_names() of names (by, _name, _n), of which each should occur once; with a_n and b_n."""
     block = [*by, "_digits"]
-    size = F.size("_grams")
+    names = staged(names.withColumn("_digits", digits(F.col("_name"))), "names")
+    sizes = names.groupBy(block).agg(F.count(F.lit(1)).alias("_block")).where("_block > 1")
+    met = staged(names.join(sizes, block), "names")
+    pairs = _all_pairs(met.where(F.col("_block") <= BLOCK_NAMES), block, percent)
+    large = met.where(F.col("_block") > BLOCK_NAMES)
+    if large.limit(1).count():
+        pairs = pairs.unionByName(_by_rare_grams(large.drop("_block"), block, percent))
+    return pairs.where(F.col("shared") * 100 >= (F.col("a_size") + F.col("b_size") - F.col("shared")) * percent)
+
+
+def _all_pairs(names: DataFrame, block: list[str], percent: int) -> DataFrame:
+    """(block, a, b, a_n, b_n, a_size, b_size, shared) of all pairs of a block that may be similar by their sizes."""
+    whole = names.groupBy(block).agg(F.collect_list(F.struct("_name", "_n")).alias("_all"))  # at most BLOCK_NAMES
+    full = lambda x: F.struct(x["_name"].alias("name"), x["_n"].alias("n"), grams(x["_name"]).alias("g"))
+    one = whole.select(*block, F.transform("_all", full).alias("_all")).select(*block, "_all", F.explode("_all").alias("x"))
+    near = lambda y: (y["name"] > F.col("x.name")) & (F.least(F.size(y["g"]), F.size("x.g")) * 100 >= F.greatest(F.size(y["g"]), F.size("x.g")) * percent)
+    pairs = one.select(*block, "x", F.explode(F.filter("_all", near)).alias("y"))
+    named = [F.col(f"{c}.{f}").alias(f"{p}{n}") for c, p in (("x", "a"), ("y", "b")) for f, n in (("name", ""), ("n", "_n"))]
+    return pairs.select(*block, *named, F.size("x.g").alias("a_size"), F.size("y.g").alias("b_size"), F.size(F.array_intersect("x.g", "y.g")).alias("shared"))
+
+
+def _by_rare_grams(names: DataFrame, block: list[str], percent: int) -> DataFrame:
+    """What _all_pairs() gives, but for pairs that share no gram at the rare ends of their lists; those aren't similar."""
     ends = lambda x: F.slice(x, F.lit(1), F.size(x) - F.floor((F.size(x) * percent + 99) / 100).cast("int") + 1)
-    rare = _by_rarity(names, block).withColumn("_gram", F.explode(ends(F.col("_grams")))).withColumn("_size", size)
+    # The whole lists stay behind: a pair that passes makes them again.
+    rare = staged(_by_rarity(names, block).select(*block, "_name", "_n", ends(F.col("_grams")).alias("_ends"), F.size("_grams").alias("_size")), "grams")
+    rare = rare.withColumn("_gram", F.explode("_ends"))
     meet = [*block, "_gram"]
     hot = F.broadcast(rare.groupBy(meet).agg(F.ceil(F.count(F.lit(1)) / GRAM_ROWS).alias("_parts")).where("_parts > 1"))
     marked = rare.join(hot, meet, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
-    side = lambda df, p: df.select(*meet, "_part", *(F.col(c).alias(f"{p}{c}") for c in ("_name", "_grams", "_size")))
+    side = lambda df, p: df.select(*meet, "_part", F.col("_name").alias(p), *(F.col(c).alias(f"{p}{c}") for c in ("_n", "_ends", "_size")))
     one = side(marked.withColumn("_part", F.pmod(F.xxhash64("_name"), F.col("_parts"))), "a")
     two = side(marked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))), "b")
-    pairs = one.join(two, [*meet, "_part"]).where(F.col("a_name") < F.col("b_name"))
+    pairs = one.join(two, [*meet, "_part"]).where(F.col("a") < F.col("b"))
     pairs = pairs.where(F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
-    pairs = pairs.where(F.get(F.array_intersect(ends(F.col("a_grams")), ends(F.col("b_grams"))), F.lit(0)) == F.col("_gram"))
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect("a_grams", "b_grams")))
-    alike = pairs.where(F.col("shared") * 100 >= (F.col("a_size") + F.col("b_size") - F.col("shared")) * percent)
-    return alike.select(*by, F.col("a_name").alias("a"), F.col("b_name").alias("b"), "shared", F.col("a_size").alias("grams_a"), F.col("b_size").alias("grams_b"))
+    pairs = pairs.where(F.get(F.array_intersect("a_ends", "b_ends"), F.lit(0)) == F.col("_gram"))
+    shared = F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b"))))
+    return pairs.select(*block, "a", "a_n", "b", "b_n", "a_size", "b_size", shared.alias("shared"))
 
 
 def with_spelling(rows: DataFrame, by: list[str], name: str = "name", percent: int = 70) -> DataFrame:
@@ -76,12 +112,11 @@ def with_spelling(rows: DataFrame, by: list[str], name: str = "name", percent: i
     A name without an equal or better one keeps its own; rows without a name or with
     a null in `by` get their plain name as it is.
     """
+    _check(percent)
     keyed = rows.withColumn("_plain", plain_name(F.col(f"`{name}`")))
-    counts = keyed.groupBy(*by, "_plain").agg(F.count(F.lit(1)).alias("_n")).dropna()
-    pairs = similar_names(rows, by, name, percent).select(*by, "a", "b")
-    both = pairs.unionByName(pairs.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(counts.withColumnRenamed("_plain", "b"), [*by, "b"])
-    best = others.groupBy(*by, "a").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("b").alias("spelling"))).alias("_o"))
-    own = counts.join(best.withColumnRenamed("a", "_plain"), [*by, "_plain"])
-    own = own.where(F.col("_o") < F.struct((-F.col("_n")).alias("n"), F.col("_plain").alias("spelling"))).select(*by, "_plain", F.col("_o.spelling").alias("_better"))
+    counts = keyed.groupBy(*by, F.col("_plain").alias("_name")).agg(F.count(F.lit(1)).alias("_n")).dropna()
+    # Of a pair, one is the better spelling for the other.
+    one, two = (F.struct((-F.col(f"{c}_n")).alias("n"), F.col(c).alias("spelling")) for c in ("a", "b"))
+    better = _pairs(counts, by, percent).select(*by, F.when(one < two, F.col("b")).otherwise(F.col("a")).alias("_plain"), F.least(one, two).alias("_o"))
+    own = better.groupBy(*by, "_plain").agg(F.min("_o").alias("_o")).select(*by, "_plain", F.col("_o.spelling").alias("_better"))
     return keyed.join(own, [*by, "_plain"], "left").withColumn("spelling", F.coalesce("_better", "_plain")).select(*(F.col(f"`{c}`") for c in rows.columns), "spelling")

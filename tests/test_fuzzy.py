@@ -72,3 +72,18 @@ def test_edges(spark):
     for percent in (0, 101):
         with pytest.raises(ValueError):
             fuzzy.similar_names(none, ["day"], percent=percent)
+
+
+@pytest.mark.parametrize("block", [1, 12, 256])
+def test_small_and_large_blocks(spark, monkeypatch, block):
+    """Names of small blocks meet without grams, those of large ones by rare grams; both find all pairs."""
+    monkeypatch.setattr(fuzzy, "BLOCK_NAMES", block)
+    monkeypatch.setattr(fuzzy, "GRAM_ROWS", 5)
+    rows = some(random.Random(9), 200)
+    blocks = {}
+    for day, town, name in rows:
+        if day and plain(name):
+            blocks.setdefault((day, town), set()).add(plain(name))
+    want = {(*b, x, y): (len(grams(x) & grams(y)), len(grams(x)), len(grams(y))) for b, names in blocks.items() for x, y in itertools.combinations(sorted(names), 2) if alike(x, y, 70)}
+    found = fuzzy.similar_names(spark.createDataFrame(rows, "day string, town string, name string"), ["day", "town"])
+    assert {(r["day"], r["town"], r["a"], r["b"]): tuple(r)[4:] for r in found.collect()} == want and want
