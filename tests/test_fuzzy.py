@@ -87,3 +87,11 @@ def test_small_and_large_blocks(spark, monkeypatch, block):
     want = {(*b, x, y): (len(grams(x) & grams(y)), len(grams(x)), len(grams(y))) for b, names in blocks.items() for x, y in itertools.combinations(sorted(names), 2) if alike(x, y, 70)}
     found = fuzzy.similar_names(spark.createDataFrame(rows, "day string, town string, name string"), ["day", "town"])
     assert {(r["day"], r["town"], r["a"], r["b"]): tuple(r)[4:] for r in found.collect()} == want and want
+
+
+def test_spelling_by_equal_names(spark):
+    """Of a pair, the name that more rows have is the better spelling, and of equally many the first."""
+    rows = [(1, "d", "jazz night"), (2, "d", "jazz nightt"), (3, "d", "jazz nightt"), (4, "e", "wine walk"), (5, "e", "wine walkk")]
+    found = fuzzy.with_spelling(spark.createDataFrame(rows, "id int, day string, name string"), ["day"])
+    assert {r["id"]: r["spelling"] for r in found.collect()} == {1: "jazz nightt", 2: "jazz nightt", 3: "jazz nightt", 4: "wine walk", 5: "wine walk"}
+    assert "_gram" not in found._jdf.queryExecution().optimizedPlan().toString()
