@@ -83,7 +83,13 @@ def within(asks: DataFrame, places: DataFrame, km: float, lat: str = "lat", lng:
 
 
 def nearest(asks: DataFrame, places: DataFrame, km: float, key: str, order: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """(ask key, place, km): for each ask key the nearest place within km, of equally near ones that with the smallest order."""
-    pairs = within(asks, places, km, lat, lng)
-    best = pairs.groupBy(F.col(f"ask.{key}").alias(key)).agg(F.min_by(F.struct("place", "km"), F.struct("km", F.col(f"place.{order}").alias("o"))).alias("_b"))
-    return best.select(key, "_b.place", "_b.km")
+    """(ask key, place, km): for each ask key the nearest place within km, of equally near ones that with the smallest order.
+
+    Places should be the smaller side here: they go to the cells around them, and an
+    ask to its own. Pairs carry the ask's key alone and are dealt by it before
+    they are sorted, so no task sorts what its part of the asks gives.
+    """
+    few = asks.select(key, lat, lng)
+    pairs = within(places, few, km, lat, lng).select(F.col(f"place.{key}").alias(key), F.struct("km", F.col(f"ask.{order}").alias("o")).alias("_k"), F.col("ask").alias("place"))
+    best = pairs.repartition(key).groupBy(key).agg(F.min_by("place", "_k").alias("place"), F.min("_k").alias("_k"))
+    return best.select(key, "place", F.col("_k.km").alias("km"))

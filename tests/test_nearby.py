@@ -46,3 +46,13 @@ def test_edges(spark):
     for km in (0, -1, 20_000):
         with pytest.raises(ValueError):
             nearby.within(none, none, km)
+
+
+def test_nearest_sorts_after_it_deals(spark):
+    """Pairs carry the ask's key alone and are dealt by it before the sort; a key that occurs twice has one nearest place."""
+    asks = spark.createDataFrame([("x", 0.0, 0.0, "wide"), ("x", 1.0, 1.0, "wide"), ("y", 0.5, 0.5, "wide"), ("z", 50.0, 0.0, "wide"), (None, 0.0, 0.1, "wide")], "id string, lat double, lng double, more string")
+    places = spark.createDataFrame([("b", 0.0, 0.2), ("a", 0.0, -0.2), ("c", 1.0, 1.0)], "id string, lat double, lng double")
+    found = nearby.nearest(asks, places, 100.0, "id", "id")
+    assert {(r["id"], r["place"]["id"]) for r in found.collect()} == {("x", "c"), ("y", "b"), (None, "b")}
+    above, below = found._jdf.queryExecution().sparkPlan().toString().split("Exchange hashpartitioning(id", 1)
+    assert "min_by" in above and "min_by" not in below
