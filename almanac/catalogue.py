@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import dims
 from .functions import present, text
 from .operators import fuzzy, history, ingest, nearby, serve, upsert
-from .operators.keyed import shared_folder
+from .operators.keyed import shared_folder, staged
 from .operators.ordered import OrderedStore
 from .operators.search import SearchIndex
 from .operators.series import SeriesStore
@@ -345,7 +345,7 @@ _STORE = ["id", "name", "date", "town", "venue_name", "category", *_M, "dedup_ke
 
 def _batches(spark, d) -> tuple[DataFrame, DataFrame]:
     """A store of the even events' keys, and batches with changes, new keys and repeats."""
-    rows = upsert.with_key(listing(spark, d))
+    rows = upsert.with_key(listing(spark, d)).select("event_id", "k", *_STORE)
     names = [c for c in rows.columns if c != "dedup_key"]
     even = rows.where("event_id % 2 = 0").groupBy("dedup_key").agg(F.min_by(F.struct(*names), "event_id").alias("e")).select("dedup_key", "e.*")
     odd = rows.where("event_id % 2 = 1")
@@ -395,6 +395,7 @@ _BUCKET_SQL = f"CAST(('0x' || substr(md5({{}}), 1, 7)) AS INTEGER) % {_STORE_BUC
 def _stored(spark, d):
     """An event store of the even events' keys after the three sources' batches, each a version of its own; and what each wrote."""
     store, batch = _batches(spark, d)
+    store = staged(store, "held")
     # Scraped batches lie in files.
     path = shared_folder(spark, "batches")
     batch.select("source_ord", "row_ord", *_STORE).write.parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from ..functions.text import dedup_key, iso, strip_fence
-from .keyed import BUCKETS, KeyedTable
+from .keyed import BUCKETS, KeyedTable, staged
 from .serve import numbered
 
 #: Columns that a later row with the same key may change.
@@ -87,7 +87,7 @@ class EventStore:
     def changes(self, batch: DataFrame, order: list[str]) -> DataFrame:
         """The event rows that are new or differ after the batch."""
         fixed = [c for c in self.events.schema.names if c not in (*MUTABLE, "dedup_key")]
-        ends = _ends(batch, fixed, order)
+        ends = staged(_ends(batch, fixed, order), "ends")
         held = self.events.read_touched(ends.select("dedup_key")).drop("bucket")
         both = ends.join(held.withColumn("_known", F.lit(True)), "dedup_key", "left")
         new, differs = F.col("_known").isNull(), F.lit(False)

@@ -66,3 +66,21 @@ def test_bloom_filter_before_the_shuffle(spark, table, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_put_reads_its_rows_once(spark, tmp_path):
+    """put() makes its rows once, leaves no staged ones, and of a key's rows keeps the new, a null key's too."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(row):
+        made.add(1)
+        return row
+
+    frame = lambda rows: spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).map(one), "k string, v long")
+    table = keyed.KeyedTable(spark, str(tmp_path / "once"), frame([]).schema, "k", 4)
+    table.put(frame([("a", 1), ("b", 1), (None, 1)]))
+    assert made.value == 3
+    table.put(frame([("b", 2), ("c", 2), (None, 2)]))
+    assert made.value == 6
+    assert {(r["k"], r["v"]) for r in table.read().collect()} == {("a", 1), ("b", 2), ("c", 2), (None, 2)}
+    assert not list((tmp_path / "once" / "staged").iterdir())
