@@ -38,7 +38,7 @@ class SeriesStore:
         """The events of batch that the store doesn't have, each id once."""
         names = [F.col(f"`{c}`") for c in self.columns]
         named = batch.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct(*names), order_key(F.xxhash64(*names).alias("tie"))).alias("_e")).select("_e.*")
-        known = self.ids.read_touched(named.select("id")).select("id")
+        known = self.ids.read_touched(named.select("id")).select("id").hint("merge")
         return named.join(known, "id", "left_anti").unionByName(batch.where(F.col("id").isNull()).select(*names))
 
     def _staged(self, fresh: DataFrame, version: int) -> DataFrame:
@@ -60,7 +60,7 @@ class SeriesStore:
         written = []
         if version > self.parts.version():
             fresh = self._staged(_keyed(series_parts(self.unseen(batch))), version)
-            held = self.parts.read_touched(fresh.select("part_key")).drop("bucket").join(fresh.select("part_key"), "part_key", "left_semi")
+            held = self.parts.read_touched(fresh.select("part_key")).drop("bucket").join(fresh.select("part_key").hint("merge"), "part_key", "left_semi")
             written = self.parts.put(_keyed(merge_parts(fresh.unionByName(held))), version)
             drop_folder(self.spark, f"{self.path}/fresh/version={version}")
         self.ids.put(batch.where(F.col("id").isNotNull()).select("id").distinct(), version)

@@ -84,3 +84,16 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         series_stream.start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check"), 4).awaitTermination()
     assert rows_of(SeriesStore(spark, str(tmp_path / "store"), schema, 4).read()) == rows_of(serve.collapse(spark.createDataFrame(rows, SCHEMA)))
+
+
+def test_batches_meet_the_store_without_broadcast(spark, tmp_path):
+    """However small a batch looks beside its files, neither known ids nor part keys go through the driver."""
+    from pyspark.sql import functions as F
+
+    from almanac.operators.series import SeriesStore
+
+    rows = spark.range(40).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("n"), F.col("id") % 5).alias("name"), F.lit("2024-01-01").cast("date").alias("date"), F.lit("09:00").alias("start_time"), F.array(F.lit("x")).alias("artists"))
+    store = SeriesStore(spark, str(tmp_path / "s"), rows.schema, 2)
+    store.apply(rows)
+    fresh = store.unseen(rows.unionByName(rows.withColumn("id", F.concat(F.lit("z"), "id"))))
+    assert "BroadcastHashJoin" not in fresh._jdf.queryExecution().sparkPlan().toString() and fresh.count() == 40
