@@ -260,9 +260,10 @@ def slug_index_lookup(spark, d):
     """Pages that readers ask for by slug: request n is for event n of the listing, past events' pages (not found) too."""
     rows = listing(spark, d)
     asked = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
-    asked = asked.join(serve.with_slug(rows).select(F.col("event_id").alias("doc_id"), "slug"), "doc_id", "left")
+    known = rows.join(asked.select(F.col("doc_id").alias("event_id")), "event_id", "left_semi")  # only these need a slug
+    asked = asked.join(serve.with_slug(known).select(F.col("event_id").alias("doc_id"), "slug"), "doc_id", "left")
     index = serve.index_by_slug(serve.upcoming(rows, AS_OF), shared_folder(spark, "slugs"), 16)
-    return index.lookup(asked).select("doc_id", "slug", "id", text.iso(F.col("date")).alias("date"), "n_events")
+    return index.lookup(staged(asked, "asked")).select("doc_id", "slug", "id", text.iso(F.col("date")).alias("date"), "n_events")
 
 
 @_query("slug_collisions", f"WITH {UP_SQL}, s AS (SELECT *, {_slug_sql()} AS slug FROM U) SELECT slug, arg_min(id, (date, id)) AS id, count(*) AS n_events FROM s GROUP BY slug HAVING count(*) > 1")

@@ -156,7 +156,7 @@ def index_by_slug(events: DataFrame, path: str, buckets: int = BUCKETS) -> Keyed
 
     Later events go in by put(): a change of a few events rewrites their slugs' buckets.
     """
-    rows = first_by_slug(events).select("slug", "id", "date", "n_events")
+    rows = first_by_slug(events.select("id", "name", "date", "town")).select("slug", "id", "date", "n_events")
     table = KeyedTable(events.sparkSession, path, rows.schema, "slug", buckets)
     table.put(rows)
     return table
