@@ -60,31 +60,62 @@ def similar_names(rows: DataFrame, by: list[str], name: str = "name", percent: i
     """
     _check(percent)
     names = rows.select(*(F.col(f"`{c}`") for c in by), plain_name(F.col(f"`{name}`")).alias("_name")).dropna().distinct().withColumn("_n", F.lit(1).cast("long"))
-    return _pairs(names, by, percent).select(*by, "a", "b", "shared", F.col("a_size").alias("grams_a"), F.col("b_size").alias("grams_b"))
+    block = [*by, "_digits"]
+    each, large = _blocks(names, by)
+    pairs = _all_pairs(each, block, percent)
+    if large is not None:
+        pairs = pairs.unionByName(_by_rare_grams(large, block, percent))
+    pairs = pairs.where(_similar(F.col("shared"), F.col("a_size"), F.col("b_size"), percent))
+    return pairs.select(*by, "a", "b", "shared", F.col("a_size").alias("grams_a"), F.col("b_size").alias("grams_b"))
 
 
-def _pairs(names: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """similar_names() of names (by, _name, _n), of which each should occur once; with a_n and b_n."""
+def _blocks(names: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Of names (by, _name, _n), each once: those of blocks of up to BLOCK_NAMES, a row (block, _all, x) for each name x and all of its block, and those of larger ones, if any."""
     block = [*by, "_digits"]
     names = staged(names.withColumn("_digits", digits(F.col("_name"))), "names")
-    sizes = names.groupBy(block).agg(F.count(F.lit(1)).alias("_block")).where("_block > 1")
-    met = staged(names.join(sizes, block), "names")
-    pairs = _all_pairs(met.where(F.col("_block") <= BLOCK_NAMES), block, percent)
-    large = met.where(F.col("_block") > BLOCK_NAMES)
-    if large.limit(1).count():
-        pairs = pairs.unionByName(_by_rare_grams(large.drop("_block"), block, percent))
-    return pairs.where(F.col("shared") * 100 >= (F.col("a_size") + F.col("b_size") - F.col("shared")) * percent)
+    sizes = names.groupBy(block).agg(F.count(F.lit(1)).alias("_block"))
+    large = staged(sizes.where(F.col("_block") > BLOCK_NAMES).select(block), "blocks")
+    some = bool(large.limit(1).count())
+    small = names.join(large, block, "left_anti") if some else names
+    # Names go to their block as they are, in one shuffle; lists are made behind it.
+    lists = small.repartition(*block).groupBy(block).agg(F.collect_list(F.struct("_name", "_n")).alias("_names")).where(F.size("_names") > 1)
+    full = lambda x: F.struct(x["_name"].alias("name"), x["_n"].alias("n"), grams(x["_name"]).alias("g"))
+    # explode() would look whether there is anything to explode, and make the lists twice for that.
+    each = lists.select(*block, F.transform("_names", full).alias("_all")).select(*block, "_all", F.explode_outer("_all").alias("x"))
+    return each, names.join(large, block, "left_semi") if some else None
+
+
+def _similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
+    return shared * 100 >= (a + b - shared) * percent
+
+
+def _shared(x: Column, y: Column) -> Column:
+    return F.size(F.array_intersect(x["g"], y["g"]))
+
 
+def _sizes_near(a: Column, b: Column, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-def _all_pairs(names: DataFrame, block: list[str], percent: int) -> DataFrame:
+
+def _all_pairs(each: DataFrame, block: list[str], percent: int) -> DataFrame:
     """(block, a, b, a_n, b_n, a_size, b_size, shared) of all pairs of a block that may be similar by their sizes."""
-    whole = names.groupBy(block).agg(F.collect_list(F.struct("_name", "_n")).alias("_all"))  # at most BLOCK_NAMES
-    full = lambda x: F.struct(x["_name"].alias("name"), x["_n"].alias("n"), grams(x["_name"]).alias("g"))
-    one = whole.select(*block, F.transform("_all", full).alias("_all")).select(*block, "_all", F.explode("_all").alias("x"))
-    near = lambda y: (y["name"] > F.col("x.name")) & (F.least(F.size(y["g"]), F.size("x.g")) * 100 >= F.greatest(F.size(y["g"]), F.size("x.g")) * percent)
-    pairs = one.select(*block, "x", F.explode(F.filter("_all", near)).alias("y"))
+    near = lambda y: (y["name"] > F.col("x.name")) & _sizes_near(F.size(y["g"]), F.size("x.g"), percent)
+    pairs = each.select(*block, "x", F.explode_outer(F.filter("_all", near)).alias("y")).where("y IS NOT NULL")
     named = [F.col(f"{c}.{f}").alias(f"{p}{n}") for c, p in (("x", "a"), ("y", "b")) for f, n in (("name", ""), ("n", "_n"))]
-    return pairs.select(*block, *named, F.size("x.g").alias("a_size"), F.size("y.g").alias("b_size"), F.size(F.array_intersect("x.g", "y.g")).alias("shared"))
+    return pairs.select(*block, *named, F.size("x.g").alias("a_size"), F.size("y.g").alias("b_size"), _shared(F.col("x"), F.col("y")).alias("shared"))
+
+
+def _best_in_block(each: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """(by, _plain, _better) of the names that have a better spelling; each looks through its block's list, so no row is made for a pair."""
+    x = F.col("x")
+    better = lambda y: (_order(y["n"], y["name"]) < _order(x["n"], x["name"])) & _sizes_near(F.size(y["g"]), F.size(x["g"]), percent) & _similar(_shared(x, y), F.size(x["g"]), F.size(y["g"]), percent)
+    found = F.slice(F.array_sort(F.transform(F.filter("_all", better), lambda y: _order(y["n"], y["name"]))), 1, 1)
+    return each.select(*by, F.col("x.name").alias("_plain"), F.explode_outer(found).alias("_o")).where("_o IS NOT NULL").select(*by, "_plain", F.col("_o.spelling").alias("_better"))
+
+
+def _order(n: Column, name: Column) -> Column:
+    """The less, the better: names that more rows have, then the first."""
+    return F.struct((-n).alias("n"), name.alias("spelling"))
 
 
 def _by_rare_grams(names: DataFrame, block: list[str], percent: int) -> DataFrame:
@@ -100,7 +131,7 @@ def _by_rare_grams(names: DataFrame, block: list[str], percent: int) -> DataFram
     one = side(marked.withColumn("_part", F.pmod(F.xxhash64("_name"), F.col("_parts"))), "a")
     two = side(marked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))), "b")
     pairs = one.join(two, [*meet, "_part"]).where(F.col("a") < F.col("b"))
-    pairs = pairs.where(F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
+    pairs = pairs.where(_sizes_near(F.col("a_size"), F.col("b_size"), percent))
     pairs = pairs.where(F.get(F.array_intersect("a_ends", "b_ends"), F.lit(0)) == F.col("_gram"))
     shared = F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b"))))
     return pairs.select(*block, "a", "a_n", "b", "b_n", "a_size", "b_size", shared.alias("shared"))
@@ -115,8 +146,13 @@ def with_spelling(rows: DataFrame, by: list[str], name: str = "name", percent: i
     _check(percent)
     keyed = rows.withColumn("_plain", plain_name(F.col(f"`{name}`")))
     counts = keyed.groupBy(*by, F.col("_plain").alias("_name")).agg(F.count(F.lit(1)).alias("_n")).dropna()
-    # Of a pair, one is the better spelling for the other.
-    one, two = (F.struct((-F.col(f"{c}_n")).alias("n"), F.col(c).alias("spelling")) for c in ("a", "b"))
-    better = _pairs(counts, by, percent).select(*by, F.when(one < two, F.col("b")).otherwise(F.col("a")).alias("_plain"), F.least(one, two).alias("_o"))
-    own = better.groupBy(*by, "_plain").agg(F.min("_o").alias("_o")).select(*by, "_plain", F.col("_o.spelling").alias("_better"))
-    return keyed.join(own, [*by, "_plain"], "left").withColumn("spelling", F.coalesce("_better", "_plain")).select(*(F.col(f"`{c}`") for c in rows.columns), "spelling")
+    each, large = _blocks(counts, by)
+    own = _best_in_block(each, by, percent)
+    if large is not None:
+        pairs = _by_rare_grams(large, [*by, "_digits"], percent).where(_similar(F.col("shared"), F.col("a_size"), F.col("b_size"), percent))
+        # Of a pair, one is the better spelling for the other.
+        one, two = (_order(F.col(f"{c}_n"), F.col(c)) for c in ("a", "b"))
+        worse = pairs.select(*by, F.when(one < two, F.col("b")).otherwise(F.col("a")).alias("_plain"), F.least(one, two).alias("_o"))
+        own = own.unionByName(worse.groupBy(*by, "_plain").agg(F.min("_o").alias("_o")).select(*by, "_plain", F.col("_o.spelling").alias("_better")))
+    # The names that have a better one grow with the rows, so they meet them by a merge join, not through the driver.
+    return keyed.join(own.hint("merge"), [*by, "_plain"], "left").withColumn("spelling", F.coalesce("_better", "_plain")).select(*(F.col(f"`{c}`") for c in rows.columns), "spelling")

@@ -95,3 +95,48 @@ def test_spelling_by_equal_names(spark):
     found = fuzzy.with_spelling(spark.createDataFrame(rows, "id int, day string, name string"), ["day"])
     assert {r["id"]: r["spelling"] for r in found.collect()} == {1: "jazz nightt", 2: "jazz nightt", 3: "jazz nightt", 4: "wine walk", 5: "wine walk"}
     assert "_gram" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _steps(plan):
+    """The physical steps that ran, through adaptive plans and their stages."""
+    kind = plan.nodeName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else []
+    children = plan.children()
+    yield plan
+    for p in [*inner, *(children.apply(k) for k in range(children.size()))]:
+        yield from _steps(p)
+
+
+def _rows(plan):
+    made = plan.metrics().get("numOutputRows")
+    return made.get().value() if made.isDefined() else 0
+
+
+def test_spelling_makes_no_pairs(spark):
+    """Of a block in which all are alike no step makes a row for a pair, names are shuffled once to their block, and none go through the driver."""
+    names = [f"summer jazz in the park{x}{y}" for x in "abcdefghijklmno" for y in "abcdefghij"]
+    rows = [(k, d, n) for d in ("d", "e") for k, n in enumerate([*names, names[77]])]
+    found = fuzzy.with_spelling(spark.createDataFrame(rows, "id int, day string, name string"), ["day"])
+    got = found.collect()
+    assert {r["spelling"] for r in got} == {names[77]} and len(got) == len(rows)
+    steps = list(_steps(found._jdf.queryExecution().executedPlan()))
+    kinds = [p.nodeName() for p in steps]
+    assert max(map(_rows, steps)) <= len(rows) and "Generate" in kinds
+    assert "BroadcastHashJoin" not in kinds and kinds.count("SortMergeJoin") == 1 and kinds.count("Exchange") == 3  # rows, names to blocks, spellings
+
+
+@pytest.mark.parametrize("block", [1, 12, 256])
+def test_spelling_in_small_and_large_blocks(spark, monkeypatch, block):
+    """A block's names find their spelling in its list, or by rare grams where it is large; both give the one that most have, then the first."""
+    monkeypatch.setattr(fuzzy, "BLOCK_NAMES", block)
+    rows = [(k, *r) for k, r in enumerate(some(random.Random(11), 300))]
+    counts = {}
+    for _, day, town, name in rows:
+        if day and plain(name):
+            counts.setdefault((day, town), {}).setdefault(plain(name), []).append(1)
+    want = {}
+    for k, day, town, name in rows:
+        own, near = plain(name) or None, counts.get((day, town), {})
+        want[k] = min((y for y in near if y == own or alike(y, own, 70)), key=lambda y: (-len(near[y]), y)) if own and day else own
+    found = fuzzy.with_spelling(spark.createDataFrame(rows, "id int, day string, town string, name string"), ["day", "town"])
+    assert {r["id"]: r["spelling"] for r in found.collect()} == want
